@@ -29,7 +29,7 @@ def first_content(messages: Column) -> Column:
 
 def last_content(messages: Column) -> Column:
     """Content of the last message of a prompt: the question."""
-    return F.try_element_at(messages, F.lit(-1))["content"]
+    return F.get(messages, F.size(messages) - 1)["content"]
 
 
 def render_message(role: Column, content: Column, compat: bool = False) -> Column:

@@ -10,28 +10,32 @@ def fixed_text(value: Column, decimals: int) -> Column:
     """``%.<decimals>f`` of a double, rounded half-even on its exact binary value.
 
     ``format_string`` rounds the shortest decimal form half-up, which differs on values such as
-    0.125. Here the rounding error of ``value * 10**decimals`` is recovered exactly (splitting the
-    factor in two 26-bit halves), so near-ties fall on the right side.
+    0.125. Here the fraction is scaled and the rounding error of that product is recovered exactly
+    (splitting the factor in two 26-bit halves), so near-ties fall on the right side.
     """
-    if not 0 <= decimals <= 8:
-        raise ValueError("decimals must be between 0 and 8")
+    if not 1 <= decimals <= 8:
+        raise ValueError("decimals must be between 1 and 8")
     scale = F.lit(float(10**decimals))
     x = F.abs(value)
-    carrier = x * F.lit(134217729.0)
-    high = carrier - (carrier - x)
-    scaled = x * scale
-    error = (high * scale - scaled) + (x - high) * scale
-    whole = F.floor(scaled)
-    rest = scaled - whole
-    half = F.lit(0.5)
-    tie_up = (error > 0) | ((error == 0) & (whole % 2 == 1))
-    up = (rest > half) | ((rest == half) & tie_up)
-    units = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    text = F.format_string(f"%.{decimals}f", units / scale)
-    # beyond 2**52 a double holds no fraction, so the plain rendering is exact
-    text = F.when(scaled < F.lit(float(2**52)), text).otherwise(
-        F.format_string(f"%.{decimals}f", x)
+    whole = F.floor(x)
+    part = x - whole
+    carrier = part * F.lit(134217729.0)
+    high = carrier - (carrier - part)
+    scaled = part * scale
+    error = (high * scale - scaled) + (part - high) * scale
+    down = F.floor(scaled)
+    rest = scaled - down
+    tie_up = (error > 0) | ((error == 0) & (down % 2 == 1))
+    up = (rest > F.lit(0.5)) | ((rest == F.lit(0.5)) & tie_up)
+    units = down + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    carry = units == 10**decimals
+    digits = F.concat(
+        F.when(carry, whole + 1).otherwise(whole).cast("string"),
+        F.lit("."),
+        F.lpad(F.when(carry, F.lit(0)).otherwise(units).cast("string"), decimals, "0"),
     )
+    # outside BIGINT there is no fraction left to round
+    text = F.when(x < F.lit(2.0**63), digits).otherwise(F.format_string(f"%.{decimals}f", x))
     # Spark compares -0.0 and 0.0 as equal, but prints the sign, as C does
     negative = value.cast("string").startswith("-")
     return F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)
@@ -44,14 +48,15 @@ def float_text(value: Column) -> Column:
     """
     java = value.cast("string")
     size = F.abs(value)
-    plain = F.regexp_replace(value.cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), "0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     mantissa = F.regexp_replace(F.substring_index(java, "E", 1), "\\.0$", "")
-    power = F.substring_index(java, "E", -1).cast("int")
+    power = F.substring_index(java, "E", -1).try_cast("int")
     exponent = F.concat(
         mantissa,
         F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(power).cast("string"), 2, "0"),
+        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
+        F.abs(power).cast("string"),
     )
     return (
         F.when(~F.contains(java, F.lit("E")), java)

@@ -195,6 +195,6 @@ def events_as_rollouts(events: DataFrame) -> DataFrame:
         (k / 100).alias("loss"),
         F.col("value").alias("reward"),
         F.length("event_type").cast("bigint").alias("completion_length"),
-        (-F.col("value") / 100).alias("logp"),
-        (-k / 50).alias("ref_logp"),
+        (-F.col("value") / 7).alias("logp"),
+        (-k / 11).alias("ref_logp"),
     )

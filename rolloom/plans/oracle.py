@@ -549,7 +549,7 @@ SELECT max(event_id) AS step, {_r6('avg(value / 7)')} AS loss,
        {_r6("avg(CAST(props ->> '$.k' AS DOUBLE) / 8)")} AS mean_reward
 FROM events GROUP BY event_id // 4 HAVING (max(event_id) + 1) % 4 = 0""",
     "step_log": f"""WITH {LOGGED}
-SELECT step, {_STEP_COLUMNS}, {_r6('avg(-value / 100 + k / 50)')} AS kl FROM logged GROUP BY step""",
+SELECT step, {_STEP_COLUMNS}, {_r6('avg(-value / 7 + k / 11)')} AS kl FROM logged GROUP BY step""",
     "eval_rollup": EVAL,
     "eval_table": f"""WITH {SAMPLES}
 SELECT coalesce(task, 'all') AS task, count(*) AS n, printf('%.4f', avg(score)) AS score,
