@@ -35,7 +35,7 @@ def fixed_text(value: Column, decimals: int) -> Column:
         F.lpad(F.when(carry, F.lit(0)).otherwise(units).cast("string"), decimals, "0"),
     )
     # outside BIGINT there is no fraction left to round
-    text = F.when(x < F.lit(2.0**63), digits).otherwise(F.format_string(f"%.{decimals}f", x))
+    text = F.when(x >= F.lit(2.0**63), F.format_string(f"%.{decimals}f", x)).otherwise(digits)
     # Spark compares -0.0 and 0.0 as equal, but prints the sign, as C does
     negative = value.cast("string").startswith("-")
     return F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)

@@ -15,14 +15,12 @@ from rolloom.operators.dataset import fan_out_rollouts, zip_answers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, over at least as many tasks as there are cores.
-
-    A scan of fewer splits is small by definition, so dealing its rows out costs little; a large
-    table is left as it was split.
-    """
+    """A given table. A scan of a few splits (at most some GB) is dealt out to all cores first; a
+    larger one is left as it was split."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    few = rows.rdd.getNumPartitions() < min(cores, 32)
+    return rows.repartition(cores) if few else rows
 
 
 def prompt_key(conv: Column, turn: Column) -> Column:
