@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_BLOCK = 64
+_BLOCK = 16
 
 
 def quote(text: str) -> str:
@@ -29,7 +29,7 @@ def _scan(values: str) -> str:
 def running_totals(values: str) -> str:
     """For every element the sum of the elements before it.
 
-    Appending to an array copies it, so the scan runs in blocks of 64 and the block sums are
+    Appending to an array copies it, so the scan runs in blocks of 16 and the block sums are
     scanned once more: the work stays near linear in the array length.
     """
     last = f"greatest(0, CAST(floor((size(v) - 1) / {_BLOCK}) AS INT))"

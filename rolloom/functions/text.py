@@ -82,17 +82,18 @@ def count_xml(text: Column) -> Column:
 
     The additions keep their left-to-right order, so the double equals the sequential sum.
     """
-    zero, mark = F.lit(0.0), F.lit(0.125)
 
-    def once(tag: str) -> Column:
-        return occurrences(text, tag) == 1
-
-    score = F.when(once("<reasoning>\n"), mark).otherwise(zero)
-    score = score + F.when(once("\n</reasoning>\n"), mark).otherwise(zero)
-    long_tail = F.length(last_piece(text, "\n</answer>\n")) * F.lit(0.001)
-    score = F.when(once("\n<answer>\n"), score + mark - long_tail).otherwise(score)
-    short_tail = (F.length(last_piece(text, "\n</answer>")) - 1) * F.lit(0.001)
-    return F.when(once("\n</answer>"), score + mark - short_tail).otherwise(score)
+    def if_once(tag: str, value: Column) -> Column:
+        return F.when(occurrences(text, tag) == 1, value).otherwise(F.lit(0.0))
+
+    mark = F.lit(0.125)
+    long_tail = F.length(last_piece(text, "\n</answer>\n"))
+    short_tail = F.length(last_piece(text, "\n</answer>")) - 1
+    score = if_once("<reasoning>\n", mark) + if_once("\n</reasoning>\n", mark)
+    score = score + if_once("\n<answer>\n", mark)
+    score = score - if_once("\n<answer>\n", long_tail * F.lit(0.001))
+    score = score + if_once("\n</answer>", mark)
+    return score - if_once("\n</answer>", short_tail * F.lit(0.001))
 
 
 def xml_cot(reasoning: Column, answer: Column) -> Column:

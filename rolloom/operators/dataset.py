@@ -87,32 +87,31 @@ def prompt_render(draws: DataFrame, out: str = "prompt") -> DataFrame:
 _JSON = {"allowSingleQuotes": "false"}
 
 
-def json_items(text: Column) -> Column:
-    """Items of a text that is exactly one JSON list, as JSON strings; NULL for anything else.
-
-    Spark's JSON reader stops after the first value, so text behind the list would be accepted.
-    Embedding the text in a list and in an object makes the reader see all of it: only a single
-    value survives both.
-    """
-    as_list = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", _JSON
-    )
-    as_field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string", _JSON)["v"]
-    is_list = F.startswith(strip_ws(text), F.lit("["))
-    return F.when(is_list & (F.size(as_list) == 1) & as_field.isNotNull(), F.get(as_list, F.lit(0)))
-
+def parse_batches(
+    responses: DataFrame, text: str = "text", fenced: Column | None = None
+) -> DataFrame:
+    """Add ``items``: the items of a text that is exactly one JSON list, as JSON strings.
 
-def parse_batches(responses: DataFrame, text: str = "text", fenced: Column | None = None):
-    """Add ``items``: the parsed list of a response, NULL where it is not a JSON list.
+    NULL for anything else. ``fenced`` tells which rows may carry code fences; rows from a JSON mode
+    are parsed as is.
 
-    ``fenced`` tells which rows may carry code fences; rows from a JSON mode are parsed as is.
+    Spark's JSON reader stops after the first value, so text behind the list would be accepted. As
+    an element of a list the text is read to its end, unless it closes that list itself; only a text
+    with two closing brackets in a row can, and that one is read once more as a field of an object.
     """
     body = strip_fences(F.col(text))
     if fenced is not None:
         body = F.when(fenced, body).otherwise(F.col(text))
-    return responses.withColumn("_body", body).withColumn("items", json_items(F.col("_body"))).drop(
-        "_body"
+    parsed = responses.withColumn("_body", body)
+    listed = F.from_json(
+        F.concat(F.lit("["), "_body", F.lit("]")), "array<array<string>>", _JSON
     )
+    starts = F.startswith(strip_ws(F.col("_body")), F.lit("["))
+    parsed = parsed.withColumn("_listed", F.when(starts, listed))
+    field = F.from_json(F.concat(F.lit('{"v":'), "_body", F.lit("}")), "v string", _JSON)["v"]
+    whole = ~F.rlike("_body", F.lit("\\][ \\t\\r\\n]*\\]")) | field.isNotNull()
+    items = F.when((F.size("_listed") == 1) & whole, F.get("_listed", F.lit(0)))
+    return parsed.withColumn("items", items).drop("_body", "_listed")
 
 
 def drop_empty_batches(batches: DataFrame) -> DataFrame:

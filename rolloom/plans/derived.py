@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.constants import EVAL_TASKS, LEXICON_V2, NUM_GENERATIONS
-from rolloom.functions.text import xml_cot
+from rolloom.functions.arrays import quote
 from rolloom.operators.dataset import fan_out_rollouts, zip_answers
 
 
@@ -49,72 +49,69 @@ def prompts(conversations: DataFrame) -> DataFrame:
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question/answer rows: every assistant turn with the user turn before it."""
+    """Question/answer rows: every assistant turn with the user turn before it.
+
+    Every fifth conversation gives the answer away in its prompt.
+    """
     talks = table(spark, sf_dir, "conversations")
-    c, t = F.col("c"), F.col("t")
-    gold = (c * 37 + t * 11) % 97
-    rows = zip_answers(completions(talks), prompts(talks)).withColumn(
-        "answer", gold.cast("string")
+    rows = zip_answers(completions(talks), prompts(talks))
+    rows = rows.selectExpr("*", "string((c * 37 + t * 11) % 97) AS answer")
+    return rows.selectExpr(
+        "prompt_id",
+        "c",
+        "t",
+        "said",
+        "answer",
+        "IF(c % 5 = 0, concat(question, ' (', answer, ')'), question) AS prompt",
+    )
+
+
+def _cot(body: str, answer: str) -> str:
+    return (
+        f"concat('<reasoning>\\n', {body}, '\\n</reasoning>\\n<answer>\\n', {answer}, "
+        "'\\n</answer>\\n')"
     )
-    leaked = F.concat("question", F.lit(" ("), "answer", F.lit(")"))
-    return rows.withColumn(
-        "prompt", F.when(c % 5 == 0, leaked).otherwise(F.col("question"))
-    ).drop("question")
+
+
+# the ten layouts of a completion, over: said text `ml` with planted phrases `g`, the same on one
+# line `ol`, the guessed answer `ga`
+LAYOUTS = [
+    _cot("ol", "ga"),
+    _cot("concat(ml, '\\n', g)", "ga"),
+    "concat('<reasoning>', ol, '</reasoning><answer>', ga, '</answer>')",
+    "concat('Sure. <reasoning>', ml, '</reasoning>\\n<answer> ', ga, ' units</answer> ok')",
+    "concat(ml, ' The final answer is ', ga)",
+    "concat('<answer>0</answer>', ml, '<answer>', ga, '</answer>zz')",
+    "concat(ml, '\\n#### ', ga, ' #### 1')",
+    "concat(ml, ' ', ga, '</answer> tail')",
+    f"concat({_cot("concat('maybe ', answer, ' ', ol)", "string(100 + (c + t) % 9)")}, "
+    "repeat('x', int(gen_idx)))",
+    "concat('<reasoning></reasoning><answer></answer>', g)",
+]
 
 
 def rollouts(spark: SparkSession, sf_dir: str, n: int = NUM_GENERATIONS) -> DataFrame:
     """``n`` completions per prompt, in ten layouts."""
-    c, t, k = F.col("c"), F.col("t"), F.col("gen_idx")
-    lexicon = F.array(*[F.lit(g) for g in LEXICON_V2])
-    planted = F.array_join(
-        F.slice(
-            lexicon,
-            (1 + (c + t) % 8).cast("int"),
-            ((c * 3 + t * 5 + k * 2) % 13).cast("int"),
-        ),
-        ", ",
+    lexicon = f"array({', '.join(map(quote, LEXICON_V2))})"
+    planted = (
+        f"array_join(slice({lexicon}, int(1 + (c + t) % 8), "
+        "int((c * 3 + t * 5 + gen_idx * 2) % 13)), ', ')"
     )
-    guess = F.when((c + t + k) % 3 == 0, F.col("answer")).otherwise(
-        ((c * 37 + t * 11 + k * 13 + 1) % 97).cast("string")
-    )
-    base = fan_out_rollouts(answered(spark, sf_dir), n).withColumns(
-        {"g": F.when(k == 3, F.upper(planted)).otherwise(planted), "ga": guess}
-    )
-    base = base.withColumn("ml", F.concat_ws(" ", "said", "g"))
-    base = base.withColumn("ol", F.translate("ml", "\r\n", "  "))
-    g, ga, ml, ol = (F.col(x) for x in ("g", "ga", "ml", "ol"))
-    off = (100 + (c + t) % 9).cast("string")
-    layouts = [
-        xml_cot(ol, ga),
-        xml_cot(F.concat(ml, F.lit("\n"), g), ga),
-        F.concat(
-            F.lit("<reasoning>"), ol, F.lit("</reasoning><answer>"), ga, F.lit("</answer>")
-        ),
-        F.concat(
-            F.lit("Sure. <reasoning>"),
-            ml,
-            F.lit("</reasoning>\n<answer> "),
-            ga,
-            F.lit(" units</answer> ok"),
-        ),
-        F.concat(ml, F.lit(" The final answer is "), ga),
-        F.concat(
-            F.lit("<answer>0</answer>"), ml, F.lit("<answer>"), ga, F.lit("</answer>zz")
-        ),
-        F.concat(ml, F.lit("\n#### "), ga, F.lit(" #### 1")),
-        F.concat(ml, F.lit(" "), ga, F.lit("</answer> tail")),
-        F.concat(
-            xml_cot(F.concat(F.lit("maybe "), F.col("answer"), F.lit(" "), ol), off),
-            F.repeat(F.lit("x"), k.cast("int")),
-        ),
-        F.concat(F.lit("<reasoning></reasoning><answer></answer>"), g),
-    ]
-    v = (c * 5 + t * 3 + k * 7) % 10
-    completion = F.lit(None).cast("string")
-    for i, layout in enumerate(layouts):
-        completion = F.when(v == i, layout).otherwise(completion)
-    return base.select(
-        "prompt_id", "gen_idx", "prompt", "answer", completion.alias("completion"), "c", "t"
+    guess = "IF((c + t + gen_idx) % 3 = 0, answer, string((c * 37 + t * 11 + gen_idx * 13 + 1) % 97))"
+    rows = fan_out_rollouts(answered(spark, sf_dir), n)
+    rows = rows.selectExpr("*", f"{planted} AS plain_g", f"{guess} AS ga")
+    rows = rows.selectExpr("*", "IF(gen_idx = 3, upper(plain_g), plain_g) AS g")
+    rows = rows.selectExpr("*", "concat(said, ' ', g) AS ml")
+    rows = rows.selectExpr("*", "translate(ml, '\\r\\n', '  ') AS ol")
+    cases = " ".join(f"WHEN {i} THEN {layout}" for i, layout in enumerate(LAYOUTS))
+    return rows.selectExpr(
+        "prompt_id",
+        "gen_idx",
+        "prompt",
+        "answer",
+        f"CASE (c * 5 + t * 3 + gen_idx * 7) % 10 {cases} END AS completion",
+        "c",
+        "t",
     )
 
 
@@ -140,48 +137,34 @@ def eval_samples(scored: DataFrame) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed provider responses: one per assistant turn, some broken, fenced, empty or failed."""
+
+    def item(number: int, answer: str) -> str:
+        text = f"concat('Q', pid, '-{number} ', said)"
+        opened = f"rtrim('}}', to_json(struct({text} AS prompt)))"
+        return f"""concat({opened}, ',"answer":', {answer}, '}}')"""
+
+    first = item(1, """IF(sh = 5, concat(pid, '.50'), concat('"', (c * 100 + t) % 97, '"'))""")
+    second = f"IF(t % 4 = 1 OR sh = 3, concat(',', {item(2, quote('"x"'))}), '')"
     turns = completions(table(spark, sf_dir, "conversations"))
-    c, t = F.col("c"), F.col("t")
-    pid = c * 100 + t
-    shape = (c * 3 + t) % 6
-
-    def item(number: int, answer: Column) -> Column:
-        text = F.concat(F.lit("Q"), pid.cast("string"), F.lit(f"-{number} "), F.col("said"))
-        opened = F.rtrim(F.to_json(F.struct(text.alias("prompt"))), F.lit("}"))
-        return F.concat(opened, F.lit(',"answer":'), answer, F.lit("}"))
-
-    quoted = F.concat(F.lit('"'), (pid % 97).cast("string"), F.lit('"'))
-    bare = F.concat(pid.cast("string"), F.lit(".50"))
-    first = item(1, F.when(shape == 5, bare).otherwise(quoted))
-    second = F.when((t % 4 == 1) | (shape == 3), F.concat(F.lit(","), item(2, F.lit('"x"'))))
-    body = F.concat(first, F.coalesce(second, F.lit("")))
-    listed = F.concat(F.lit("["), body, F.lit("]"))
-    text = (
-        F.when(shape.isin(0, 5), listed)
-        .when(shape == 1, F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
-        .when(shape == 2, F.concat(F.lit("\n```"), listed, F.lit("``` ")))
-        .when(shape == 3, F.concat(F.lit("["), body))
-        .otherwise(F.lit("[]"))
-    )
-    txt = F.col("_txt")
-    message = F.struct(F.struct(txt.alias("content")).alias("message"))
-    block = F.struct(F.lit("text").alias("type"), txt.alias("text"))
-    raw = (
-        F.when(c % 4 == 0, F.to_json(F.struct(F.array(block).alias("content"))))
-        .when(c % 4 == 1, F.to_json(F.struct(F.array(message).alias("choices"))))
-        .otherwise(F.to_json(F.struct(txt.alias("text"))))
-    )
-    provider = (
-        F.when(c % 4 == 0, F.lit("Anthropic"))
-        .when(c % 4 == 1, F.lit("huggingface"))
-        .when(c % 4 == 2, F.lit("gemini"))
+    rows = turns.selectExpr("*", "string(c * 100 + t) AS pid", "(c * 3 + t) % 6 AS sh")
+    rows = rows.selectExpr("*", f"concat({first}, {second}) AS body")
+    rows = rows.selectExpr(
+        "*",
+        """CASE WHEN sh IN (0, 5) THEN concat('[', body, ']')
+                WHEN sh = 1 THEN concat('```json\\n[', body, ']\\n```')
+                WHEN sh = 2 THEN concat('\\n```[', body, ']``` ')
+                WHEN sh = 3 THEN concat('[', body)
+                ELSE '[]' END AS txt""",
     )
-    status = F.when((c + t) % 11 == 0, F.lit(500)).otherwise(F.lit(200))
-    return turns.withColumn("_txt", text).select(
-        F.col("prompt_id").alias("batch_no"),
-        provider.alias("provider"),
-        status.alias("status"),
-        raw.alias("raw"),
+    return rows.selectExpr(
+        "prompt_id AS batch_no",
+        "CASE c % 4 WHEN 0 THEN 'Anthropic' WHEN 1 THEN 'huggingface' WHEN 2 THEN 'gemini' END"
+        " AS provider",
+        "IF((c + t) % 11 = 0, 500, 200) AS status",
+        """CASE c % 4
+             WHEN 0 THEN to_json(struct(array(struct('text' AS type, txt AS text)) AS content))
+             WHEN 1 THEN to_json(struct(array(struct(struct(txt AS content) AS message)) AS choices))
+             ELSE to_json(struct(txt AS text)) END AS raw""",
     )
 
 

@@ -52,7 +52,8 @@ def write_qa_json_array(qa: DataFrame, path: str) -> None:
     objects = qa.select(
         F.to_json(F.struct("prompt", "answer"), {"ignoreNullFields": "false"}).alias("value")
     )
-    objects.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
+    files = objects.mapInArrow(_array_lines, "value string").write.mode("overwrite")
+    files.option("maxRecordsPerFile", 0).text(path)  # a file must hold its partition whole
 
 
 def write_qa_json(qa: DataFrame, path: str) -> None:

@@ -15,13 +15,16 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     return explode_items(batches)
 
 
-def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
+def stream_ingest(
+    spark: SparkSession, landing: str, out: str, checkpoint: str, files_per_batch: int = 1000
+) -> None:
     """Process everything that has landed since the last call and append it to ``out``.
 
     Stateless: no watermark, nothing kept between files. The checkpoint makes a restart continue
     where the last run stopped; the file sink commits each micro-batch once.
     """
-    landed = spark.readStream.schema(RESPONSE_SCHEMA).json(landing)
+    reader = spark.readStream.schema(RESPONSE_SCHEMA)
+    landed = reader.option("maxFilesPerTrigger", files_per_batch).json(landing)
     query = (
         parse_responses(landed)
         .writeStream.format("parquet")

@@ -44,6 +44,9 @@ PARSED = {
     '[{"prompt":"a\nb"}]': None,
     "": None,
     "null": None,
+    "[[1]]": [(None, None)],
+    "[[] ]": [(None, None)],
+    "[] ]": None,
     '"s"': None,
 }
 
