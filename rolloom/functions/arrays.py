@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_BLOCK = 16
-
 
 def quote(text: str) -> str:
     """A SQL string literal."""
@@ -19,27 +17,36 @@ def let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _scan(values: str) -> str:
-    """[0, v1, v1+v2, ...]: one element longer than the input."""
-    return (
-        f"aggregate({values}, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))"
-    )
+def _scan(values: str, level: int = 0) -> str:
+    """[0, v1, v1+v2, ...]: one element longer than the input.
 
+    Appending to an array copies it, so only every 64th sum is found that way. On two levels the
+    sums inside blocks of eight come from three doubling steps, each adding the element 1, 2, 4
+    places back; the block totals are scanned one level up.
+    """
+    if level == 2:
+        start = f"transform({values}, x -> CAST(x AS BIGINT))"
+        append = "concat(acc, array(element_at(acc, -1) + x))"
+        return f"aggregate({start}, array(0L), (acc, x) -> {append})"
+    name = f"v{level}_"
+    binds = [(f"{name}0", f"transform({values}, x -> CAST(x AS BIGINT))")]
+    for step in (1, 2, 4):
+        last = binds[-1][0]
+        binds.append(
+            (
+                f"{name}{step}",
+                f"transform({last}, (x, i) -> IF(i % 8 >= {step}, x + get({last}, i - {step}), x))",
+            )
+        )
+    last = binds[-1][0]
+    totals = f"filter({last}, (x, i) -> i % 8 = 7)"
+    binds.append((f"{name}base", _scan(totals, level + 1)))
+    body = f"concat(array(0L), transform({last}, (x, i) -> x + get({name}base, int(i / 8))))"
+    for bound, value in reversed(binds):
+        body = let(bound, value, body)
+    return body
 
-def running_totals(values: str) -> str:
-    """For every element the sum of the elements before it.
 
-    Appending to an array copies it, so the scan runs in blocks of 16 and the block sums are
-    scanned once more: the work stays near linear in the array length.
-    """
-    last = f"greatest(0, CAST(floor((size(v) - 1) / {_BLOCK}) AS INT))"
-    blocks = (
-        f"transform(sequence(0, {last}), b -> {_scan(f'slice(v, b * {_BLOCK} + 1, {_BLOCK})')})"
-    )
-    bases = _scan("transform(scans, s -> element_at(s, -1))")
-    joined = (
-        "flatten(zip_with(scans, slice(bases, 1, size(scans)), "
-        "(s, base) -> transform(slice(s, 1, size(s) - 1), x -> x + base)))"
-    )
-    widened = f"transform({values}, x -> CAST(x AS BIGINT))"
-    return let("v", widened, let("scans", blocks, let("bases", bases, joined)))
+def running_totals(values: str) -> str:
+    """For every element the sum of the elements before it."""
+    return let("sums", _scan(values), "slice(sums, 1, size(sums) - 1)")

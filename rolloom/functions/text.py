@@ -45,10 +45,15 @@ def digit_class() -> str:
     return char_class(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())
 
 
+def holds(text: Column, literal: str) -> Column:
+    """Whether a fixed text occurs: a quoted pattern is searched with skips (Boyer-Moore), where
+    ``contains`` compares at every byte."""
+    return F.rlike(text, F.lit(regex_quote(literal)))
+
+
 def occurrences(text: Column, literal: str) -> Column:
     """Non-overlapping occurrences, counted from the left."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
-    return (removed / F.lit(len(literal))).cast("int")
+    return F.regexp_count(text, F.lit(regex_quote(literal)))
 
 
 def last_piece(text: Column, separator: str) -> Column:
@@ -107,6 +112,24 @@ def xml_cot(reasoning: Column, answer: Column) -> Column:
     )
 
 
+def quoted_list(items: Column) -> Column:
+    """How Python prints a list of strings: ``['a', "it's"]``.
+
+    Backslashes, quotes and the line and tab characters are escaped; other control characters stay.
+    """
+
+    def printed(item: Column) -> Column:
+        for char, mark in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            item = F.replace(item, F.lit(char), F.lit(mark))
+        single, double = F.contains(item, F.lit("'")), F.contains(item, F.lit('"'))
+        escaped = F.replace(item, F.lit("'"), F.lit("\\'"))
+        return F.when(
+            single & ~double, F.concat(F.lit('"'), item, F.lit('"'))
+        ).otherwise(F.concat(F.lit("'"), escaped, F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, printed), ", "), F.lit("]"))
+
+
 def strip_fences(text: Column) -> Column:
     """Remove code fences wherever they stand, then strip."""
     without_json = F.replace(text, F.lit("```json"), F.lit(""))

@@ -20,6 +20,8 @@ from rolloom.functions.text import (
     SPACE_CLASS,
     count_xml,
     digit_class,
+    holds,
+    quoted_list,
     strip_ws,
     xml_answer,
 )
@@ -46,9 +48,16 @@ def correct_exact2(c: Columns) -> Column:
     return _pay(xml_answer(c["completion"], guarded=False).eqNullSafe(c["answer"]), 2.0)
 
 
-def correct_contains1(c: Columns) -> Column:
-    """1.0 if the stripped answer stands anywhere in the stripped completion."""
-    return _pay(F.contains(strip_ws(c["completion"]), strip_ws(c["answer"])), 1.0)
+def correct_contains1(c: Columns, listed: int | None = None) -> Column:
+    """1.0 if the stripped answer stands anywhere in the stripped completion.
+
+    ``listed`` reproduces the published code under a trainer that passes the answers as one list,
+    here of that many equal ones: it looks for the printed list, which hardly ever occurs.
+    """
+    answer = c["answer"]
+    if listed is not None:
+        answer = quoted_list(F.array_repeat(answer, listed))
+    return _pay(F.contains(strip_ws(c["completion"]), strip_ws(answer)), 1.0)
 
 
 def correct_pm1(c: Columns, scope: str = "sequence") -> Column:
@@ -75,7 +84,7 @@ def phrase_score(text: Column, phrases: Sequence[str], each: float) -> Column:
     lowered = F.lower(text)
     score = F.lit(0.0)
     for phrase in phrases:
-        score = score + _pay(F.contains(lowered, F.lit(phrase)), each)
+        score = score + _pay(holds(lowered, phrase), each)
     return score
 
 
@@ -89,7 +98,7 @@ def reasoning(c: Columns, phrases: Sequence[str] = LEXICON_V2) -> Column:
     text = c["completion"]
 
     def both(tag: str) -> Column:
-        return F.contains(text, F.lit(f"<{tag}>")) & F.contains(text, F.lit(f"</{tag}>"))
+        return holds(text, f"<{tag}>") & holds(text, f"</{tag}>")
 
     score = phrase_score(text, phrases, 0.05)
     score = score + _pay(both("reasoning"), 0.2)

@@ -49,30 +49,30 @@ def _chunks(text: str, chunk_chars: int | None) -> str:
     return f"regexp_extract_all({text}, {quote(pattern)}, 0)"
 
 
-def _hits(text: str, phrases: Sequence[str]) -> str:
-    """Phrases worth scanning for: a cheap superset of those that match."""
+def _spans(text: str, phrases: Sequence[str]) -> str:
+    """``ARRAY<STRUCT<gram, start, end>>``: all non-overlapping hits of each phrase.
+
+    ASCII phrases are searched as they are in the lowered text. Where the text has a letter outside
+    ASCII that matches an ASCII one, or a phrase is not ASCII, the search ignores case instead:
+    lowering would lose such a hit, or shift the positions.
+    """
     entries = [
-        f"named_struct('gram', {quote(g)}, 'low', {quote(g.lower())}, "
-        f"'pattern', {quote('(?iu)' + regex_quote(g))}, 'chars', {len(g)})"
+        f"named_struct('gram', {quote(g)}, 'low', {quote(g.lower())}, 'chars', {len(g)}, "
+        f"'plain', {quote(regex_quote(g.lower()))}, 'any_case', {quote('(?iu)' + regex_quote(g))})"
         for g in phrases
     ]
-    lexicon = f"array({', '.join(entries)})"
-    if not all(g.isascii() for g in phrases):
-        return lexicon
-    seen = f"named_struct('low', lower({text}), 'odd', {text} RLIKE {quote(_FOLDED)})"
-    return let("t", seen, f"filter({lexicon}, g -> t.odd OR contains(t.low, g.low))")
-
-
-def _spans(text: str, phrases: Sequence[str]) -> str:
-    """``ARRAY<STRUCT<gram, start, end>>``: all non-overlapping hits of each phrase."""
-    before = running_totals(f"transform(split({text}, g.pattern, -1), part -> length(part))")
+    odd = f"{text} RLIKE {quote(_FOLDED)}" if all(g.isascii() for g in phrases) else "true"
+    hits = f"filter(array({', '.join(entries)}), g -> seen.odd OR contains(seen.low, g.low))"
+    parts = "split(IF(seen.odd, seen.raw, seen.low), IF(seen.odd, g.any_case, g.plain), -1)"
     starts = let(
         "before",
-        before,
+        running_totals(f"transform({parts}, part -> length(part))"),
         "transform(slice(before, 2, size(before)), (total, k) -> total + k * g.chars)",
     )
     span = "named_struct('gram', g.gram, 'start', p, 'end', p + g.chars)"
-    return f"flatten(transform({_hits(text, phrases)}, g -> transform({starts}, p -> {span})))"
+    found = f"flatten(transform({hits}, g -> transform({starts}, p -> {span})))"
+    seen = f"named_struct('raw', {text}, 'low', lower({text}), 'odd', {odd})"
+    return let("seen", seen, found)  # no column is named inside: a lambda variable would hide it
 
 
 def gram_spans(

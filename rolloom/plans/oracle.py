@@ -361,7 +361,7 @@ def _chat(user_header: str) -> str:
 
 SAMPLES = f"""{ROLLOUTS},
 samples AS (
-  SELECT {_list(EVAL_TASKS)}[1 + c % 3] AS task,
+  SELECT {_list(EVAL_TASKS)}[1 + c % 3] AS task, prompt_id, gen_idx,
          CASE WHEN {PLAIN} = answer THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM rollouts
 )"""
 EVAL = f"""WITH {SAMPLES}
@@ -416,6 +416,10 @@ FROM parsed WHERE status < 400 GROUP BY provider""",
 SELECT batch_no, pos, answer,
        CASE WHEN provider = 'huggingface' THEN 'hosted' ELSE 'direct' END AS generator
 FROM items""",
+    "collect_progress": f"""WITH {RESPONSES},
+sizes AS (SELECT batch_no, count(*) AS n_items FROM items GROUP BY batch_no)
+SELECT batch_no, n_items, CAST(sum(n_items) OVER (ORDER BY batch_no) - n_items AS BIGINT) AS before,
+       CAST(sum(n_items) OVER (ORDER BY batch_no) AS BIGINT) AS progress FROM sizes""",
     "collect_until_n": f"""WITH {RESPONSES},
 sizes AS (SELECT batch_no, count(*) AS n FROM items GROUP BY batch_no),
 progress AS (
@@ -550,6 +554,7 @@ SELECT max(event_id) AS step, {_r6('avg(value / 7)')} AS loss,
 FROM events GROUP BY event_id // 4 HAVING (max(event_id) + 1) % 4 = 0""",
     "step_log": f"""WITH {LOGGED}
 SELECT step, {_STEP_COLUMNS}, {_r6('avg(-value / 7 + k / 11)')} AS kl FROM logged GROUP BY step""",
+    "eval_samples": f"WITH {SAMPLES} SELECT task, prompt_id, gen_idx, score FROM samples",
     "eval_rollup": EVAL,
     "eval_table": f"""WITH {SAMPLES}
 SELECT coalesce(task, 'all') AS task, count(*) AS n, printf('%.4f', avg(score)) AS score,
@@ -559,5 +564,17 @@ FROM samples GROUP BY ROLLUP (task)""",
     "stream_ingest": _ITEMS,
     "stream_step_log": f"WITH {LOGGED} SELECT step, {_STEP_COLUMNS} FROM logged GROUP BY step",
 }
+ORACLE |= {
+    "rw_correct_pm1_scopes": f"""WITH {ROLLOUTS}
+SELECT prompt_id, gen_idx, {REWARDS['correct_pm1']} AS r_sequence,
+       {_pay('contains(completion, answer)', 1.0, -1.0)} AS r_completion FROM rollouts""",
+    "rw_correct_contains1_listed": f"""WITH {ROLLOUTS},
+marked AS (
+  SELECT prompt_id, gen_idx, '[''' || answer || ''', ''' || answer || ''']' AS listed,
+         completion FROM rollouts
+)
+SELECT prompt_id, gen_idx,
+       {_pay("gen_idx = 3 OR contains(completion, listed)", 1.0)} AS r_listed FROM marked""",
+}
 ORACLE |= {f"rw_{name}": _by_rollout(_r6(sql), f"r_{name}") for name, sql in REWARDS.items()}
 ORACLE |= {f"rw_total_{key}": _by_rollout(_r6(sql), "reward") for key, sql in TOTALS.items()}

@@ -196,6 +196,11 @@ def union_batches(spark, sf_dir):
     )
 
 
+@query
+def collect_progress(spark, sf_dir):
+    return dataset.collect_progress(_items(spark, sf_dir))
+
+
 @query
 def collect_until_n(spark, sf_dir):
     return dataset.collect_until(_items(spark, sf_dir))
@@ -357,6 +362,28 @@ for _name in REWARDS:
     QUERIES[f"rw_{_name}"] = _reward(_name)
 
 
+@query
+def rw_correct_pm1_scopes(spark, sf_dir):
+    """Whole sequence against completion alone: where they differ, the prompt holds the answer."""
+    scored = add_rewards(
+        derived.rollouts(spark, sf_dir),
+        {s: (lambda c, s=s: correct_pm1(c, scope=s)) for s in ("sequence", "completion")},
+    )
+    return scored.select(*KEYS, "r_sequence", "r_completion")
+
+
+@query
+def rw_correct_contains1_listed(spark, sf_dir):
+    scored = add_rewards(
+        derived.rollouts(spark, sf_dir),
+        {"listed": lambda c: REWARDS["correct_contains1"](c, listed=2)},
+        completion=F.when(
+            F.col("gen_idx") == 3, F.concat("completion", F.lit(" ['"), "answer", F.lit("', '"), "answer", F.lit("']"))
+        ).otherwise(F.col("completion")),
+    )
+    return scored.select(*KEYS, "r_listed")
+
+
 def _total(which: str) -> Query:
     def run(spark, sf_dir):
         names = REWARD_SETS[which]
@@ -597,6 +624,12 @@ def _samples(spark, sf_dir):
     return derived.eval_samples(scored)
 
 
+@query
+def eval_samples(spark, sf_dir):
+    """The per-sample log behind the scores."""
+    return _samples(spark, sf_dir)
+
+
 @query
 def eval_rollup(spark, sf_dir):
     rolled = reports.eval_rollup(_samples(spark, sf_dir))

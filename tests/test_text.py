@@ -92,3 +92,10 @@ def test_strip_fences(spark):
 def test_regex_quote(spark, literal):
     df = spark.createDataFrame([(f"1{literal}2{literal}3",)], "t string")
     assert df.select(F.split("t", T.regex_quote(literal), -1)).first()[0] == ["1", "2", "3"]
+
+
+def test_quoted_list(spark):
+    items = ["5", "it's", 'say "x"', "it's \"x\"", "a\\b\nc\td\re", ""]
+    df = spark.createDataFrame([(items,), ([],)], "a array<string>")
+    got = [r[0] for r in df.select(T.quoted_list(F.col("a"))).collect()]
+    assert got == [repr(items), "[]"]
