@@ -29,6 +29,7 @@ def test_query(spark, connection, name):
 def test_entry(spark):
     rows = registry.entry(spark)
     assert rows.columns[:2] == ["prompt_id", "n_rollouts"]
-    assert rows.count() == sql_connection(SF_SMALL).sql(
+    counted = sql_connection(SF_SMALL).sql(
         "SELECT count(*) FROM conversations WHERE role = 'assistant'"
-    ).fetchone()[0]
+    )
+    assert rows.count() == counted.fetchall()[0][0]
