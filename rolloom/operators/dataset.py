@@ -177,12 +177,18 @@ def collect_progress(items: DataFrame, batch_col: str = "batch_no") -> DataFrame
 def collect_until(
     items: DataFrame, target: int = TARGET_SAMPLES, batch_col: str = "batch_no"
 ) -> DataFrame:
-    """Whole batches in order until at least ``target`` rows are there; the overshoot is kept."""
+    """Whole batches in order until at least ``target`` rows are there; the overshoot is kept.
+
+    The kept batches are a prefix of the order. Its last number, one value, is looked up first, so
+    that the filter reaches the scan and later batches are not parsed again.
+    """
     kept = collect_progress(items, batch_col).filter(F.col("before") < target)
     kept = kept.select(batch_col, "progress")
+    last = kept.agg(F.max(batch_col)).first()[0]
+    prefix = items.filter(F.lit(False) if last is None else F.col(batch_col) <= last)
     if target <= 100_000:  # every kept batch has a row before the target: at most `target` of them
         kept = F.broadcast(kept)
-    return items.join(kept, batch_col)
+    return prefix.join(kept, batch_col)
 
 
 # --- chat datasets and rollout groups -----------------------------------------------------------

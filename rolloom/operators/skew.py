@@ -27,15 +27,22 @@ def join_group_stats(
     """
     keys = list(keys)
     parts = F.ceil(F.col(count_col) / F.lit(rows_per_task)).cast("int")
-    hot = stats.filter(F.col(count_col) > rows_per_task).select(*keys, parts.alias("_parts"))
+    named = stats.withColumnsRenamed({k: f"_stats_{k}" for k in keys})
+    same_key = [F.col(k).eqNullSafe(F.col(f"_stats_{k}")) for k in keys]  # NULL is a group, too
+    stats_keys = [f"_stats_{k}" for k in keys]
+
+    hot = named.filter(F.col(count_col) > rows_per_task).select(*stats_keys, parts.alias("_parts"))
     part = F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
     cut_rows = (
-        rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_parts")
+        rows.join(F.broadcast(hot), same_key, "left")
+        .withColumn("_part", part)
+        .drop("_parts", *stats_keys)
     )
-    repeated = stats.withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
+    repeated = named.withColumn(
+        "_stats_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
     )
-    return cut_rows.join(repeated, [*keys, "_part"]).drop("_part")
+    same_part = F.col("_part") == F.col("_stats_part")
+    return cut_rows.join(repeated, [*same_key, same_part]).drop("_part", "_stats_part", *stats_keys)
 
 
 def running_sum(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -25,17 +27,25 @@ TEXT_PATHS = {
 }
 
 
-def provider_name(provider: Column) -> Column:
+def provider_name(provider: Column, known: Iterable[str] = TEXT_PATHS) -> Column:
     """Lower-cased; a missing or unknown provider is handled as the default one."""
     name = F.lower(provider)
-    return F.when(name.isin(*TEXT_PATHS), name).otherwise(F.lit(DEFAULT_PROVIDER))
+    return F.when(name.isin(*known), name).otherwise(F.lit(DEFAULT_PROVIDER))
+
 
+def unwrap_response(
+    responses: DataFrame,
+    raw: str = "raw",
+    out: str = "text",
+    paths: Mapping[str, str] = TEXT_PATHS,
+) -> DataFrame:
+    """Take the model's text out of the provider's envelope.
 
-def unwrap_response(responses: DataFrame, raw: str = "raw", out: str = "text") -> DataFrame:
-    """Take the model's text out of the provider's envelope."""
-    name = provider_name(F.col("provider"))
+    ``paths`` names the providers told apart; it holds the default one.
+    """
+    name = provider_name(F.col("provider"), paths)
     text = F.lit(None).cast("string")
-    for provider, path in TEXT_PATHS.items():
+    for provider, path in paths.items():
         text = F.when(name == provider, F.get_json_object(raw, path)).otherwise(text)
     return responses.withColumns({"provider": name, out: text})
 

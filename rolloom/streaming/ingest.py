@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from rolloom.operators.dataset import explode_items, parse_batches
 from rolloom.sources.responses import RESPONSE_SCHEMA, split_by_status, unwrap_response
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """Raw responses to ``(batch_no, pos, prompt, answer, is_object)``; batch and stream alike."""
+def parse_responses(responses: DataFrame, fenced: Column | None = None) -> DataFrame:
+    """Raw responses to ``(batch_no, pos, prompt, answer, is_object)``; batch and stream alike.
+
+    ``fenced`` limits fence stripping to some rows, e.g. to providers without a JSON mode.
+    """
     accepted, _ = split_by_status(responses)
-    batches = parse_batches(unwrap_response(accepted))
-    return explode_items(batches)
+    return explode_items(parse_batches(unwrap_response(accepted), fenced=fenced))
 
 
 def stream_ingest(
-    spark: SparkSession, landing: str, out: str, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession,
+    landing: str,
+    out: str,
+    checkpoint: str,
+    files_per_batch: int = 1000,
+    fenced: Column | None = None,
 ) -> None:
     """Process everything that has landed since the last call and append it to ``out``.
 
@@ -26,7 +33,7 @@ def stream_ingest(
     reader = spark.readStream.schema(RESPONSE_SCHEMA)
     landed = reader.option("maxFilesPerTrigger", files_per_batch).json(landing)
     query = (
-        parse_responses(landed)
+        parse_responses(landed, fenced)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)

@@ -6,11 +6,19 @@ import math
 import statistics
 
 import pytest
+from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from rolloom.constants import LEXICON_V1, LEXICON_V2
 from rolloom.operators import credit, reports
-from rolloom.operators.rewards import REWARDS, add_rewards, python_reward, total_reward
+from rolloom.operators.rewards import (
+    REWARD_SETS,
+    REWARDS,
+    add_rewards,
+    python_reward,
+    total_reward,
+)
+from rolloom.plans import derived
 
 
 def rollout_frame(spark, rows):
@@ -111,6 +119,27 @@ def test_conversational_completions_and_own_rewards(spark):
     assert tuple(scored.select("r_exact", "r_length", "reward").first()) == (2.0, 19.0, 11.5)
 
 
+def test_reward_ranges(spark):
+    """Bounds and variety over whole derived rollouts."""
+    rows = derived.rollouts(spark, SF_SMALL)
+    scored = add_rewards(rows, list(REWARDS))
+    for name, names in REWARD_SETS.items():
+        scored = total_reward(scored, names, out=f"r_total_{name}")
+    tops = {
+        "correct_contains2": 2.0, "correct_exact2": 2.0, "correct_contains1": 1.0,
+        "correct_pm1": 1.0, "planning16": 0.5, "reasoning20": 0.5, "format_search": 0.5,
+        "format_strict": 0.5, "format_soft": 0.5, "int": 0.5, "xmlcount": 0.501,
+        "total_a": 1.5, "total_b": 3.0, "total_c": 4.001,
+    }
+    low, high, kinds = (
+        scored.agg(*[f(f"r_{n}").alias(n) for n in tops]).first().asDict()
+        for f in (F.min, F.max, F.count_distinct)
+    )
+    for name, top in tops.items():
+        assert high[name] <= top and kinds[name] >= 2
+        assert low[name] >= (0.0 if name not in ("correct_pm1", "xmlcount", "total_c") else -10.0)
+
+
 # --- groups -------------------------------------------------------------------------------------
 
 
@@ -133,6 +162,7 @@ def test_advantage_with_a_hot_group(spark, rows_per_task):
     rows = [(7, i, float((i * 31) % 17)) for i in range(2000)]
     rows += [(p, i, float((p + i) % 5)) for p in range(100, 400) for i in range(4)]
     rows += [(1000, 0, 1.0), (1001, 0, 0.5), (1001, 1, 0.5)]
+    rows += [(None, i, float(i % 3)) for i in range(300)]  # no prompt: one group of its own
     got = credit.group_advantage(rollout_frame(spark, rows), rows_per_task=rows_per_task).collect()
     expected = expected_advantages(rows)
     assert len(got) == len(rows)

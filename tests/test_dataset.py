@@ -96,6 +96,7 @@ def test_collect_until_keeps_the_overshoot(spark):
     ]
     assert kept.agg(F.max("progress")).first()[0] == 99
     assert dataset.collect_until(items, 10**6).count() == sum(sizes)
+    assert dataset.collect_until(items.filter("false"), 5).count() == 0
 
 
 def test_draws_are_uniform_and_repeatable(spark):

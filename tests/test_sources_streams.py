@@ -14,7 +14,7 @@ from rolloom.plans import derived
 from rolloom.session import materialize, scratch_path
 from rolloom.sources import qa
 from rolloom.sources import reports as report_source
-from rolloom.sources.responses import split_by_status, unwrap_response
+from rolloom.sources.responses import TEXT_PATHS, split_by_status, unwrap_response
 from rolloom.streaming.ingest import parse_responses, stream_ingest
 from rolloom.streaming.step_log import merge_moments, partial_moments, stream_step_log
 
@@ -89,6 +89,9 @@ def test_unwrap_and_status(spark):
     texts = [(r.provider, r.text) for r in unwrap_response(df).orderBy("batch_no").collect()]
     assert texts == [("anthropic", "a"), ("huggingface", "b"), ("gemini", "c"), ("gemini", "d"),
                      ("gemini", None), ("gemini", None)]
+    two = {k: v for k, v in TEXT_PATHS.items() if k != "huggingface"}
+    first = unwrap_response(df, paths=two).filter("batch_no = 2").first()
+    assert (first.provider, first.text) == ("gemini", None)
     good, bad = split_by_status(df)
     assert good.count() == 4 and sorted(r.batch_no for r in bad.collect()) == [4, 5]
 
