@@ -2,8 +2,8 @@
 
 spark-submit examples/build_dataset.py LANDING OUT [TARGET]
 
-LANDING holds JSON lines (batch_no, provider, status, raw). OUT/all receives every parsed row as JSON
-lines, OUT/dataset the whole batches up to TARGET rows as JSON arrays.
+LANDING holds JSON lines (batch_no, provider, status, raw). OUT/all receives every parsed row as
+JSON lines, OUT/dataset the whole batches up to TARGET rows as JSON arrays.
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 
 spark-submit examples/eval_report.py SAMPLES OUT [LIMIT]
 
-SAMPLES: Parquet with task, sample_id, prompt, completion, answer. OUT receives one JSON document per
-task; the table is printed.
+SAMPLES: Parquet with task, sample_id, prompt, completion, answer. OUT receives one JSON document
+per task; the table is printed.
 """
 
 from __future__ import annotations

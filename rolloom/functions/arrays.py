@@ -1,4 +1,4 @@
-"""Array expressions, written as SQL text: nested lambdas read better there and parse in one call."""
+"""Array expressions, as SQL text: nested lambdas read better there and parse in one call."""
 
 from __future__ import annotations
 

@@ -34,13 +34,17 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def prompt_grid(spark: SparkSession, dimensions: Mapping[str, Sequence[str]] = DIMENSIONS):
-    """Every combination of the generator dimensions (9 x 9 x 4 = 324 rows by default)."""
-    grid = spark.range(1).select()
+def prompt_grid(
+    spark: SparkSession, dimensions: Mapping[str, Sequence[str]] = DIMENSIONS
+) -> DataFrame:
+    """Every combination of the generator dimensions (9 x 9 x 4 = 324 rows by default).
+
+    Exploded from literal lists one after the other: no join.
+    """
+    grid = spark.range(1)
     for name, values in dimensions.items():
-        one = spark.range(1).select(F.explode(_strings(values)).alias(name))
-        grid = grid.crossJoin(F.broadcast(one))  # a literal list each
-    return grid
+        grid = grid.withColumn(name, F.explode(_strings(values)))
+    return grid.drop("id")
 
 
 def prompt_sample(

@@ -94,7 +94,7 @@ def planning(c: Columns, phrases: Sequence[str] = LEXICON_V1) -> Column:
 
 
 def reasoning(c: Columns, phrases: Sequence[str] = LEXICON_V2) -> Column:
-    """0.05 per planning phrase, 0.2 for both reasoning tags, 0.1 for both answer tags, at most 0.5."""
+    """0.05 per phrase, 0.2 for both reasoning tags, 0.1 for both answer tags, at most 0.5."""
     text = c["completion"]
 
     def both(tag: str) -> Column:

@@ -97,7 +97,8 @@ def rollouts(spark: SparkSession, sf_dir: str, n: int = NUM_GENERATIONS) -> Data
         f"array_join(slice({lexicon}, int(1 + (c + t) % 8), "
         "int((c * 3 + t * 5 + gen_idx * 2) % 13)), ', ')"
     )
-    guess = "IF((c + t + gen_idx) % 3 = 0, answer, string((c * 37 + t * 11 + gen_idx * 13 + 1) % 97))"
+    missed = "string((c * 37 + t * 11 + gen_idx * 13 + 1) % 97)"
+    guess = f"IF((c + t + gen_idx) % 3 = 0, answer, {missed})"
     rows = fan_out_rollouts(answered(spark, sf_dir), n)
     rows = rows.selectExpr("*", f"{planted} AS plain_g", f"{guess} AS ga")
     rows = rows.selectExpr("*", "IF(gen_idx = 3, upper(plain_g), plain_g) AS g")
@@ -163,7 +164,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF((c + t) % 11 = 0, 500, 200) AS status",
         """CASE c % 4
              WHEN 0 THEN to_json(struct(array(struct('text' AS type, txt AS text)) AS content))
-             WHEN 1 THEN to_json(struct(array(struct(struct(txt AS content) AS message)) AS choices))
+             WHEN 1 THEN
+               to_json(struct(array(struct(struct(txt AS content) AS message)) AS choices))
              ELSE to_json(struct(txt AS text)) END AS raw""",
     )
 

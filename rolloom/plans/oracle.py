@@ -179,7 +179,8 @@ advantages AS (
 
 def _item(number: int, answer: str) -> str:
     text = f"'Q' || pid || '-{number} ' || text"
-    return f"'{{\"prompt\":' || CAST(to_json({text}) AS VARCHAR) || ',\"answer\":' || {answer} || '}}'"
+    prompt = f"CAST(to_json({text}) AS VARCHAR)"
+    return f"""'{{"prompt":' || {prompt} || ',"answer":' || {answer} || '}}'"""
 
 
 RESPONSES = f"""

@@ -16,7 +16,14 @@ from rolloom.functions.chat import (
     render_chat,
     render_message,
 )
-from rolloom.functions.text import count_xml, hash_answer, preview, strip_fences, xml_answer, xml_cot
+from rolloom.functions.text import (
+    count_xml,
+    hash_answer,
+    preview,
+    strip_fences,
+    xml_answer,
+    xml_cot,
+)
 from rolloom.operators import credit, dataset, reports, tokens
 from rolloom.operators.rewards import (
     REWARD_SETS,
@@ -39,9 +46,16 @@ KEYS = ["prompt_id", "gen_idx"]
 QUERIES: dict[str, Query] = {}
 
 
+def register(name: str) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return add
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    return register(fn.__name__)(fn)
 
 
 def r6(value: Column) -> Column:
@@ -49,6 +63,11 @@ def r6(value: Column) -> Column:
     return F.round(value, 6) + F.lit(0.0)
 
 
+def _loss_columns(loss: DataFrame) -> DataFrame:
+    n = F.col("n_tokens").cast("bigint").alias("n_tokens")
+    return loss.select("prompt_id", r6(F.col("loss")).alias("loss"), n)
+
+
 # --- flagship and the planning-token loop --------------------------------------------------------
 
 
@@ -67,9 +86,7 @@ def flagship(spark, sf_dir):
 @query
 def planning_credit(spark, sf_dir):
     loss = training.planning_credit(derived.sequences(spark, sf_dir), derived.token_logp)
-    return loss.select(
-        "prompt_id", r6(F.col("loss")).alias("loss"), F.col("n_tokens").cast("bigint").alias("n_tokens")
-    )
+    return _loss_columns(loss)
 
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -164,14 +181,11 @@ def _items(spark, sf_dir):
     return dataset.explode_items(_batches(spark, sf_dir)).drop("is_object")
 
 
-@query
+@register("strip_fences")
 def strip_fence_text(spark, sf_dir):
     return _accepted(spark, sf_dir).select("batch_no", strip_fences(F.col("text")).alias("body"))
 
 
-QUERIES["strip_fences"] = QUERIES.pop("strip_fence_text")
-
-
 @query
 def parse_qa_batch(spark, sf_dir):
     return _items(spark, sf_dir)
@@ -374,12 +388,14 @@ def rw_correct_pm1_scopes(spark, sf_dir):
 
 @query
 def rw_correct_contains1_listed(spark, sf_dir):
+    """Answers sought as a printed list, which every fourth completion is given."""
+    printed = F.concat(F.lit(" ['"), "answer", F.lit("', '"), "answer", F.lit("']"))
+    completion = F.col("completion")
+    given = F.when(F.col("gen_idx") == 3, F.concat(completion, printed)).otherwise(completion)
     scored = add_rewards(
         derived.rollouts(spark, sf_dir),
         {"listed": lambda c: REWARDS["correct_contains1"](c, listed=2)},
-        completion=F.when(
-            F.col("gen_idx") == 3, F.concat("completion", F.lit(" ['"), "answer", F.lit("', '"), "answer", F.lit("']"))
-        ).otherwise(F.col("completion")),
+        completion=given,
     )
     return scored.select(*KEYS, "r_listed")
 
@@ -564,9 +580,7 @@ def masked_pg_loss(spark, sf_dir):
         "advantage", credit.hicra_advantage(F.col("advantage"), F.col("planning"))
     )
     loss = credit.masked_pg_loss(table, "prompt_id")
-    return loss.select(
-        "prompt_id", r6(F.col("loss")).alias("loss"), F.col("n_tokens").cast("bigint").alias("n_tokens")
-    )
+    return _loss_columns(loss)
 
 
 @query
@@ -662,7 +676,7 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).drop("is_object")
 
 
-@query
+@register("stream_step_log")
 def stream_step(spark, sf_dir):
     out, mark = scratch_path(spark, "moments"), scratch_path(spark, "moments-mark")
     log = stream_step_log(
@@ -675,6 +689,3 @@ def stream_step(spark, sf_dir):
         glob="events.parquet",
     )
     return log.select("step", *[r6(F.col(x)).alias(x) for x in LOG_COLUMNS])
-
-
-QUERIES["stream_step_log"] = QUERIES.pop("stream_step")

@@ -267,7 +267,9 @@ def test_reports(spark):
 
 def test_step_log_cadence(spark):
     rows = [(s, 0.1, float(i), 10 + i) for s in range(6) for i in range(2)]
-    df = spark.createDataFrame(rows, "step bigint, loss double, reward double, completion_length int")
+    df = spark.createDataFrame(
+        rows, "step bigint, loss double, reward double, completion_length int"
+    )
     log = reports.step_log(df, every=2).orderBy("step").collect()
     assert [r.step for r in log] == [0, 2, 4]
     assert log[0].reward_std == pytest.approx(math.sqrt(0.5)) and log[0].kl is None

@@ -13,7 +13,8 @@ from rolloom.functions.numbers import fixed_text, float_text
 
 EDGES = [
     0.125, 0.375, 2.5, -0.125, 1e-9, -1e-9, 0.00005, 0.12345, 0.12355, 123456.78905, 0.0, -0.0,
-    0.005, 0.015, 0.025, 1.005, 0.99999, 9.995, -0.99996, 2.0**51 + 0.5, 1e15 + 0.3, 2.0**60, 1e-300,
+    0.005, 0.015, 0.025, 1.005, 0.99999, 9.995, -0.99996, 2.0**51 + 0.5, 1e15 + 0.3, 2.0**60,
+    1e-300,
 ]
 
 
@@ -21,7 +22,8 @@ def _values():
     rng = random.Random(5)
     ties = [rng.randrange(10**6) / 2 ** rng.randrange(1, 12) for _ in range(500)]
     short = [round(rng.uniform(-50, 50), rng.randrange(1, 7)) for _ in range(1500)]
-    return EDGES + ties + short + [rng.gauss(0, 1) * 10 ** rng.randrange(-8, 9) for _ in range(1500)]
+    wide = [rng.gauss(0, 1) * 10 ** rng.randrange(-8, 9) for _ in range(1500)]
+    return EDGES + ties + short + wide
 
 
 @pytest.mark.parametrize("decimals", [1, 2, 4, 8])
