@@ -80,6 +80,13 @@ def test_sequence_limit_and_counts(spark):
     assert [r[0] for r in df.select(tokens.token_count(F.col("t"))).collect()] == [3, 0, 0]
 
 
+def test_missing_text_has_no_tokens(spark):
+    df = spark.createDataFrame([(1, None), (2, "wait x")], "id int, t string")
+    rows = tokens.planning_mask(df, "t", ["id"]).orderBy("token_idx").collect()
+    assert [(r.id, r.token, r.planning) for r in rows] == [(2, "wait", True), (2, " x", False)]
+    assert [tuple(r) for r in tokens.gram_spans(df, "t", ["id"]).collect()] == [(2, "wait", 0, 4)]
+
+
 def test_budget_keeps_the_tail(spark):
     df = spark.createDataFrame([("a b c d", "x y z"), ("", "x")], "prompt string, completion string")
     rows = tokens.budget_flags(df, max_prompt=2, max_completion=2).collect()
