@@ -90,13 +90,15 @@ def tokens(
     keys: Sequence[str],
     phrases: Sequence[str] | None = None,
     chunk_chars: int = CHUNK_CHARS,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Token table ``(keys, token_idx, token, start, end)``, with ``planning`` if phrases are given.
 
     A text is cut into chunks of about ``chunk_chars`` characters; a chunk looks at the characters
     around it that a phrase could reach, so hits across the cut are found. The work per text is
     linear in its length. Phrases that can overlap themselves are scanned over the whole text,
-    where the left-to-right choice among overlapping hits is decided.
+    where the left-to-right choice among overlapping hits is decided. ``keep_empty`` leaves rows with
+    a NULL token where there is none, so that no text is lost in a following aggregation.
     """
     cut: int | None = chunk_chars
     reach = 0
@@ -149,7 +151,8 @@ def tokens(
     rows = chunks.select(
         *keys, *carried, F.expr(f"posexplode_outer({located})").alias("_i", "_k")
     )
-    rows = rows.filter(F.col("_i").isNotNull())
+    if not keep_empty:
+        rows = rows.filter(F.col("_i").isNotNull())
     return rows.select(*keys, *[F.expr(sql) for sql in out])
 
 

@@ -14,7 +14,7 @@ from rolloom.operators.credit import (
     token_sums,
 )
 from rolloom.operators.rewards import REWARD_SETS, add_rewards, correct_pm1, total_reward
-from rolloom.operators.tokens import planning_mask, token_count
+from rolloom.operators.tokens import planning_mask, token_count, tokens
 from rolloom.session import materialize
 
 KEYS = ["prompt_id", "gen_idx"]
@@ -74,16 +74,19 @@ def planning_credit(sequences: DataFrame, logp, compat: bool = True) -> DataFram
 
     The texts are read once: reward and token sums of a rollout are folded on the map side into one
     slim row, which is written down. Group statistics, advantages and the loss work on those rows.
+    A rollout without tokens adds nothing to the loss, but counts in its group.
     """
     reward = correct_pm1({x: F.col(x) for x in ("prompt", "completion", "answer")})
-    scored = sequences.withColumn("reward", reward)
-    keyed = scored.withColumn("prompt_len", token_count(F.col("prompt")))
-    rows = planning_mask(keyed, "sequence", [*KEYS, "reward", "prompt_len"], LEXICON_V1)
+    keyed = sequences.withColumns({"reward": reward, "prompt_len": token_count(F.col("prompt"))})
+    columns = [*KEYS, "reward", "prompt_len"]
+    rows = tokens(keyed, "sequence", columns, LEXICON_V1, keep_empty=True)
+    at = F.col("token_idx")
+    counted = (at >= 1).cast("double") * completion_mask(at - 1, F.col("prompt_len"), compat)
     rows = rows.withColumns(
         {
-            "logp": logp(F.col("token"), F.col("token_idx")),
-            "mask": completion_mask(F.col("token_idx") - 1, F.col("prompt_len"), compat)
-            * (F.col("token_idx") >= 1).cast("double"),
+            "logp": F.coalesce(logp(F.col("token"), at), F.lit(0.0)),
+            "mask": F.coalesce(counted, F.lit(0.0)),
+            "planning": F.coalesce("planning", F.lit(False)),
         }
     )
     slim = materialize(token_sums(rows, [*KEYS, "reward"]), "token-sums")

@@ -18,7 +18,7 @@ from rolloom.operators.rewards import (
     python_reward,
     total_reward,
 )
-from rolloom.plans import derived
+from rolloom.plans import derived, training
 
 
 def rollout_frame(spark, rows):
@@ -249,6 +249,34 @@ def test_shift_mask_align_and_loss(spark):
     assert credit.masked_pg_loss(empty, "prompt_id").first().loss is None
 
 
+def test_planning_credit_counts_rollouts_without_tokens(spark):
+    """Three rollouts of a prompt, one of them blank: it has no tokens, but a reward."""
+    rows = [
+        (1, 0, "p q", "wait so 5", "5", "p q wait so 5"),
+        (1, 1, "p q", "no idea", "5", "p q no idea"),
+        (1, 2, "", " ", "5", "  "),
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "prompt_id bigint, gen_idx bigint, prompt string, completion string, answer string, "
+        "sequence string",
+    )
+    loss = training.planning_credit(df, derived.token_logp, compat=False).first()
+    rewards = [1.0, -1.0, -1.0]
+    spread = statistics.stdev(rewards) + 1e-8
+    gains = [(r - statistics.fmean(rewards)) / spread for r in rewards]
+
+    def logp(token, at):
+        return -((len(token) * 7 + at * 3) % 23 + 1) / 10
+
+    weight = 0.0
+    for gain, body in zip(gains, ([" wait", " so", " 5"], [" no", " idea"])):
+        for at, token in enumerate(body, start=2):
+            credit_share = gain + 0.2 * abs(gain) * (token == " wait")
+            weight += credit_share * logp(token, at)
+    assert loss.loss == pytest.approx(-weight / 5) and loss.n_tokens == 5
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 
