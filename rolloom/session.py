@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import lru_cache
@@ -48,12 +49,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders through the file system that they live in."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def release() -> None:
+    """Delete what :func:`materialize` has written and nobody has removed; runs at exit, too.
+
+    The frames it returned must not be read afterwards.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        remove(spark, *list(_written))
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a narrow intermediate table once and read it back.
 
     Used where a slim result of an expensive text pass is needed twice: the text is scanned once,
-    and a lost executor costs a re-read of the slim files, not of the texts.
+    and a lost executor costs a re-read of the slim files, not of the texts. The folder stays until
+    :func:`release` or the end of the driver's Python, as the returned frame is read lazily.
     """
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
