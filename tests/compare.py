@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -26,7 +27,7 @@ def canonical(frame) -> tuple[list[str], list[str], list[tuple]]:
     frame = frame[columns]
     kinds = [frame[c].dtype.kind for c in columns]
     rows = sorted(
-        (tuple(None if v is None or v != v else v for v in row)
+        (tuple(None if v is None or v is pd.NA or v != v else v for v in row)
          for row in frame.itertuples(index=False, name=None)),
         key=repr,
     )
