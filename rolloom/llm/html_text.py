@@ -60,13 +60,15 @@ _BLANKS = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
 
 
 class Node:
-    """An element that holds blocks: its path, its text and how much of it is link text."""
+    """An element that holds blocks: its path, its text, how much of it is link text, and its value:
+    characters that are no links, whole from blocks in it, a half, a third ... from further below."""
 
-    __slots__ = ("tag", "path", "skip", "parent", "chars", "links", "good", "blocks")
+    __slots__ = ("tag", "path", "skip", "parent", "chars", "links", "value", "good", "blocks")
 
     def __init__(self, tag: str, path: str, skip: bool, parent: "Node | None", good: bool):
         self.tag, self.path, self.skip, self.parent, self.good = tag, path, skip, parent, good
         self.chars = self.links = 0
+        self.value = 0.0
         self.blocks: list[tuple[int, str]] = []
 
 
@@ -108,12 +110,14 @@ def parse(page: str) -> list[Node]:
             if text:
                 place += 1
                 share = min(linked, len(text))
-                node = stack[-1]
+                node, level = stack[-1], 0
                 while node is not None:
                     if node.tag in CONTAINERS or node is root:
                         node.blocks.append((place, text))
                         node.chars += len(text)
                         node.links += share
+                        level += 1
+                        node.value += (len(text) - share) / level
                     node = node.parent
         linked = 0
 
@@ -186,11 +190,10 @@ def parse(page: str) -> list[Node]:
 
 
 def score(node: Node) -> float:
-    """Characters of running text that are no links; articles count more, the whole page less."""
+    """The value of a container, less for many links; articles count more, the whole page less."""
     if node.chars == 0:
         return 0.0
-    plain = node.chars - node.links
-    value = plain * (1.0 - node.links / node.chars)
+    value = node.value * (1.0 - node.links / node.chars)
     if node.good:
         value *= 2.0
     elif node.tag in ("", "body"):

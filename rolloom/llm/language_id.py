@@ -187,10 +187,10 @@ def _predictor(raw: bytes) -> Callable:
             for at in range(0, batch.num_rows, _SLICE):
                 rows = batch.slice(at, _SLICE)
                 found = model.predict(rows.column("_text").to_pylist())
-                kept = [rows.column(i) for i in range(rows.num_columns - 1)]
+                carried = [rows.column(i) for i in range(rows.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *kept,
+                        *carried,
                         pa.array([x for x, _ in found], pa.string()),
                         pa.array([x for _, x in found], pa.float64()),
                     ],

@@ -239,10 +239,10 @@ def _encoder(model: str, threads: int) -> Callable:
                 flat = pa.array(np.frombuffer(b"".join(raws), "<i4"))
                 listed = pa.ListArray.from_arrays(pa.array(edges), flat)
                 corrected = pa.array([codec.corrected - before] + [0] * (len(raws) - 1), pa.int64())
-                kept = [rows.column(i) for i in range(rows.num_columns - 1)]
+                carried = [rows.column(i) for i in range(rows.num_columns - 1)]
                 names = rows.schema.names[:-1]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, listed, corrected], [*names, "_ids", "_corrected"]
+                    [*carried, listed, corrected], [*names, "_ids", "_corrected"]
                 )
 
     return encode

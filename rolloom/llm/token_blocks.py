@@ -70,12 +70,32 @@ class ByteLevelEncoder:
         self._starts_word[[i for piece, i in vocabulary.items() if piece.startswith(_MARK)]] = True
         self._stops = dict(zip(_STOPS, self._encode(list(_STOPS))))
         self._behind_space: WordMemo[bytes] = WordMemo(self._encode_behind_space)
-        self._plain: WordMemo[bytes] = WordMemo(self._encode, 100_000)
+        self._plain: WordMemo[bytes] = WordMemo(self._encode_plain, 100_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in encoded]
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Words that begin a line: in a few texts, a line each, parted at the line feeds again."""
+        feed = np.frombuffer(self._encode(["\n"])[0], "<u4")
+        single = [w for w in words if w and not re.search(r"\s", w)]
+        parts = [single[at : at + 1000] for at in range(0, len(single), 1000)]
+        joined = self._tokenizer.encode_batch_fast(
+            ["\n".join(part) for part in parts], add_special_tokens=False
+        )
+        found: dict[str, bytes] = {}
+        for part, encoded in zip(parts, joined):
+            ids = np.array(encoded.ids, "<u4")
+            cut = np.flatnonzero(ids == feed[0])
+            if len(feed) == 1 and len(cut) == len(part) - 1:
+                raw, begin = ids.tobytes(), [0, *((cut + 1) * 4).tolist()]
+                end = [*(cut * 4).tolist(), len(raw)]
+                found.update(zip(part, [raw[i:j] for i, j in zip(begin, end)]))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._encode(rest)))
+        return [found[w] for w in words]
+
     def _join(self, words: list[str]) -> list[bytes]:
         """Words without blanks in a few texts: each begins at a piece with a leading space."""
         parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]

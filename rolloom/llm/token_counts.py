@@ -256,9 +256,9 @@ def _chunk_maps(model: str) -> Callable:
                         [("head", pa.string()), ("tokens", pa.int64()), ("state", pa.string())]
                     ),
                 )
-                kept = [rows.column(c) for c in ("row", "key", "n_bytes", "no")]
+                carried = [rows.column(c) for c in ("row", "key", "n_bytes", "no")]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, *made.columns],
+                    [*carried, *made.columns],
                     ["row", "key", "n_bytes", "no", "head", "tokens", "state"],
                 )
 

@@ -1,0 +1,289 @@
+"""Exact, SimHash and embedding duplicates against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rolloom.llm import embedding_dedup, simhash
+from rolloom.llm.components import component_minimum, components
+from rolloom.llm.embedding_dedup import embedding_groups, tile_links
+from rolloom.llm.exact_dedup import drop_exact_copies, exact_dedup
+from rolloom.llm.simhash import drop_near_copies, simhash_groups
+
+DOCS = "doc_id bigint, text string, lang string, source string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, "en", "s") for r in rows], DOCS)
+
+
+def groups_by(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+# --- exact ---------------------------------------------------------------------------------------
+
+
+def brute_exact(rows):
+    groups: dict[str, list] = {}
+    for key, text in rows:
+        body = re.sub(r"[\x20\x09-\x0D]", "", text or "")
+        groups.setdefault(body, []).append((-len(text or ""), key is None, key))
+    out = []
+    for key, text in rows:
+        body = re.sub(r"[\x20\x09-\x0D]", "", text or "")
+        best = min(groups[body], key=lambda x: (x[0], x[1], x[2] or 0))
+        digest = hashlib.sha256(body.encode()).hexdigest()
+        wins = key == best[2] and -len(text or "") == best[0]
+        out.append((key, best[2], len(groups[body]), wins, digest))
+    return sorted(out, key=repr)
+
+
+HARD = [
+    (1, "a b"), (2, "ab"), (3, "a\tb\n"), (4, None), (5, ""), (6, " \x0b\x0c\r"), (7, "a b"),
+    (7, "x"), (8, "a b"), (9, "é" * 5000), (10, " " + "é" * 5000), (11, "é" * 4999 + "e"),
+    (None, "q"), (12, "q"), (None, "only"), (13, "日 本"), (14, "日本 "), (15, "ab" * 400_000),
+]
+
+
+def test_exact_against_brute_force(spark):
+    found = exact_dedup(docs(spark, HARD), digest_all=True)
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(map(tuple, found.select(columns).collect()), key=repr) == brute_exact(HARD)
+
+
+def test_exact_hashes_survivors_only(spark):
+    found = {r["doc_id"]: r["text_sha256"] for r in exact_dedup(docs(spark, HARD[:15])).collect()}
+    assert found[1] is not None and found[11] is None
+
+
+def test_repeated_rows_are_one_document(spark):
+    found = exact_dedup(docs(spark, [(1, "a"), (1, "a"), (2, " a ")])).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found} == {
+        (1, 2, 3, False),
+        (2, 2, 3, True),
+    }
+
+
+def test_drop_exact_copies_keeps_columns(spark):
+    rows = docs(spark, HARD).withColumns({"_digest": F.lit(1), "keep_id": F.lit(2)})
+    kept = drop_exact_copies(rows)
+    assert kept.columns == rows.columns
+    want = sorted(key for key, *_, wins, _ in brute_exact(HARD) if wins and key is not None)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == want
+
+
+def test_no_rows(spark):
+    empty = docs(spark, [])
+    assert exact_dedup(empty).count() == 0
+    assert drop_exact_copies(empty).count() == 0
+    assert simhash_groups(empty).count() == 0
+    assert drop_near_copies(empty).count() == 0
+
+
+def test_exact_has_no_python(spark):
+    plan = exact_dedup(docs(spark, HARD))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# --- components ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components(spark, shape):
+    rng = random.Random(3)
+    links = {
+        "chain": [(i, i + 1) for i in range(300)],
+        "star": [(0, i) for i in range(1, 300)] + [(500, 501)],
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(220)],
+    }[shape]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    nodes = {n for pair in links for n in pair if pair[0] != pair[1]}
+    found = {r["node"]: r["label"] for r in components(frame).collect()}
+    assert found == groups_by([p for p in links if p[0] != p[1]], nodes)
+
+
+def test_component_minimum_of_other_ids(spark):
+    nodes = spark.createDataFrame([(1, 90), (2, 10), (3, 50), (4, None)], "node bigint, min_id bigint")
+    links = spark.createDataFrame([(1, 2), (4, 4)], "a bigint, b bigint")
+    found = {r["node"]: r["component_id"] for r in component_minimum(nodes, links).collect()}
+    assert found == {1: 10, 2: 10, 3: 50, 4: None}
+
+
+# --- SimHash -------------------------------------------------------------------------------------
+
+
+def brute_simhash(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+TEXTS = [None, "", " \n", "One", "ONE two", "one  TWO\tthree", "É é ÉCOLE a b", "a " * 5000, "x\x1cy z w"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_fingerprint(text):
+    assert simhash.simhash(text) % (1 << 64) == brute_simhash(text)
+
+
+def test_fingerprint_uses_sparks_hash(spark):
+    own = spark.range(1).select(F.xxhash64(F.lit("one two three"))).first()[0]
+    assert own % (1 << 64) == xxhash.xxh64_intdigest(b"one two three", 42)
+
+
+def near_prints(rng):
+    """Random fingerprints, families of neighbours, and chains three bits apart."""
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for base in prints[:12]:
+        for _ in range(12):
+            flips = rng.sample(range(64), rng.randrange(1, 6))
+            prints.append(base ^ sum(1 << b for b in flips))
+    at = prints[0]
+    for _ in range(6):
+        at ^= sum(1 << b for b in rng.sample(range(64), 3))
+        prints.append(at)
+    return sorted(set(prints))
+
+
+@pytest.mark.parametrize("hot_cell", [8192, 2])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, hot_cell):
+    monkeypatch.setattr(simhash, "HOT_CELL", hot_cell)
+    prints = near_prints(random.Random(5))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    links = [(r["a"], r["b"]) for r in simhash.near_links(frame).collect()]
+    near = [
+        (a, b)
+        for i, a in enumerate(signed)
+        for b in signed[i + 1 :]
+        if ((a ^ b) % (1 << 64)).bit_count() <= 3
+    ]
+    assert all(((a ^ b) % (1 << 64)).bit_count() <= 3 for a, b in links)
+    assert len(near) > 50 and groups_by(links, signed) == groups_by(near, signed)
+
+
+def test_groups_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for key in range(60):
+        text = [rng.choice(words) for _ in range(rng.randrange(2, 200))]
+        rows.append((key * 3, " ".join(text)))
+        text[0] = "changed"
+        rows.append((key * 3 + 1, "  ".join(text)))
+    rows += [(500, None), (501, ""), (502, "\t"), (503, rows[4][1].upper()), (None, "zz")]
+    found = simhash_groups(docs(spark, rows)).collect()
+    prints = [brute_simhash(t) for _, t in rows]
+    near = [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i + 1, len(rows))
+        if (prints[i] ^ prints[j]).bit_count() <= 3
+    ]
+    root = groups_by(near, range(len(rows)))
+    least: dict[int, int | None] = {}
+    for i, (key, _) in enumerate(rows):
+        best = least.get(root[i])
+        least[root[i]] = key if best is None else best if key is None else min(best, key)
+    want = {(k, f"{p:016x}", least[root[i]]) for i, ((k, _), p) in enumerate(zip(rows, prints))}
+    assert {tuple(r) for r in found} == want and len(found) == len(rows)
+
+
+def test_hot_copies(spark):
+    rows = spark.range(30_000).selectExpr(
+        "id AS doc_id", "IF(id % 3 = 0, 'same old text again', concat('t ', id, ' u ', id)) AS text"
+    )
+    found = simhash_groups(rows).filter("doc_id % 3 = 0")
+    assert found.select("component_id").distinct().collect()[0][0] == 0
+
+
+# --- embeddings ----------------------------------------------------------------------------------
+
+
+def brute_embeddings(rows, threshold):
+    unit = {}
+    for i, (_, vector) in enumerate(rows):
+        if vector and all(x is not None and np.isfinite(x) for x in vector) and any(vector):
+            wide = np.asarray(vector, np.float32).astype(float)
+            unit[i] = wide / np.linalg.norm(wide)
+    near = [
+        (i, j)
+        for i in unit
+        for j in unit
+        if i < j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold
+    ]
+    degree = dict.fromkeys(range(len(rows)), 0)
+    for i, j in near:
+        degree[i] += 1
+        degree[j] += 1
+    root = groups_by(near, range(len(rows)))
+    out = []
+    for i, (key, _) in enumerate(rows):
+        ids = [rows[j][0] for j in root if root[j] == root[i] and rows[j][0] is not None]
+        least = min(ids, default=None)
+        out.append((key, degree[i], least, key == least))
+    return sorted(out, key=repr)
+
+
+def vectors(seed, count):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 24))
+    near = centres[rng.integers(0, 12, count)] + rng.normal(size=(count, 24)) * 0.22
+    rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in enumerate(near)]
+    rows += [(count + i, rows[3][1]) for i in range(5)]
+    rows += [
+        (9001, None), (9002, []), (9003, [0.0] * 24), (9004, [float("nan")] + [1.0] * 23),
+        (9005, [None] + [1.0] * 23), (9006, [float("inf")] + [1.0] * 23), (9007, [1.0, 2.0]),
+        (9008, [2.0, 4.0]), (9009, [-0.0, 1.0]), (9010, [0.0, 1.0]), (9011, [1e-30, 1e30]),
+        (None, rows[3][1]),
+    ]
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 32])
+def test_embeddings_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    rows = vectors(4, 220)
+    frame = spark.createDataFrame(
+        [(k, v, 1) for k, v in rows], "vec_id bigint, embedding array<float>, key int"
+    )
+    found = sorted(map(tuple, embedding_groups(frame).collect()), key=repr)
+    assert found == brute_embeddings(rows, 0.95)
+    assert embedding_groups(frame.limit(0)).count() == 0
+
+
+def test_bounds_are_rigorous():
+    rng = np.random.default_rng(1)
+    for size in (2, 64, 1200):
+        left = rng.normal(size=(90, size))
+        right = np.concatenate([left + rng.normal(size=left.shape) * s for s in (1e-4, 0.05, 0.3)])
+        left /= np.linalg.norm(left, axis=1, keepdims=True)
+        right /= np.linalg.norm(right, axis=1, keepdims=True)
+        exact = left @ right.T
+        for threshold in (0.5, 0.95, 0.99):
+            links = np.concatenate([x for _, x in tile_links(left, right, False, threshold)])
+            sure = np.abs(exact - threshold) > 1e-12
+            assert (links == (exact >= threshold))[sure].all()
