@@ -28,7 +28,7 @@ from rolloom.llm.word_memo import WordMemo
 from rolloom.llm.worker import kept
 
 CHUNK_CHARS = 1 << 16
-MAX_STATES = 150_000
+MAX_STATES = 80_000
 _NORMAL, _USER, _UNUSED, _BYTE = 1, 4, 5, 6  # piece types of the protobuf
 _SLICE = 256
 
@@ -56,10 +56,12 @@ class CountingTransducer:
         self._prefixes = {piece[:n] for piece in usable for n in range(1, len(piece) + 1)}
         self._known: dict[tuple, State] = {}
         self._alone = lru_cache(1 << 16)(lambda t: self.tokens(t) == [t])
-        self._follows = lru_cache(1 << 17)(self._follow)
+        self._follows = lru_cache(1 << 16)(self._follow)
         self._made = lru_cache(1 << 15)(self._steps)
         self.start = self._state("", ((0, ""),))
-        self.words: WordMemo[int] = WordMemo(lambda words: [self._word(w) for w in words])
+        self.words: WordMemo[int] = WordMemo(
+            lambda words: [self._word(w) for w in words], 150_000
+        )
 
     def _best(self, parts: list[str]) -> tuple[float, int] | None:
         """Score and (negative) place of the pair to be joined next: the best one, the leftmost of
