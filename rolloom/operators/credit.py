@@ -52,10 +52,21 @@ def group_advantage(
 def token_advantage(
     tokens: DataFrame, rollouts: DataFrame, keys: Sequence[str] = ROLLOUT
 ) -> DataFrame:
-    """Spread the advantage of a rollout to all of its tokens."""
+    """Spread the advantage of a rollout to all of its tokens, for tables that arrive as tokens.
+
+    Where the texts are at hand, :func:`with_advantage` first and tokens after it is the way: then
+    the join moves rollouts, not tokens.
+    """
     return tokens.join(rollouts.select(*keys, "advantage"), list(keys))
 
 
+def with_advantage(
+    texts: DataFrame, rollouts: DataFrame, keys: Sequence[str] = ROLLOUT
+) -> DataFrame:
+    """Add a rollout's ``advantage`` to its text row, before it is cut into tokens."""
+    return texts.join(rollouts.select(*keys, "advantage"), list(keys))
+
+
 def hicra_advantage(advantage: Column, planning: Column, alpha: float = HICRA_ALPHA) -> Column:
     """``A + alpha * |A|`` on planning tokens: gains grow, losses soften."""
     return advantage + F.lit(alpha) * F.abs(advantage) * planning.cast("double")
@@ -92,10 +103,29 @@ def completion_mask(shifted_idx: Column, prompt_len: Column, compat: bool = True
 def align_min_len(
     advantages: DataFrame, logprobs: DataFrame, keys: Sequence[str] = ROLLOUT
 ) -> DataFrame:
-    """Cut two position-wise tables to their common positions."""
+    """Cut two position-wise tables to their common positions, for tables that arrive as tokens.
+
+    Lists in one row are cut by :func:`align_lists`, without a join of tokens.
+    """
     return advantages.join(logprobs, [*keys, "shifted_idx"])
 
 
+def align_lists(rows: DataFrame, keys: Sequence[str], **lists: Column) -> DataFrame:
+    """Lists of one rollout, cut to the shortest and laid side by side: ``(keys, shifted_idx, ...)``.
+
+    The first position drops, as in :func:`shift_labels`. Nothing is shuffled.
+    """
+    named = rows.select(*keys, *[value.alias(f"_{name}") for name, value in lists.items()])
+    sizes = [F.coalesce(F.size(f"_{name}"), F.lit(0)) for name in lists]
+    shortest = F.least(*sizes) if len(sizes) > 1 else sizes[0]
+    named = named.withColumn("_n", F.greatest(shortest - 1, F.lit(0)))
+    cut = [F.slice(f"_{name}", F.lit(2), F.col("_n")).alias(name) for name in lists]
+    pairs = named.select(*keys, F.posexplode_outer(F.arrays_zip(*cut)).alias("shifted_idx", "_p"))
+    return pairs.filter(F.col("shifted_idx").isNotNull()).select(
+        *keys, F.col("shifted_idx").cast("bigint").alias("shifted_idx"), "_p.*"
+    )
+
+
 def masked_pg_loss(tokens: DataFrame, *by: str) -> DataFrame:
     """``-sum(A * logp * mask) / sum(mask)`` over all tokens of a group; NULL without a token."""
     weight = F.sum(F.col("advantage") * F.col("logp") * F.col("mask"))

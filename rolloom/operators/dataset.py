@@ -15,6 +15,7 @@ from rolloom.constants import (
     FORMAT_SYSTEM_PROMPT,
     MATH_SYSTEM_PROMPT,
     NUM_GENERATIONS,
+    PLAIN_GENERATOR_PROMPT,
     TARGET_SAMPLES,
 )
 from rolloom.functions.chat import chat_prompt
@@ -86,6 +87,11 @@ def prompt_render(draws: DataFrame, out: str = "prompt") -> DataFrame:
     return draws.withColumn(out, F.concat(*parts))
 
 
+def plain_prompt(requests: DataFrame, out: str = "prompt") -> DataFrame:
+    """The generator's text without slots, for every request."""
+    return requests.withColumn(out, F.lit(PLAIN_GENERATOR_PROMPT))
+
+
 # --- responses -> question/answer rows ----------------------------------------------------------
 
 _JSON = {"allowSingleQuotes": "false"}
@@ -169,32 +175,53 @@ def union_batches(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def collect_progress(items: DataFrame, batch_col: str = "batch_no") -> DataFrame:
-    """Per batch: its size, the total before it and the total with it."""
-    sizes = items.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_items"))
+def _progress(sizes: DataFrame, batch_col: str) -> DataFrame:
     sizes = materialize(sizes, "batch-sizes")  # used on every level of the running sum
     return running_sum(sizes, batch_col, F.col("n_items"), "before").withColumn(
         "progress", F.col("before") + F.col("n_items")
     )
 
 
-def collect_until(
-    items: DataFrame, target: int = TARGET_SAMPLES, batch_col: str = "batch_no"
-) -> DataFrame:
-    """Whole batches in order until at least ``target`` rows are there; the overshoot is kept.
+def collect_progress(items: DataFrame, batch_col: str = "batch_no") -> DataFrame:
+    """Per batch: its size, the total before it and the total with it.
 
-    The kept batches are a prefix of the order. Its last number, one value, is looked up first, so
-    that the filter reaches the scan and later batches are not parsed again.
+    ``items`` are rows of items. Batch numbers may be negative; a NULL one is an error.
     """
-    kept = collect_progress(items, batch_col).filter(F.col("before") < target)
-    kept = kept.select(batch_col, "progress")
+    return _progress(items.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_items")), batch_col)
+
+
+def batch_progress(batches: DataFrame, batch_col: str = "batch_no") -> DataFrame:
+    """:func:`collect_progress` from parsed batches, whose items are counted and not exploded."""
+    sizes = drop_empty_batches(batches).groupBy(batch_col)
+    return _progress(sizes.agg(F.sum(F.size("items")).alias("n_items")), batch_col)
+
+
+def _kept_prefix(
+    rows: DataFrame, progress: DataFrame, target: int, batch_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """The kept batches are a prefix of the order. Its last number, one value, is looked up first,
+    so that a filter reaches the scan and later batches are not read again."""
+    kept = progress.filter(F.col("before") < target).select(batch_col, "progress")
     last = kept.agg(F.max(batch_col)).first()[0]
-    prefix = items.filter(F.lit(False) if last is None else F.col(batch_col) <= last)
-    if target <= 100_000:  # every kept batch has a row before the target: at most `target` of them
-        kept = F.broadcast(kept)
+    return rows.filter(F.lit(False) if last is None else F.col(batch_col) <= last), kept
+
+
+def collect_until(
+    items: DataFrame, target: int = TARGET_SAMPLES, batch_col: str = "batch_no"
+) -> DataFrame:
+    """Whole batches in order until at least ``target`` rows are there; the overshoot is kept."""
+    prefix, kept = _kept_prefix(items, collect_progress(items, batch_col), target, batch_col)
     return prefix.join(kept, batch_col)
 
 
+def collect_batches(
+    batches: DataFrame, target: int = TARGET_SAMPLES, batch_col: str = "batch_no"
+) -> DataFrame:
+    """:func:`collect_until` from parsed batches; only those that are kept are parsed again."""
+    prefix, kept = _kept_prefix(batches, batch_progress(batches, batch_col), target, batch_col)
+    return explode_items(prefix, batch_col).join(kept, batch_col)
+
+
 # --- chat datasets and rollout groups -----------------------------------------------------------
 
 

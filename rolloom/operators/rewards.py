@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.constants import LEXICON_V1, LEXICON_V2
+from rolloom.constants import LEXICON_V1, LEXICON_V2, WHITESPACE
 from rolloom.functions.chat import first_content
 from rolloom.functions.text import (
     SPACE_CLASS,
+    char_class,
     count_xml,
     digit_class,
     holds,
@@ -109,18 +110,30 @@ def reasoning(c: Columns, phrases: Sequence[str] = LEXICON_V2) -> Column:
 # --- layout -------------------------------------------------------------------------------------
 
 # --- fixed values: layout patterns -------------------------------------------------------------
-# (?s): dot takes newlines too. (?d): only \n ends a line, so dot stops nowhere else.
-_LAYOUT = f"<reasoning>.*?</reasoning>{SPACE_CLASS}*<answer>.*?</answer>"
-FORMAT_SEARCH = "(?s)" + _LAYOUT
-FORMAT_SOFT = "(?d)\\A" + _LAYOUT
+# (?d): only \n ends a line, so dot stops nowhere else.
+OPEN_REASONING, CLOSE_ANSWER = "<reasoning>", "</answer>"
+TURN = f"</reasoning>{SPACE_CLASS}*<answer>"
+TURN_IN_LINE = f"</reasoning>{char_class(set(WHITESPACE) - {chr(10)})}*<answer>"
+END_OF_LINE = f"</reasoning>{char_class(set(WHITESPACE) - {chr(10)})}*\\z"
 FORMAT_STRICT = (
     "(?d)\\A<reasoning>\\n.*?\\n</reasoning>\\n<answer>\\n.*?\\n</answer>\\n\\n?\\z"
 )
 
 
+def _behind(text: Column, pattern: str) -> Column:
+    """What follows the first match; NULL without one."""
+    return F.get(F.split(text, pattern, 2), F.lit(1))
+
+
 def format_search(c: Columns) -> Column:
-    """0.5 if the tagged layout occurs anywhere; bodies may span lines."""
-    return _pay(F.rlike(c["completion"], F.lit(FORMAT_SEARCH)), 0.5)
+    """0.5 if the tagged layout occurs anywhere; bodies may span lines.
+
+    Any text may stand between the tags, so the first of each tag decides: a text is cut at the first
+    opening tag, behind it at the first turn from reasoning to answer, and behind that a closing tag
+    is looked for. Each step reads the text once, however often a tag is repeated.
+    """
+    body = _behind(c["completion"], OPEN_REASONING)
+    return _pay(F.contains(_behind(body, TURN), F.lit(CLOSE_ANSWER)), 0.5)
 
 
 def format_strict(c: Columns) -> Column:
@@ -129,8 +142,23 @@ def format_strict(c: Columns) -> Column:
 
 
 def format_soft(c: Columns) -> Column:
-    """0.5 if the completion starts with the tagged layout; bodies stay on their line."""
-    return _pay(F.rlike(c["completion"], F.lit(FORMAT_SOFT)), 0.5)
+    """0.5 if the completion starts with the tagged layout; bodies stay on their line.
+
+    Either the turn from reasoning to answer lies on the first line, then its first one decides; or
+    only blanks follow the reasoning on that line, and the answer opens behind them on a later one.
+    """
+    text = c["completion"]
+    body = F.when(F.startswith(text, F.lit(OPEN_REASONING)), _behind(text, OPEN_REASONING))
+    line, below = F.get(F.split(body, "\n", 2), F.lit(0)), _behind(body, "\n")
+    in_line = F.contains(_behind(line, TURN_IN_LINE), F.lit(CLOSE_ANSWER))
+    opened = F.ltrim(below, F.lit(WHITESPACE))
+    answer = F.get(F.split(opened, "\n", 2), F.lit(0))
+    over_lines = (
+        F.rlike(line, F.lit(END_OF_LINE))
+        & F.startswith(answer, F.lit("<answer>"))
+        & F.contains(answer, F.lit(CLOSE_ANSWER))
+    )
+    return _pay(F.coalesce(in_line, F.lit(False)) | F.coalesce(over_lines, F.lit(False)), 0.5)
 
 
 def integer(c: Columns) -> Column:

@@ -50,15 +50,16 @@ def running_sum(
 ) -> DataFrame:
     """``out`` = sum of ``value`` over all rows before this one in ``order_col`` order.
 
-    ``order_col`` holds distinct non-negative integers. A window without partitions would pull
-    everything into one task, so the order is cut into ranges of 2**bits values: a window inside
-    each range, plus the totals of the ranges before it, found the same way one and two levels up
-    (3 x 21 bits span all of BIGINT). No window sees more than 2**bits rows.
+    ``order_col`` holds distinct integers; a NULL among them is an error, as it has no place in the
+    order. A window without partitions would pull everything into one task, so the order is cut into
+    ranges of 2**bits values: a window inside each range, plus the totals of the ranges before it,
+    found the same way one and two levels up (3 x 21 bits span all of BIGINT but its sign). No window
+    sees more than 2**bits rows.
     """
-    rows = df.withColumn("_v", value.cast("bigint"))
+    missing = F.raise_error(F.lit(f"NULL in {order_col}, which gives the order")).cast("bigint")
+    rows = df.withColumn(order_col, F.coalesce(F.col(order_col), missing))
+    rows = rows.withColumn("_v", value.cast("bigint"))
     levels = -(-63 // bits)
-    totals: DataFrame | None = None
-    offsets: DataFrame | None = None
 
     def before(order: str, *partition: str):
         window = Window.partitionBy(*partition).orderBy(order)
@@ -78,15 +79,18 @@ def running_sum(
             .agg(F.sum("_v").alias("_v"))
             .withColumn(f"_k{level + 1}", F.shiftright(f"_k{level}", bits))
         )
+    # on top there are two ranges, -1 and 0: all negative numbers come before the others
+    top = f"_k{levels}"
+    signs = tables[-1].groupBy(top).agg(F.sum("_v").alias("_base"))
+    offsets = signs.withColumn(top, F.col(top) + 1)
     # offsets of the ranges, from coarse to fine
     for level in range(levels - 1, 0, -1):
         totals = tables[level].withColumn(
             "_own", before(f"_k{level}", f"_k{level + 1}")
         )
-        if offsets is not None:
-            totals = totals.join(offsets, f"_k{level + 1}").withColumn(
-                "_own", F.col("_own") + F.col("_base")
-            )
+        totals = totals.join(offsets, f"_k{level + 1}", "left").withColumn(
+            "_own", F.col("_own") + F.coalesce("_base", F.lit(0))
+        )
         offsets = totals.select(f"_k{level}", F.col("_own").alias("_base"))
     own = tables[0].withColumn(out, before("_k0", "_k1"))
     return (

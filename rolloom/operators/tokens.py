@@ -21,7 +21,9 @@ BLANK = "[ \\t\\n\\x0B\\f\\r]"
 NON_BLANK = "[^ \\t\\n\\x0B\\f\\r]"
 TOKEN = f"{BLANK}*{NON_BLANK}+"
 
+CONTROLS, BLANKS = "\x01\x02\x03\x04\x05\x06\x07\x08", "\x0b\f\r\t\n "  # to choose marks from
 CHUNK_CHARS = 4096
+RANGE_CHARS = 1 << 16  # a text's positions are swept in ranges of this size
 # letters outside ASCII that match an ASCII letter when case is ignored, and that lower() does
 # not turn into it
 _FOLDED = "[\\x{130}\\x{131}\\x{17f}]"
@@ -36,15 +38,63 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{NON_BLANK}+")).cast("bigint")
 
 
-def _overlaps_itself(phrase: str) -> bool:
-    folded = phrase.casefold()
-    return any(folded.endswith(folded[:n]) for n in range(1, len(folded)))
+def _may_overlap(one: str, other: str) -> bool:
+    """Whether hits of two phrases can share a character."""
+    a, b = one.casefold(), other.casefold()
+    ends = any(a.endswith(b[:n]) or b.endswith(a[:n]) for n in range(1, min(len(a), len(b))))
+    return ends or a in b or b in a
 
 
-def _chunks(text: str, chunk_chars: int | None) -> str:
+def _apart(phrases: Sequence[str]) -> list[list[str]]:
+    """The phrases in a few groups, in which no two can overlap."""
+    groups: list[list[str]] = []
+    for phrase in phrases:
+        for group in groups:
+            if not any(_may_overlap(phrase, other) for other in group):
+                group.append(phrase)
+                break
+        else:
+            groups.append([phrase])
+    return groups
+
+
+def _marks(phrases: Sequence[str], candidates: str) -> list[str]:
+    free = [c for c in candidates if not any(c in phrase for phrase in phrases)]
+    if len(free) < 2:
+        raise ValueError("the phrases use too many control characters or kinds of blanks")
+    return free[:2]
+
+
+def _has_mark(phrases: Sequence[str]) -> str:
+    marks = _marks(phrases, CONTROLS)[0] + _marks(phrases, BLANKS)[0]
+    return f"t RLIKE {quote('[' + ''.join(f'{chr(92)}x{ord(c):02x}' for c in marks) + ']')}"
+
+
+def _marked(text: str, phrases: Sequence[str]) -> list[str]:
+    """For each group of phrases a copy of the text in which their hits are written over with marks.
+
+    The copies have the text's length and its blanks, so they fall into the same chunks and tokens. A
+    phrase's hits are found over the whole text from its left end, also if it can overlap itself;
+    letters outside ASCII are handled as in :func:`_spans`. A mark for blanks and one for all else are
+    characters that no phrase holds; where a text has them, a second such character takes their place.
+    """
+    mark, other = _marks(phrases, CONTROLS)
+    blank, other_blank = _marks(phrases, BLANKS)
+    odd = f"{text} RLIKE {quote(_FOLDED)}" if all(g.isascii() for g in phrases) else "true"
+    clean = f"translate({text}, {quote(mark + blank)}, {quote(other + other_blank)})"
+    copies = []
+    for group in _apart(phrases):
+        low, raw = f"lower({clean})", clean
+        for phrase in group:
+            marks = quote("".join(blank if c in " \t\n\x0b\f\r" else mark for c in phrase))
+            low = f"replace({low}, {quote(phrase.lower())}, {marks})"
+            raw = f"regexp_replace({raw}, {quote('(?iu)' + regex_quote(phrase))}, {marks})"
+        copies.append(f"IF({odd}, {raw}, {low})")
+    return copies
+
+
+def _chunks(text: str, chunk_chars: int) -> str:
     """Cut a text behind a non-blank, every ``chunk_chars`` characters or a little later."""
-    if chunk_chars is None:
-        return f"array({text})"
     pattern = f"(?s).{{1,{chunk_chars}}}{BLANK}*{NON_BLANK}*"
     return f"regexp_extract_all({text}, {quote(pattern)}, 0)"
 
@@ -94,35 +144,31 @@ def tokens(
 ) -> DataFrame:
     """Token table ``(keys, token_idx, token, start, end)``, with ``planning`` if phrases are given.
 
-    A text is cut into chunks of about ``chunk_chars`` characters; a chunk looks at the characters
-    around it that a phrase could reach, so hits across the cut are found. The work per text is
-    linear in its length. Phrases that can overlap themselves are scanned over the whole text,
-    where the left-to-right choice among overlapping hits is decided. ``keep_empty`` leaves rows with
-    a NULL token where there is none, so that no text is lost in a following aggregation.
+    A text, and the copies of it in which phrases are marked, are cut into chunks of about
+    ``chunk_chars`` characters; a token is a planning token if it has a mark in some copy. The work
+    is linear in the length of the text, whatever it holds. ``keep_empty`` leaves rows with a NULL
+    token where there is none, so that no text is lost in a following aggregation.
     """
-    cut: int | None = chunk_chars
-    reach = 0
-    if phrases is not None:
-        reach = max(map(len, phrases)) - 1
-        cut = None if any(map(_overlaps_itself, phrases)) else max(chunk_chars, reach)
+    copies = [] if phrases is None else _marked(text, phrases)
 
     # one row per text: chunks, their tokens, and where each chunk begins
-    texts = df.select(*keys, F.expr(_chunks(text, cut)).alias("_c"))
+    marked = [f"_m{i}" for i in range(len(copies))]
+    texts = df.select(
+        *keys,
+        F.expr(_chunks(text, chunk_chars)).alias("_c"),
+        *[F.expr(_chunks(sql, chunk_chars)).alias(name) for sql, name in zip(copies, marked)],
+    )
     texts = texts.select(
         *keys,
         "_c",
+        *marked,
         F.expr(f"transform(_c, c -> regexp_extract_all(c, {quote(TOKEN)}, 0))").alias("_t"),
     )
     columns = {
         "_t": "_t",
         "_base": running_totals("transform(_c, c -> length(c))"),
         "_first": running_totals("transform(_t, t -> size(t))"),
-    }
-    if phrases is not None:
-        before = f"coalesce(right(get(_c, i - 1), {reach}), '')"
-        after = f"coalesce(left(get(_c, i + 1), {reach}), '')"
-        columns["_lead"] = f"transform(_c, (c, i) -> length({before}))"
-        columns["_view"] = f"transform(_c, (c, i) -> concat({before}, c, {after}))"
+    } | {name: name for name in marked}
     texts = texts.select(*keys, *[F.expr(sql).alias(name) for name, sql in columns.items()])
 
     # one row per chunk. The outer explodes keep Spark from testing the arrays for emptiness first,
@@ -135,27 +181,37 @@ def tokens(
     )
     offsets = running_totals("transform(_t, t -> length(t))")
     located = f"zip_with(_t, {offsets}, (t, s) -> {token})"
-    carried = ["_first"]
     out = ["_first + _i AS token_idx", "_k.token", "_k.start", "_k.`end`"]
-    if phrases is not None:
-        shift = "_base - _lead"
-        moved = f"named_struct('start', s.start + {shift}, 'end', s.`end` + {shift})"
-        spans = f"transform({_spans('_view', phrases)}, s -> {moved})"
-        chunks = chunks.withColumn("_spans", F.expr(spans))
-        carried.append("_spans")
-        out.append(
-            "exists(_spans, s -> _k.`end` > s.start AND _k.start < s.`end`) AS planning"
-        )
+    if marked:
+        has = _has_mark(phrases)
+        flags = [f"transform(regexp_extract_all({m}, {quote(TOKEN)}, 0), t -> {has})" for m in marked]
+        flag = flags[0]
+        for more in flags[1:]:
+            flag = f"zip_with({flag}, {more}, (a, b) -> a OR b)"
+        located = f"zip_with({located}, {flag}, (k, f) -> named_struct('k', k, 'f', f))"
+        out = ["_first + _i AS token_idx", "_k.k.token", "_k.k.start", "_k.k.`end`", "_k.f AS planning"]
 
     # one row per token
     rows = chunks.select(
-        *keys, *carried, F.expr(f"posexplode_outer({located})").alias("_i", "_k")
+        *keys, "_first", F.expr(f"posexplode_outer({located})").alias("_i", "_k")
     )
     if not keep_empty:
         rows = rows.filter(F.col("_i").isNotNull())
     return rows.select(*keys, *[F.expr(sql) for sql in out])
 
 
+def planning_flags(text: str, phrases: Sequence[str] = LEXICON_V1) -> Column:
+    """For every token of a text, in one list, whether it overlaps a hit of some phrase."""
+    flags = [
+        f"transform(regexp_extract_all({copy}, {quote(TOKEN)}, 0), t -> {_has_mark(phrases)})"
+        for copy in _marked(text, phrases)
+    ]
+    flag = flags[0]
+    for more in flags[1:]:
+        flag = f"zip_with({flag}, {more}, (a, b) -> a OR b)"
+    return F.expr(flag)
+
+
 def token_offsets(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """``(keys, token_idx, token, start, end)`` of every text."""
     return tokens(df, text, keys)
@@ -176,32 +232,59 @@ def planning_mask(
     return mask if seq_len is None else mask.filter(F.col("token_idx") < seq_len)
 
 
-def mask_by_spans(token_table: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+def mask_by_spans(
+    token_table: DataFrame, spans: DataFrame, keys: Sequence[str], range_chars: int = RANGE_CHARS
+) -> DataFrame:
     """``planning`` for a given token table and a given span table.
 
     An interval-overlap join without pairs: tokens and spans of a text are laid on one axis, and a
     running maximum of span ends tells each token whether a span that starts before its end reaches
-    past its start. One shuffle by text; a group holds one text.
+    past its start. The axis of a text is cut into ranges of ``range_chars``, so that one long text
+    is swept by many tasks; what spans reach from the ranges before is the maximum of their ends, one
+    row per range. That needs the ranges in use: token positions are read twice.
     """
-    axis = token_table.select(
-        *keys,
-        F.struct("token_idx", "start", "end").alias("_tok"),
-        F.col("end").alias("_at"),
-        F.lit(0).alias("_kind"),  # at the same place tokens come first: start < end is strict
-        F.lit(None).cast("bigint").alias("_until"),
-    ).unionByName(
-        spans.select(
+
+    def place(position: str) -> Column:
+        return F.expr(f"{position} div {range_chars}").alias("_range")
+
+    nothing = F.lit(None).cast("bigint")
+    used = token_table.select(*keys, place("greatest(`end` - 1, 0)"), nothing.alias("_until"))
+    reached = spans.select(*keys, place("start"), F.col("end").cast("bigint").alias("_until"))
+    ranges = used.unionByName(reached).groupBy(*keys, "_range").agg(F.max("_until").alias("_until"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = ranges.select(*keys, "_range", F.max("_until").over(earlier).alias("_until")).filter(
+        F.col("_until").isNotNull()
+    )
+    no_token = F.lit(None).cast("struct<token_idx:bigint,start:bigint,end:bigint>").alias("_tok")
+    axis = (
+        token_table.select(
             *keys,
-            F.lit(None).cast(
-                "struct<token_idx:bigint,start:bigint,end:bigint>"
-            ).alias("_tok"),
-            F.col("start").alias("_at"),
-            F.lit(1).alias("_kind"),
-            F.col("end").alias("_until"),
+            place("greatest(`end` - 1, 0)"),
+            F.struct("token_idx", "start", "end").alias("_tok"),
+            F.col("end").alias("_at"),
+            F.lit(0).alias("_kind"),  # at the same place tokens come first: start < end is strict
+            nothing.alias("_until"),
+        )
+        .unionByName(
+            spans.select(
+                *keys,
+                place("start"),
+                no_token,
+                F.col("start").alias("_at"),
+                F.lit(1).alias("_kind"),
+                F.col("end").alias("_until"),
+            )
+        )
+        .unionByName(
+            carried.select(
+                *keys, "_range", no_token, F.lit(-1).alias("_at"), F.lit(-1).alias("_kind"), "_until"
+            )
         )
     )
     window = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*keys, "_range")
         .orderBy("_at", "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

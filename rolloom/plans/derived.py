@@ -15,12 +15,8 @@ from rolloom.operators.dataset import fan_out_rollouts, zip_answers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A scan of a few splits (at most some GB) is dealt out to all cores first; a
-    larger one is left as it was split."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    few = rows.rdd.getNumPartitions() < min(cores, 32)
-    return rows.repartition(cores) if few else rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def prompt_key(conv: Column, turn: Column) -> Column:

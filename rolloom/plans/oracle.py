@@ -12,10 +12,12 @@ from rolloom.constants import (
     LEXICON_V1,
     LEXICON_V2,
     MATH_SYSTEM_PROMPT,
+    PLAIN_GENERATOR_PROMPT,
     TARGET_SAMPLES,
     WHITESPACE,
 )
 from rolloom.functions import chat
+from rolloom.operators.audits import ANSWER_SHAPES
 
 
 def _q(text: str) -> str:
@@ -563,7 +565,10 @@ SELECT coalesce(task, 'all') AS task, count(*) AS n, printf('%.4f', avg(score))
 FROM samples GROUP BY ROLLUP (task)""",
     "sink_eval_json": EVAL,
     "stream_ingest": _ITEMS,
-    "stream_step_log": f"WITH {LOGGED} SELECT step, {_STEP_COLUMNS} FROM logged GROUP BY step",
+    "stream_step_log": f"""WITH {LOGGED}
+SELECT step, {_STEP_COLUMNS}, {_r6('avg(-value / 7 + k / 11)')} AS kl FROM logged GROUP BY step""",
+    "stream_quarantine": f"""WITH {RESPONSES}
+SELECT batch_no, status FROM raws WHERE status >= 400""",
 }
 ORACLE |= {
     "rw_correct_pm1_scopes": f"""WITH {ROLLOUTS}
@@ -579,3 +584,82 @@ SELECT prompt_id, gen_idx,
 }
 ORACLE |= {f"rw_{name}": _by_rollout(_r6(sql), f"r_{name}") for name, sql in REWARDS.items()}
 ORACLE |= {f"rw_total_{key}": _by_rollout(_r6(sql), "reward") for key, sql in TOTALS.items()}
+
+_NORMAL = f"trim(regexp_replace(lower(text), {_q('[ \\t\\n\\x0B\\f\\r]+')}, ' ', 'g'))"
+_SHAPES = " ".join(
+    f"WHEN regexp_matches(trim(a), {_q(pattern)}) THEN {_q(name)}"
+    for name, pattern in ANSWER_SHAPES.items()
+)
+
+
+def _budget(max_prompt: int, max_completion: int) -> str:
+    return f"""WITH {ROLLOUTS},
+counted AS (
+  SELECT *, len(regexp_extract_all(prompt, {_q(TOKEN)})) AS n_prompt,
+         len(regexp_extract_all(completion, {_q(TOKEN)})) AS n_completion FROM rollouts
+)
+SELECT prompt_id, gen_idx, n_prompt, n_completion, n_prompt <= {max_prompt} AS within_prompt,
+       n_completion <= {max_completion} AS within_completion,
+       least(n_completion, {max_completion}) AS clipped_len FROM counted"""
+
+
+ORACLE |= {f"budget_flags_{p}_{c}": _budget(p, c) for p, c in ((256, 200), (256, 768))}
+ORACLE |= {
+    "prompt_render_plain": f"SELECT doc_id, {_q(PLAIN_GENERATOR_PROMPT)} AS prompt FROM documents",
+    "strip_fences_json_mode": f"""WITH {RESPONSES},
+moded AS (
+  SELECT provider, CASE WHEN provider = 'gemini' THEN text ELSE body END AS b
+  FROM stripped WHERE status < 400
+),
+sized AS (
+  SELECT provider, CASE WHEN json_valid(b) AND json_type(b) = 'ARRAY'
+                        THEN len(CAST(b AS JSON[])) ELSE 0 END AS n FROM moded
+)
+SELECT provider, count(*) FILTER (n > 0) AS n_kept, count(*) FILTER (n = 0) AS n_dropped,
+       CAST(sum(n) AS BIGINT) AS n_items FROM sized GROUP BY provider""",
+    "collect_until_signed": f"""WITH {RESPONSES},
+signed AS (
+  SELECT CASE WHEN batch_no % 2 = 0 THEN batch_no ELSE -batch_no END AS batch_no, pos, answer
+  FROM items
+),
+sizes AS (SELECT batch_no, count(*) AS n FROM signed GROUP BY batch_no),
+progress AS (
+  SELECT batch_no, CAST(sum(n) OVER (ORDER BY batch_no) AS BIGINT) AS progress, n FROM sizes
+)
+SELECT batch_no, pos, answer, progress FROM signed JOIN progress USING (batch_no)
+WHERE progress - n < {TARGET_SAMPLES}""",
+    "eval_rollup_limit": f"""WITH {SAMPLES},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY task ORDER BY prompt_id * 4 + gen_idx) AS r
+  FROM samples
+)
+SELECT task, count(*) AS n, {_r6('avg(score)')} AS score,
+       {_r6('stddev_samp(score) / sqrt(count(*))')} AS stderr
+FROM ranked WHERE r <= 50 GROUP BY task""",
+    "audit_answer_in_prompt": f"""WITH {ANSWERED}
+SELECT CASE WHEN c % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n,
+       count(*) FILTER (contains(prompt, answer)) AS n_in_prompt,
+       {_r6('count(*) FILTER (contains(prompt, answer)) / count(*)')} AS rate
+FROM answered GROUP BY split""",
+    "audit_split_overlap": f"""
+SELECT item_id, coalesce({_NORMAL} IN
+  (SELECT {_NORMAL} FROM documents WHERE text IS NOT NULL), false) AS overlaps
+FROM benchmark""",
+    "audit_split_overlap_documents": f"""
+SELECT doc_id, coalesce({_NORMAL} IN
+  (SELECT {_NORMAL} FROM documents WHERE text IS NOT NULL AND source IS DISTINCT FROM 'src0'),
+  false) AS overlaps
+FROM documents WHERE source = 'src0'""",
+    "audit_unique": f"""
+SELECT sha256({_NORMAL}) AS digest, count(*) AS n, min(doc_id) AS first_key
+FROM documents WHERE text IS NOT NULL GROUP BY digest HAVING count(*) > 1""",
+    "audit_answer_shape": f"""WITH {ROLLOUTS},
+answers AS (SELECT {PLAIN} AS a FROM rollouts)
+SELECT CASE {_SHAPES} ELSE 'other' END AS shape, count(*) AS n FROM answers GROUP BY shape""",
+    "audit_reward_gap": f"""WITH {ROLLOUTS}
+SELECT {REWARDS['correct_contains2']} > 0 AS contains_answer,
+       {REWARDS['correct_exact2']} > 0 AS exact,
+       {REWARDS['correct_contains1']} > 0 AS contains_text,
+       {REWARDS['correct_pm1']} > 0 AS contains_sequence, count(*) AS n
+FROM rollouts GROUP BY ALL""",
+}

@@ -24,7 +24,7 @@ from rolloom.functions.text import (
     xml_answer,
     xml_cot,
 )
-from rolloom.operators import credit, dataset, reports, tokens
+from rolloom.operators import audits, credit, dataset, reports, tokens
 from rolloom.operators.rewards import (
     REWARD_SETS,
     REWARDS,
@@ -186,6 +186,19 @@ def strip_fence_text(spark, sf_dir):
     return _accepted(spark, sf_dir).select("batch_no", strip_fences(F.col("text")).alias("body"))
 
 
+@query
+def strip_fences_json_mode(spark, sf_dir):
+    """One provider answers in a JSON mode and is parsed as it is; fences make its texts fail."""
+    fenced = F.col("provider") != "gemini"
+    batches = dataset.parse_batches(_accepted(spark, sf_dir), fenced=fenced)
+    return dataset.batch_counts(batches, "provider")
+
+
+@query
+def prompt_render_plain(spark, sf_dir):
+    return dataset.plain_prompt(_requests(spark, sf_dir))
+
+
 @query
 def parse_qa_batch(spark, sf_dir):
     return _items(spark, sf_dir)
@@ -212,12 +225,21 @@ def union_batches(spark, sf_dir):
 
 @query
 def collect_progress(spark, sf_dir):
-    return dataset.collect_progress(_items(spark, sf_dir))
+    return dataset.batch_progress(_batches(spark, sf_dir))
 
 
 @query
 def collect_until_n(spark, sf_dir):
-    return dataset.collect_until(_items(spark, sf_dir))
+    return dataset.collect_batches(_batches(spark, sf_dir)).drop("is_object")
+
+
+@query
+def collect_until_signed(spark, sf_dir):
+    """Batches numbered on both sides of zero."""
+    batches = _batches(spark, sf_dir).withColumn(
+        "batch_no", F.expr("IF(batch_no % 2 = 0, batch_no, -batch_no)")
+    )
+    return dataset.collect_batches(batches).drop("is_object", "prompt")
 
 
 @query
@@ -500,22 +522,24 @@ def planning_mask_join(spark, sf_dir):
     return swept.select(*KEYS, "token_idx", "start", "end", "planning")
 
 
-def _token_credit(spark, sf_dir):
+def _credited(spark, sf_dir):
+    """Rollouts with their advantage; their texts are cut into tokens behind the join."""
     advantages = credit.group_advantage(_scored(spark, sf_dir))
-    return credit.token_advantage(_mask(spark, sf_dir), advantages)
+    texts = derived.rollouts(spark, sf_dir).select(*KEYS, "completion")
+    return credit.with_advantage(texts, advantages)
 
 
 @query
 def token_advantage(spark, sf_dir):
-    return _token_credit(spark, sf_dir).select(
-        *KEYS, "token_idx", r6(F.col("advantage")).alias("advantage")
-    )
+    rows = tokens.token_offsets(_credited(spark, sf_dir), "completion", [*KEYS, "advantage"])
+    return rows.select(*KEYS, "token_idx", r6(F.col("advantage")).alias("advantage"))
 
 
 @query
 def hicra_advantage(spark, sf_dir):
     value = credit.hicra_advantage(F.col("advantage"), F.col("planning"))
-    return _token_credit(spark, sf_dir).select(*KEYS, "token_idx", r6(value).alias("advantage"))
+    rows = tokens.planning_mask(_credited(spark, sf_dir), "completion", [*KEYS, "advantage"])
+    return rows.select(*KEYS, "token_idx", r6(value).alias("advantage"))
 
 
 @query
@@ -555,27 +579,24 @@ def completion_mask(spark, sf_dir):
 @query
 def align_min_len(spark, sf_dir):
     rows = derived.sequences(spark, sf_dir)
-    logged = credit.shift_labels(tokens.token_offsets(rows, "sequence", KEYS)).select(
-        *KEYS, "shifted_idx", derived.token_logp(F.col("token"), F.col("token_idx")).alias("logp")
+    aligned = credit.align_lists(
+        rows,
+        KEYS,
+        planning=tokens.planning_flags("completion"),
+        logp=F.transform(tokens.token_list(F.col("sequence")), derived.token_logp),
     )
-    advantages = credit.shift_labels(
-        tokens.planning_mask(rows, "completion", KEYS)
-    ).select(*KEYS, "shifted_idx", "planning")
-    aligned = credit.align_min_len(advantages, logged)
     return aligned.select(*KEYS, "shifted_idx", "planning", r6(F.col("logp")).alias("logp"))
 
 
 @query
 def masked_pg_loss(spark, sf_dir):
-    """The loss from token rows: advantages are joined to every token."""
+    """The loss from token rows, which carry the advantage of their rollout."""
     rows = derived.sequences(spark, sf_dir)
     reward = correct_pm1({x: F.col(x) for x in ("prompt", "completion", "answer")})
     scored = materialize(rows.select(*KEYS, reward.alias("reward")), "pm1")
     advantages = credit.group_advantage(scored)
-    table = training.sequence_tokens(rows, derived.token_logp).select(
-        *KEYS, "planning", "logp", "mask"
-    )
-    table = credit.token_advantage(table, advantages)
+    rows = credit.with_advantage(rows, advantages)
+    table = training.sequence_tokens(rows, derived.token_logp, carry=["advantage"])
     table = table.withColumn(
         "advantage", credit.hicra_advantage(F.col("advantage"), F.col("planning"))
     )
@@ -599,6 +620,72 @@ def budget_flags(spark, sf_dir):
     )
 
 
+def _budget(max_prompt: int, max_completion: int) -> Query:
+    def run(spark, sf_dir):
+        flagged = tokens.budget_flags(
+            derived.rollouts(spark, sf_dir), max_prompt=max_prompt, max_completion=max_completion
+        )
+        return flagged.select(
+            *KEYS, "n_prompt", "n_completion", "within_prompt", "within_completion", "clipped_len"
+        )
+
+    return run
+
+
+# the limits of the trainers
+for _limits in ((256, 200), (256, 768)):
+    QUERIES[f"budget_flags_{_limits[0]}_{_limits[1]}"] = _budget(*_limits)
+
+
+# --- audits --------------------------------------------------------------------------------------
+
+
+@query
+def audit_answer_in_prompt(spark, sf_dir):
+    split = F.when(F.col("c") % 10 == 0, F.lit("test")).otherwise(F.lit("train"))
+    rows = derived.answered(spark, sf_dir).withColumn("split", split)
+    found = audits.answer_in_prompt(rows, "split")
+    return found.withColumn("rate", r6(F.col("rate")))
+
+
+@query
+def audit_split_overlap(spark, sf_dir):
+    items, documents = (derived.table(spark, sf_dir, x) for x in ("benchmark", "documents"))
+    found, clean = audits.split_overlap(items, documents)
+    return dataset.union_batches(
+        found.select("item_id", F.lit(True).alias("overlaps")),
+        clean.select("item_id", F.lit(False).alias("overlaps")),
+    )
+
+
+@query
+def audit_split_overlap_documents(spark, sf_dir):
+    """The other way round, where copies abound: documents of one source against all others."""
+    documents = derived.table(spark, sf_dir, "documents")
+    held = F.coalesce(F.col("source") == "src0", F.lit(False))
+    found, clean = audits.split_overlap(documents.filter(held), documents.filter(~held))
+    return dataset.union_batches(
+        found.select("doc_id", F.lit(True).alias("overlaps")),
+        clean.select("doc_id", F.lit(False).alias("overlaps")),
+    )
+
+
+@query
+def audit_unique(spark, sf_dir):
+    return audits.repeated_texts(derived.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def audit_answer_shape(spark, sf_dir):
+    rows = derived.rollouts(spark, sf_dir)
+    return audits.answer_shapes(rows, xml_answer(F.col("completion"), guarded=False))
+
+
+@query
+def audit_reward_gap(spark, sf_dir):
+    return audits.reward_gap(derived.rollouts(spark, sf_dir))
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 
@@ -650,6 +737,14 @@ def eval_rollup(spark, sf_dir):
     return rolled.select("task", "n", *[r6(F.col(x)).alias(x) for x in ("score", "stderr")])
 
 
+@query
+def eval_rollup_limit(spark, sf_dir):
+    """The roll-up over the first samples of each task only."""
+    numbered = _samples(spark, sf_dir).withColumn("sample", F.expr("prompt_id * 4 + gen_idx"))
+    rolled = reports.eval_rollup(reports.limit_per_task(numbered, "sample", 50))
+    return rolled.select("task", "n", *[r6(F.col(x)).alias(x) for x in ("score", "stderr")])
+
+
 @query
 def eval_table(spark, sf_dir):
     return reports.eval_table(_samples(spark, sf_dir))
@@ -676,16 +771,29 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).drop("is_object")
 
 
+@query
+def stream_quarantine(spark, sf_dir):
+    """Rejected responses of a stream, kept with their status."""
+    landing, out, mark, bad = (
+        scratch_path(spark, name) for name in ("landing", "ingested", "ingest-mark", "rejected")
+    )
+    derived.responses(spark, sf_dir).write.json(landing)
+    ingest.stream_ingest(spark, landing, out, mark, files_per_batch=1, rejected=bad)
+    rejected = spark.read.parquet(bad)
+    return rejected.select("batch_no", F.col("status").cast("bigint").alias("status"))
+
+
 @register("stream_step_log")
 def stream_step(spark, sf_dir):
-    out, mark = scratch_path(spark, "moments"), scratch_path(spark, "moments-mark")
+    """The events arrive in three files, one micro-batch each, over which every step is spread."""
+    landing, out, mark = (
+        scratch_path(spark, name) for name in ("events", "moments", "moments-mark")
+    )
+    events = derived.table(spark, sf_dir, "events")
+    for part in range(3):
+        some = events.filter(F.col("event_id") % 3 == part)
+        some.coalesce(1).write.mode("append").parquet(landing)
     log = stream_step_log(
-        spark,
-        sf_dir,
-        derived.table(spark, sf_dir, "events").schema,
-        out,
-        mark,
-        derived.events_as_rollouts,
-        glob="events.parquet",
-    )
-    return log.select("step", *[r6(F.col(x)).alias(x) for x in LOG_COLUMNS])
+        spark, landing, events.schema, out, mark, derived.events_as_rollouts, files_per_batch=1
+    )
+    return log.select("step", *[r6(F.col(x)).alias(x) for x in [*LOG_COLUMNS, "kl"]])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,17 @@ def best_rollouts(rollouts: DataFrame, reward_set: str = "b") -> DataFrame:
     )
 
 
-def sequence_tokens(sequences: DataFrame, logp, compat: bool = True) -> DataFrame:
+def sequence_tokens(
+    sequences: DataFrame, logp, compat: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
     """Token rows of whole sequences with planning flag, log-prob and loss mask.
 
-    ``logp`` is a function ``(token, index) -> Column``. Row-local throughout: ``shifted_idx`` is
+    ``logp`` is a function ``(token, index) -> Column``; ``carry`` names columns of the rollout that
+    its tokens keep. Row-local throughout: ``shifted_idx`` is
     the position that predicts the token.
     """
     keyed = sequences.withColumn("prompt_len", token_count(F.col("prompt")))
-    rows = planning_mask(keyed, "sequence", [*KEYS, "prompt_len"], LEXICON_V1)
+    rows = planning_mask(keyed, "sequence", [*KEYS, "prompt_len", *carry], LEXICON_V1)
     shifted = F.col("token_idx") - 1
     return rows.filter(F.col("token_idx") >= 1).withColumns(
         {

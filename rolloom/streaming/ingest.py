@@ -24,9 +24,13 @@ def stream_ingest(
     checkpoint: str,
     files_per_batch: int = 1000,
     fenced: Column | None = None,
+    rejected: str | None = None,
 ) -> None:
     """Process everything that has landed since the last call and append it to ``out``.
 
+    ``rejected`` names a folder for the responses with an HTTP error, which a second query with a
+    checkpoint of its own appends there; without it they are left where they landed.
+
     Stateless: no watermark, nothing kept between files. The checkpoint makes a restart continue
     where the last run stopped; the file sink commits each micro-batch once.
     """
@@ -42,3 +46,14 @@ def stream_ingest(
         .start()
     )
     query.awaitTermination()
+    if rejected is not None:
+        _, bad = split_by_status(landed)
+        quarantine = (
+            bad.writeStream.format("parquet")
+            .option("path", rejected)
+            .option("checkpointLocation", f"{checkpoint}-rejected")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        quarantine.awaitTermination()

@@ -11,31 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-MOMENTS = ["n", "loss_sum", "reward_mean", "reward_m2", "length_sum"]
+MEANS = {"loss": "loss", "completion_length": "completion_length", "kl": "logp - ref_logp"}
 
 
-def partial_moments(rollouts: DataFrame) -> DataFrame:
+def partial_moments(rollouts: DataFrame, every: int = 1) -> DataFrame:
+    """Per step, mergeable: count and sum of each averaged column, count, mean and squared
+    deviations of the reward. ``kl`` is NULL without ``logp`` and ``ref_logp``."""
+    if every > 1:
+        rollouts = rollouts.filter(F.pmod(F.col("step"), F.lit(every)) == 0)
+    aggs = []
+    for name, sql in MEANS.items():
+        has = name != "kl" or {"logp", "ref_logp"} <= set(rollouts.columns)
+        value = (F.expr(sql) if has else F.lit(None)).cast("double")
+        aggs += [F.count(value).alias(f"{name}_n"), F.sum(value).alias(f"{name}_sum")]
     n = F.count("reward")
     return rollouts.groupBy("step").agg(
-        n.alias("n"),
-        F.sum("loss").alias("loss_sum"),
+        *aggs,
+        n.alias("reward_n"),
         F.avg("reward").alias("reward_mean"),
         (F.var_pop("reward") * n).alias("reward_m2"),
-        F.sum("completion_length").cast("double").alias("length_sum"),
     )
 
 
 def merge_moments(partials: DataFrame) -> DataFrame:
-    """Step log from partial moments; deviations are taken from the overall mean of the step."""
-    n = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("reward_mean")) / n
-    between = F.sum(F.col("n") * F.col("reward_mean") * F.col("reward_mean")) - n * mean * mean
-    m2 = F.sum("reward_m2") + F.greatest(between, F.lit(0.0))
-    return partials.groupBy("step").agg(
-        (F.sum("loss_sum") / n).alias("loss"),
-        mean.alias("reward"),
-        F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("reward_std"),
-        (F.sum("length_sum") / n).alias("completion_length"),
+    """Step log from partial moments.
+
+    The mean of a step is found first and joined back to its partials, whose own means are then
+    taken from it: squares of differences add up without cancelling, however large the rewards are.
+    """
+    n, weighted = F.sum("reward_n"), F.sum(F.col("reward_n") * F.col("reward_mean"))
+    means = partials.groupBy("step").agg((weighted / F.nullif(n, F.lit(0))).alias("reward"))
+    apart = F.col("reward_mean") - F.col("reward")
+    spread = F.sum(F.col("reward_m2") + F.col("reward_n") * apart * apart)
+    average = {
+        name: F.sum(f"{name}_sum") / F.nullif(F.sum(f"{name}_n"), F.lit(0)) for name in MEANS
+    }
+    joined = partials.join(means.withColumnRenamed("step", "_step"), F.col("step") == F.col("_step"))
+    return joined.groupBy("step").agg(
+        average["loss"].alias("loss"),
+        F.any_value("reward").alias("reward"),
+        F.when(n > 1, F.sqrt(spread / (n - 1))).alias("reward_std"),
+        average["completion_length"].alias("completion_length"),
+        average["kl"].alias("kl"),
     )
 
 
@@ -47,17 +64,20 @@ def stream_step_log(
     checkpoint: str,
     prepare,
     glob: str | None = None,
+    every: int = 1,
+    files_per_batch: int = 1000,
 ) -> DataFrame:
     """Fold all rows that have arrived at ``source`` into ``out``; returns the merged step log.
 
-    ``prepare`` maps the source rows to ``(step, loss, reward, completion_length)``.
+    ``prepare`` maps the source rows to ``(step, loss, reward, completion_length)``, and ``logp`` and
+    ``ref_logp`` where there are any. ``every`` keeps the steps of the logging cadence.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        partial_moments(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        partial_moments(batch, every).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
         prepare(reader.parquet(source))

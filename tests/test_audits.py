@@ -1,0 +1,240 @@
+"""Audits, layouts of degenerate completions, and the shape of token credit."""
+
+from __future__ import annotations
+
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from rolloom.constants import LEXICON_V1
+from rolloom.operators import audits, credit, dataset, tokens
+from rolloom.operators.rewards import add_rewards
+from rolloom.operators.skew import running_sum
+from rolloom.streaming.step_log import merge_moments, partial_moments
+
+
+def texts_frame(spark, texts):
+    rows = [(i, 0, "p", "5", x) for i, x in enumerate(texts)]
+    return spark.createDataFrame(
+        rows, "prompt_id bigint, gen_idx int, prompt string, answer string, completion string"
+    )
+
+
+# --- layouts --------------------------------------------------------------------------------------
+
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+LAYOUT = f"<reasoning>.*?</reasoning>[{re.escape(SPACES)}]*<answer>.*?</answer>"
+
+
+def random_layouts(count):
+    rng = random.Random(9)
+    parts = [
+        "<reasoning>", "</reasoning>", "<answer>", "</answer>", "\n", " ", "\t", " ", "x", "\r",
+        " ", "</reasoning><answer>", "</reasoning>\n<answer>", "<reasoning>a</reasoning>", "\x1c",
+    ]
+    out = [None, "", "<reasoning></reasoning><answer></answer>"]
+    for _ in range(count):
+        head = "<reasoning>" if rng.random() < 0.7 else ""
+        out.append(head + "".join(rng.choice(parts) for _ in range(rng.randrange(14))))
+    return out
+
+
+def test_layouts_against_patterns(spark):
+    texts = random_layouts(4000)
+    scored = add_rewards(texts_frame(spark, texts), ["format_search", "format_soft"])
+    for row in scored.collect():
+        text = row["completion"] or ""
+        search, soft = re.search(LAYOUT, text, re.S), re.match(LAYOUT, text)
+        assert (row["r_format_search"] > 0) == bool(search), repr(text)
+        assert (row["r_format_soft"] > 0) == bool(soft), repr(text)
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<reasoning>", "<reasoning></reasoning><answer>", "</reasoning><answer>", "</reasoning> ", "x "],
+)
+def test_layout_time_is_linear(spark, piece):
+    def seconds(n):
+        rows = texts_frame(spark, ["<reasoning>" + piece * n])
+        begin = time.perf_counter()
+        names = ["format_search", "format_soft", "format_strict"]
+        add_rewards(rows, names).select([f"r_{x}" for x in names]).collect()
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(64_000) < 5 + 16 * seconds(4000)
+
+
+# --- masks ----------------------------------------------------------------------------------------
+
+
+def test_repeated_phrase_costs_no_more_than_offsets(spark):
+    frame = spark.createDataFrame([(1, "wait " * 400_000)], "id int, t string")
+
+    def seconds(make):
+        begin = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    seconds(lambda: tokens.token_offsets(frame.limit(1), "t", ["id"]))
+    plain = seconds(lambda: tokens.token_offsets(frame, "t", ["id"]))
+    marked = seconds(lambda: tokens.planning_mask(frame, "t", ["id"]))
+    assert marked < 3 * plain + 2
+    assert tokens.planning_mask(frame, "t", ["id"]).filter("NOT planning").isEmpty()
+
+
+def test_flags_and_ranges_agree_with_the_mask(spark):
+    rng = random.Random(4)
+    words = ["wait", "Let's", "look", "at", "İ", "\x01", "\x0b", "first", "i", "need", "to", "x" * 40]
+    texts = ["".join(rng.choice(words) + rng.choice(" \n\x0b") for _ in range(300)) for _ in range(6)]
+    frame = spark.createDataFrame(list(enumerate([*texts, "", None])), "id int, t string")
+    phrases = [*LEXICON_V1, "at wait", "wait wait", "aa", "look "]
+    mask = tokens.planning_mask(frame, "t", ["id"], phrases).drop("token")
+    lists = frame.select(
+        "id", F.posexplode(tokens.planning_flags("t", phrases)).alias("token_idx", "planning")
+    )
+    plain = mask.select("id", F.col("token_idx").cast("int").alias("token_idx"), "planning")
+    assert plain.exceptAll(lists).isEmpty() and lists.exceptAll(plain).isEmpty()
+    for width in (7, 100, 1 << 16):
+        swept = tokens.mask_by_spans(
+            tokens.token_offsets(frame, "t", ["id"]).drop("token"),
+            tokens.gram_spans(frame, "t", ["id"], phrases),
+            ["id"],
+            range_chars=width,
+        ).select(mask.columns)
+        assert swept.exceptAll(mask).isEmpty() and mask.exceptAll(swept).isEmpty()
+
+
+def test_one_long_text_is_swept_by_many_tasks(spark):
+    token_table = spark.range(40_000).selectExpr(
+        "1 AS id", "id AS token_idx", "id * 40 AS start", "id * 40 + 39 AS end"
+    )
+    spans = spark.range(100).selectExpr("1 AS id", "id * 7919 AS start", "id * 7919 + 90 AS end")
+    swept = tokens.mask_by_spans(token_table, spans, ["id"])
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(id#\w+, _range#\w+", plan)
+    want = set()
+    for k in range(100):
+        low, high = k * 7919, k * 7919 + 90
+        want.update(i for i in range(max(0, low // 40 - 1), high // 40 + 2)
+                    if i < 40_000 and i * 40 < high and i * 40 + 39 > low)
+    assert swept.filter("planning").count() == len(want)
+
+
+# --- credit ---------------------------------------------------------------------------------------
+
+
+def test_credit_moves_rollouts_not_tokens(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = texts_frame(spark, ["a b c", "d e"])
+        advantages = rows.selectExpr("prompt_id", "gen_idx", "1.5D AS advantage")
+        keys = ["prompt_id", "gen_idx", "advantage"]
+        joined = credit.with_advantage(rows, advantages)
+        plan = tokens.token_offsets(joined, "completion", keys)._jdf.queryExecution().executedPlan()
+        top = plan.toString()
+        assert top.index("Generate") < top.index("Exchange")
+        lists = credit.align_lists(
+            rows, ["prompt_id"], a=tokens.token_list(F.col("completion")),
+            b=F.split("answer", ","),
+        )
+        assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_align_lists(spark):
+    rows = spark.createDataFrame(
+        [(1, [1, 2, 3, 4], [5, 6, 7]), (2, [1], [2]), (3, [], [1]), (4, None, [1, 2])],
+        "k int, x array<int>, y array<int>",
+    )
+    found = credit.align_lists(rows, ["k"], a=F.col("x"), b=F.col("y")).collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 2, 6), (1, 1, 3, 7)]
+
+
+# --- batches --------------------------------------------------------------------------------------
+
+
+def test_batches_on_both_sides_of_zero(spark):
+    items = spark.createDataFrame([(-3, 1), (-1, 1), (2, 1), (5, 1)], "batch_no bigint, v int")
+    kept = dataset.collect_until(items, 2)
+    assert sorted((r["batch_no"], r["progress"]) for r in kept.collect()) == [(-3, 1), (-1, 2)]
+    far = [-(1 << 62), -5, -(1 << 21), 0, 3, 1 << 43, 1 << 62]
+    frame = spark.createDataFrame([(k, 1) for k in far], "k bigint, v int")
+    got = {r["k"]: r["b"] for r in running_sum(frame, "k", F.col("v"), "b").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(far))}
+
+
+def test_a_batch_without_number_is_an_error(spark):
+    items = spark.createDataFrame([(None, 1), (2, 1)], "batch_no bigint, v int")
+    with pytest.raises(Exception, match="NULL in batch_no"):
+        dataset.collect_until(items, 2).collect()
+
+
+# --- step log -------------------------------------------------------------------------------------
+
+STEP = "step int, loss double, reward double, completion_length double, logp double, ref_logp double"
+
+
+def test_moments_keep_their_own_counts(spark):
+    rows = [
+        (1, 0.5, 1.0, 10.0, -1.0, -2.0), (1, None, 2.0, 10.0, None, -1.0), (1, None, 4.0, None, -1.0, None),
+        (2, None, None, None, None, None), (3, 1.0, 7.0, 1.0, -3.0, -3.5),
+    ]
+    frame = spark.createDataFrame(rows, STEP)
+    parts = [partial_moments(frame.limit(0))] + [
+        partial_moments(spark.createDataFrame([r], STEP)) for r in rows
+    ]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    found = {r["step"]: r for r in merge_moments(merged).collect()}
+    assert found[1]["loss"] == 0.5 and found[1]["completion_length"] == 10.0
+    assert found[1]["kl"] == 1.0 and found[1]["reward"] == pytest.approx(7 / 3)
+    assert found[1]["reward_std"] == pytest.approx(1.527525, abs=1e-6)
+    assert found[2]["reward"] is None and found[2]["reward_std"] is None and found[2]["loss"] is None
+    assert found[3]["reward_std"] is None and found[3]["kl"] == 0.5
+    assert merge_moments(partial_moments(frame, every=2)).select("step").collect()[0][0] == 2
+
+
+def test_large_rewards_do_not_cancel(spark):
+    rows = [(1, 0.0, 1e9 + i, 1.0, 0.0, 0.0) for i in range(4)]
+    parts = [partial_moments(spark.createDataFrame(rows[i : i + 2], STEP)) for i in (0, 2)]
+    found = merge_moments(parts[0].unionByName(parts[1])).first()
+    assert found["reward_std"] == pytest.approx(1.2909944, abs=1e-6)
+
+
+# --- audits ---------------------------------------------------------------------------------------
+
+
+def test_answer_shapes(spark):
+    shapes = {
+        "42": "integer", "-1,234": "integer", "3.50": "decimal", ".5": "decimal", "3/4": "fraction",
+        "$1,200.50": "money", "120 miles": "with unit", "7%": "with unit", "x = 5": "other", "": "other",
+        None: None, " 8 ": "integer", "1\n2": "other",
+    }
+    frame = spark.createDataFrame([(k, v) for k, v in shapes.items()], "a string, want string")
+    found = frame.select("a", "want", audits.answer_shape(F.col("a")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in found), found
+
+
+def test_overlap_and_repeats(spark):
+    test = spark.createDataFrame([(1, "A  b"), (2, "c"), (3, None)], "k int, text string")
+    train = spark.createDataFrame([(7, " a\nB "), (8, "a b"), (9, None)], "k int, text string")
+    found, clean = audits.split_overlap(test, train)
+    assert [r["k"] for r in found.collect()] == [1]
+    assert sorted(r["k"] for r in clean.collect()) == [2, 3]
+    repeated = audits.repeated_texts(train, "k").collect()
+    assert [(r["n"], r["first_key"]) for r in repeated] == [(2, 7)]
+
+
+def test_reward_gap_counts_every_rollout(spark):
+    rows = texts_frame(spark, ["<answer>5</answer>", "<answer>15</answer>", "5", "no", None])
+    gap = audits.reward_gap(rows).collect()
+    assert sum(r["n"] for r in gap) == 5 and len(gap) >= 3
+    leak = audits.answer_in_prompt(rows.withColumn("prompt", F.lit("it is 5"))).collect()
+    assert [tuple(r) for r in leak] == [(5, 5, 1.0)]

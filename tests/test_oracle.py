@@ -7,7 +7,9 @@ import pytest
 from compare import canonical, sql_connection
 from conftest import SF_CHECK, SF_SMALL
 
-QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
+from rolloom.plans.oracle import ORACLE
+from rolloom.plans.queries import QUERIES
+
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,7 @@ def connection():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(registry.queries()) and set(ORACLE) <= set(registry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

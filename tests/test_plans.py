@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 
-import __spark_entry__ as registry
 import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from rolloom.operators import credit, dataset, tokens
 from rolloom.plans import derived, training
+from rolloom.plans.queries import QUERIES
 
-QUERIES = registry.queries()
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas", "PythonUDF")
 
 
