@@ -130,4 +130,5 @@ def drop_exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         & (F.col("_gone_n") == F.col("_gone_chars"))
         & (F.sha2(without_blanks(F.col(text)), 256) == F.col("_gone_digest"))
     )
-    return keyed.join(gone, same, "left_anti").drop("_gone_n")
+    # by sort-merge at every size: what is dropped grows with the table and is nothing to broadcast
+    return keyed.join(gone.hint("merge"), same, "left_anti").drop("_gone_n")

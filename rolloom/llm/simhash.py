@@ -200,4 +200,6 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         gone.select(F.col(key).alias("_gone_key"), F.col("fingerprint").alias("_gone_print")),
         "near-gone",
     )
-    return df.join(gone, F.col(key).eqNullSafe(F.col("_gone_key")), "left_anti")
+    same = F.col(key).eqNullSafe(F.col("_gone_key"))
+    # by sort-merge at every size: what is dropped grows with the table and is nothing to broadcast
+    return df.join(gone.hint("merge"), same, "left_anti")
