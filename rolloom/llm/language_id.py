@@ -24,7 +24,7 @@ from rolloom.session import materialize
 UNDETERMINED = "und"
 SAMPLE_ROWS = 48  # labelled rows per language, those with the smallest hash
 SAMPLE_CHARS = 1_000  # of each sampled row
-TOTAL_CHARS = 200_000  # of all samples together; shared evenly among the languages
+TOTAL_CHARS = 160_000  # of all samples together; shared evenly among the languages
 _HELD_BACK = 8  # every so many sampled rows are kept out of the automaton to measure it
 _SLICE = 256
 _FIELD = 48  # bits of a phrase count where the counts of all languages share one integer
@@ -111,7 +111,9 @@ class LanguageModel:
         known = self._usual.values()
         middle = sum(known) / len(known) if known else 1.0
         self._usual = {k: x / middle for k, x in self._usual.items()}
-        self._words: WordMemo[int] = WordMemo(lambda words: map(self._counts, words))
+        self._words: WordMemo[int] = WordMemo(
+            lambda words: map(self._counts, words), 150_000
+        )
 
     def _counts(self, word: str) -> int:
         """Phrases of a word in every language, each in its field of one integer."""

@@ -133,7 +133,7 @@ class SentencePieceCodec:
         }
         self._stem = self._library.encode("a")
         self._memo: WordMemo[bytes] = WordMemo(self._segments, 50_000)
-        self._words: WordMemo[bytes] = WordMemo(self._word_ids)
+        self._words: WordMemo[bytes] = WordMemo(self._word_ids, 200_000)
         self.corrected = 0  # segments on which sentencepiece's ids were taken
         self.broken: set[str] = set()  # segments that do not decode to themselves
 
