@@ -154,14 +154,18 @@ def mix_plan(
     threshold = _thresholds(counted, plan.filter("_extra > 0"))
     threshold = threshold.withColumnRenamed("_source", "_of")
     plan = plan.join(threshold, F.col("_source").eqNullSafe(F.col("_of")), "left").select(
-        F.col("_source").alias("_mix_source"), "source_size", "target", "_whole", "_threshold"
+        F.col("_source").alias("_mix_source"),
+        "source_size",
+        "target",
+        F.col("_whole").alias("_mix_whole"),
+        F.col("_threshold").alias("_mix_threshold"),
     )
     return docs, materialize(plan, "mix-thresholds")
 
 
 def _epochs(hashed: Column) -> Column:
-    again = F.coalesce(hashed < F.col("_threshold"), F.lit(False)).cast("bigint")
-    return F.col("_whole") + again
+    again = F.coalesce(hashed < F.col("_mix_threshold"), F.lit(False)).cast("bigint")
+    return F.col("_mix_whole") + again
 
 
 def mix(
@@ -207,7 +211,7 @@ def draw_mix(
     A row compares its own hash with its source's threshold, so texts are not shuffled for it.
     """
     _, plan = mix_plan(df, key, text, source, weights, seed)
-    plan = plan.select("_mix_source", "_whole", "_threshold")
+    plan = plan.select("_mix_source", "_mix_whole", "_mix_threshold")
     taken = df.join(plan, F.col(source).eqNullSafe(F.col("_mix_source")))
     copies = F.sequence(F.lit(1).cast("bigint"), _epochs(hash60(F.col(key), seed)))
     return taken.withColumn(
