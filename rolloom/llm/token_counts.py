@@ -28,7 +28,7 @@ from rolloom.llm.word_memo import WordMemo
 from rolloom.llm.worker import kept
 
 CHUNK_CHARS = 1 << 16
-MAX_STATES = 80_000
+MAX_STATES = 240_000
 _NORMAL, _USER, _UNUSED, _BYTE = 1, 4, 5, 6  # piece types of the protobuf
 _SLICE = 256
 
@@ -55,6 +55,7 @@ class CountingTransducer:
         self._bytes = sum(p.type == _BYTE for p in proto.pieces) == 256
         self._prefixes = {piece[:n] for piece in usable for n in range(1, len(piece) + 1)}
         self._known: dict[tuple, State] = {}
+        self._shared: dict[tuple, tuple] = {}  # places, one object for all states that have them
         self._alone = lru_cache(1 << 16)(lambda t: self.tokens(t) == [t])
         self._follows = lru_cache(1 << 16)(self._follow)
         self._made = lru_cache(1 << 15)(self._steps)
@@ -117,10 +118,22 @@ class CountingTransducer:
         state = self._known.get(key)
         if state is None:
             if len(self._known) >= MAX_STATES:
-                self._known.clear()  # states in use stay valid; others are made again
+                self._forget()
+            share = self._shared.setdefault
+            key = taken, tuple([None if p is None else share(p, p) for p in places])
             state = self._known[key] = {None: key}
         return state
 
+    def _forget(self) -> None:
+        """Drops all states but the start; those in use stay valid, others are made again. The start
+        leads to every state, so its transitions go, too."""
+        begin = self.start[None]
+        self.start.clear()
+        self.start[None] = begin
+        self._known.clear()
+        self._shared.clear()
+        self._known[begin] = self.start
+
     def _next(self, state: State, char: str) -> tuple[State, int]:
         taken, places = state[None]
         score, prefixes = self._score, self._prefixes

@@ -64,6 +64,20 @@ def transducer():
     return CountingTransducer(PIECES)
 
 
+def test_forgotten_states_go_and_change_no_count(monkeypatch):
+    monkeypatch.setattr("rolloom.llm.token_counts.MAX_STATES", 50)
+    small = CountingTransducer(PIECES)
+    texts = random_texts(5)
+    assert small.counts(texts) == [len(x) for x in LIBRARY.encode(texts)]
+    seen, todo = {id(small.start)}, [small.start]
+    while todo:
+        for char, step in todo.pop().items():
+            if char is not None and id(step[0]) not in seen:
+                seen.add(id(step[0]))
+                todo.append(step[0])
+    assert len(seen) <= 51 and len(small._known) <= 51
+
+
 def test_counts_are_the_librarys(transducer):
     texts = [x or "" for x in HARD] + random_texts(1)
     assert transducer.counts(texts) == [len(x) for x in LIBRARY.encode(texts)]
