@@ -193,13 +193,15 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of each group the one with the smallest key."""
+    """The rows of ``df`` that stay: of each group the one with the smallest key.
+
+    Rows are looked up by key. Where a key stands on several texts, a row that stays in its group
+    keeps all of them, so that no group is lost whole.
+    """
     groups = simhash_groups(df, key, text)
-    gone = groups.filter(~F.col(key).eqNullSafe(F.col("component_id")))
-    gone = materialize(
-        gone.select(F.col(key).alias("_gone_key"), F.col("fingerprint").alias("_gone_print")),
-        "near-gone",
-    )
+    stays = F.col(key).eqNullSafe(F.col("component_id"))
+    gone = groups.groupBy(F.col(key).alias("_gone_key")).agg(F.bool_or(stays).alias("_stays"))
+    gone = materialize(gone.filter("NOT _stays").select("_gone_key"), "near-gone")
     same = F.col(key).eqNullSafe(F.col("_gone_key"))
     # by sort-merge at every size: what is dropped grows with the table and is nothing to broadcast
     return df.join(gone.hint("merge"), same, "left_anti")

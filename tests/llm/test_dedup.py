@@ -287,3 +287,12 @@ def test_bounds_are_rigorous():
             links = np.concatenate([x for _, x in tile_links(left, right, False, threshold)])
             sure = np.abs(exact - threshold) > 1e-12
             assert (links == (exact >= threshold))[sure].all()
+
+
+def test_a_repeated_key_loses_no_group(spark):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, one), (2, one), (2, two), (3, two), (None, one), (None, "alone at last here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.drop_near_copies(df).collect()
+    # key 2 is a copy of key 1 on one text and the first of its group on the other
+    assert {tuple(r) for r in kept} == {rows[0], rows[1], rows[2], rows[4], rows[5]}
