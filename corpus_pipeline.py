@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, without its text."""
     slim = docs.select("doc_id", "source", "text")
-    return encode_texts(slim, PIECE_MODEL).select(
+    return encode_texts(slim, PIECE_MODEL, keep_text=False).select(
         "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids"
     )
 

@@ -182,21 +182,20 @@ def _model(raw: bytes) -> LanguageModel:
     )
 
 
-def _predictor(raw: bytes) -> Callable:
+def _predictor(raw: bytes, text: int) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 rows = batch.slice(at, _SLICE)
-                found = model.predict(rows.column("_text").to_pylist())
-                carried = [rows.column(i) for i in range(rows.num_columns - 1)]
+                found = model.predict(rows.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *carried,
+                        *rows.columns,
                         pa.array([x for x, _ in found], pa.string()),
                         pa.array([x for _, x in found], pa.float64()),
                     ],
-                    [*rows.schema.names[:-1], "_lang", "_score"],
+                    [*rows.schema.names, "_lang", "_score"],
                 )
 
     return predict
@@ -217,12 +216,13 @@ def identify(
     """
     raw = pickle.dumps(samples)
     names = [f"_c{i}" for i in range(len(df.columns))]
-    rows = df.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
-        F.col(f"`{text}`").alias("_text"),
-    )
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
     fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields)]
-    found = rows.mapInArrow(_predictor(raw), ", ".join([*fields, "_lang string", "_score double"]))
+    # the text is told by its place: as a column of its own it would be sent and held twice
+    found = rows.mapInArrow(
+        _predictor(raw, df.columns.index(text)),
+        ", ".join([*fields, "_lang string", "_score double"]),
+    )
     kept = [F.col(n).alias(c) for n, c in zip(names, df.columns) if c not in (out, score)]
     return found.select(*kept, F.col("_lang").alias(out), F.col("_score").alias(score))
 

@@ -227,22 +227,21 @@ class SentencePieceCodec:
         return self._tokenizer.decode_batch(ids, skip_special_tokens=True)
 
 
-def _encoder(model: str, threads: int) -> Callable:
+def _encoder(model: str, threads: int, text: int, carried: list[int]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(("codec", model, threads), lambda: SentencePieceCodec(model, threads))
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 rows = batch.slice(at, _SLICE)
                 before = codec.corrected
-                raws = codec.encode([x or "" for x in rows.column("_text").to_pylist()])
+                raws = codec.encode([x or "" for x in rows.column(text).to_pylist()])
                 edges = np.cumsum([0, *(len(x) // 4 for x in raws)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(raws), "<i4"))
                 listed = pa.ListArray.from_arrays(pa.array(edges), flat)
                 corrected = pa.array([codec.corrected - before] + [0] * (len(raws) - 1), pa.int64())
-                carried = [rows.column(i) for i in range(rows.num_columns - 1)]
-                names = rows.schema.names[:-1]
+                rows = rows.select(carried)
                 yield pa.RecordBatch.from_arrays(
-                    [*carried, listed, corrected], [*names, "_ids", "_corrected"]
+                    [*rows.columns, listed, corrected], [*rows.schema.names, "_ids", "_corrected"]
                 )
 
     return encode
@@ -255,22 +254,28 @@ def encode_texts(
     out: str = "ids",
     corrected: str | None = None,
     threads: int = THREADS,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Adds ``out``, the ids of each text as sentencepiece gives them without special pieces.
 
-    NULL and empty texts have no ids. Every row stays, other columns as they are; ``corrected`` names
+    NULL and empty texts have no ids. Every row stays, other columns as they are; without
+    ``keep_text`` the text does not come back from the workers. ``corrected`` names
     a column for the number of segments, counted at the first row of a slice that meets them, on
     which the rebuilt tokenizer differed and sentencepiece's ids were taken.
     """
     names = [f"_c{i}" for i in range(len(df.columns))]
-    rows = df.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
-        F.col(f"`{text}`").alias("_text"),
-    )
-    fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields)]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
+    # the text is told by its place: as a column of its own it would be sent and held twice
+    place = df.columns.index(text)
+    carried = [i for i in range(len(names)) if keep_text or i != place]
+    fields = [f"{names[i]} {df.schema.fields[i].dataType.simpleString()}" for i in carried]
     schema = ", ".join([*fields, "_ids array<int>", "_corrected bigint"])
-    found = rows.mapInArrow(_encoder(model, threads), schema)
-    columns = [F.col(n).alias(c) for n, c in zip(names, df.columns) if c not in (out, corrected)]
+    found = rows.mapInArrow(_encoder(model, threads, place, carried), schema)
+    columns = [
+        F.col(names[i]).alias(df.columns[i])
+        for i in carried
+        if df.columns[i] not in (out, corrected)
+    ]
     columns.append(F.col("_ids").alias(out))
     if corrected is not None:
         columns.append(F.col("_corrected").alias(corrected))

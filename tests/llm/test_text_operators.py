@@ -262,6 +262,9 @@ def test_encode_and_decode_columns(spark):
     assert all(r["back"] == (r["text"] or "").replace("▁", " ") for r in back)
     assert sum(r["corrected"] for r in back) == 0
     assert encode_texts(rows.limit(0), PIECES).count() == 0
+    slim = encode_texts(rows, PIECES, keep_text=False)
+    assert slim.columns == ["doc_id", "key", "_ids", "_text", "ids"]
+    assert [r["ids"] for r in sorted(slim.collect(), key=lambda r: r["doc_id"])] == want
 
 
 def test_round_trip_rows(spark):
