@@ -4,6 +4,9 @@ Each page's containers are scored and vote for their generalised path (tags with
 digits and positions left out). Votes are summed per host in Spark, and every page is extracted with
 the paths that win on its host, which saves pages whose own markup would mislead; a page without any
 of them is extracted from its own best container.
+
+What is hidden, marked as noise or lies in a navigation, form or the like is a zone apart: its text is
+in no container around it. A zone that holds most of the page's text is a candidate all the same.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ BLOCKS = frozenset(
     "ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SKIPPED = frozenset(
-    "nav header footer aside form button select menu head dialog input".split()
-) | RAW
+    "nav header footer aside form button select menu dialog input".split()
+) | RAW  # no head: its elements are raw or void, and any text or block ends it
+CONTROLS = frozenset("nav button select menu".split())  # hold labels; no text by themselves
 CONTAINERS = frozenset("article body div main section td center blockquote".split())
 CLOSED_BY_BLOCK = frozenset(["p"])  # an open paragraph ends where another block begins
-# words of a class, id or role that mark what is not the article
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# tokens of a class, id or role that mark what is not the article
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav "
     "navbar navigation menu breadcrumb breadcrumbs header footer sidebar side aside widget comment "
@@ -48,12 +53,22 @@ NOISE = frozenset(
 GOOD = frozenset(
     "article articlebody body content entry main post story text prose page markdown".split()
 )
+# words that a token of noise may hold besides: kinds and places of boxes
+PARTS = NOISE | GOOD | frozenset(
+    "area articles bar block bottom box button buttons col column container form global group "
+    "heading holder icon icons inner is item items label left link links list message module outer "
+    "panel placeholder posts primary results right row secondary section site slot space stories "
+    "thread title top trail unit visually widgets wrap wrapper zone".split()
+)
+NOISE_WEIGHT = 0.25  # of a zone that holds most of the text, against containers outside of zones
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|"
     r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))",
     re.S,
 )
-_MARKS = re.compile(r"""(?i)\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTRIBUTE = re.compile(
+    r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?"""
+)
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z]+")
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
@@ -61,41 +76,64 @@ _BLANKS = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
 
 class Node:
     """An element that holds blocks: its path, its text, how much of it is link text, and its value:
-    characters that are no links, whole from blocks in it, a half, a third ... from further below."""
+    characters that are no links, whole from blocks in it, a half, a third ... from further below.
 
-    __slots__ = ("tag", "path", "skip", "parent", "chars", "links", "value", "good", "blocks")
+    ``zone`` is the innermost element around it, or itself, that is set apart; None outside of all.
+    ``weight`` is 0 in zones that are no candidates. ``own`` counts what is no link in a zone itself.
+    """
+
+    __slots__ = (
+        "tag", "path", "zone", "parent", "chars", "links", "value", "good", "blocks", "weight",
+        "own", "hidden",
+    )
 
-    def __init__(self, tag: str, path: str, skip: bool, parent: "Node | None", good: bool):
-        self.tag, self.path, self.skip, self.parent, self.good = tag, path, skip, parent, good
-        self.chars = self.links = 0
+    def __init__(self, tag: str, path: str, parent: "Node | None", good: bool):
+        self.tag, self.path, self.parent, self.good = tag, path, parent, good
+        self.zone: Node | None = None
+        self.chars = self.links = self.own = 0
         self.value = 0.0
+        self.weight = 1.0
+        self.hidden = False
         self.blocks: list[tuple[int, str]] = []
 
 
-def _attributes(raw: str) -> tuple[list[str], bool]:
-    """Words of class, id and role, lower-cased and without digits; whether it is hidden."""
-    words: list[str] = []
-    hidden = False
-    if raw:
-        for name, value in _MARKS.findall(raw):
-            name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id", "role"):
-                words += _WORDS.findall(value.lower())
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                hidden = True
-            elif name == "style" and _HIDDEN.search(value):
-                hidden = True
-    return words, hidden
+def _attributes(raw: str) -> tuple[list[list[str]], bool]:
+    """Tokens of class, id and role, each as its words, lower-cased and without digits; whether it is
+    hidden. The first attribute of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    tokens = [
+        words
+        for name in ("class", "id", "role")
+        for token in found.get(name, "").lower().split()
+        if (words := _WORDS.findall(token))
+    ]
+    hidden = (
+        "hidden" in found
+        or found.get("aria-hidden", "").lower() == "true"
+        or _HIDDEN.search(found.get("style", "")) is not None
+    )
+    return tokens, hidden
+
+
+def _is_noise(words: list[str]) -> bool:
+    """Whether a token names noise as a whole: ``ad-slot`` does, ``no-ads`` and ``has-sidebar`` do
+    not. Single letters, as between the digits of a size, say nothing."""
+    return any(w in NOISE for w in words) and all(w in PARTS or len(w) == 1 for w in words)
 
 
 def parse(page: str) -> list[Node]:
     """Containers of a page in order, each with the blocks of text that lie in it or below.
 
     A block is (place, text): white space inside is one blank, references are decoded. Elements that
-    are not closed end with what they lie in; the page may break off anywhere.
+    are not closed end with what they lie in; the page may break off anywhere. Containers of zones
+    hold the text of their zone alone.
     """
-    root = Node("", "", False, None, False)
+    root = Node("", "", None, False)
     nodes = [root]
+    zones: list[Node] = []
+    total = 0
     stack: list[Node] = [root]
     pieces: list[str] = []
     place = 0
@@ -103,7 +141,7 @@ def parse(page: str) -> list[Node]:
     linked = 0
 
     def flush() -> None:
-        nonlocal pieces, place, linked
+        nonlocal pieces, place, linked, total
         if pieces:
             text = _BLANKS.sub(" ", html.unescape("".join(pieces))).strip()
             pieces = []
@@ -111,8 +149,13 @@ def parse(page: str) -> list[Node]:
                 place += 1
                 share = min(linked, len(text))
                 node, level = stack[-1], 0
-                while node is not None:
-                    if node.tag in CONTAINERS or node is root:
+                zone = node.zone
+                if zone is not None:
+                    zone.own += len(text) - share
+                if zone is None or zone.tag not in CONTROLS:
+                    total += len(text) - share
+                while node is not None and node.zone is zone:
+                    if node.tag in CONTAINERS or node is root or node is zone:
                         node.blocks.append((place, text))
                         node.chars += len(text)
                         node.links += share
@@ -131,7 +174,7 @@ def parse(page: str) -> list[Node]:
     while at < size:
         found = _TAG.search(page, at)
         begin = found.start() if found else size
-        if begin > at and not stack[-1].skip:
+        if begin > at:
             text = page[at:begin]
             pieces.append(text)
             if in_link:
@@ -174,26 +217,41 @@ def parse(page: str) -> list[Node]:
         in_link = 0 if name in CONTAINERS else in_link
         while stack[-1].tag in CLOSED_BY_BLOCK or (name == "li" and stack[-1].tag == "li"):
             stack.pop()
-        words, hidden = _attributes(attributes)
+        tokens, hidden = _attributes(attributes) if attributes else ([], False)
         above = stack[-1]
-        noisy = name not in ("html", "body") and any(w in NOISE for w in words)
-        skip = above.skip or hidden or name in SKIPPED or noisy
-        mark = ".".join(sorted(set(words)))
+        mark = ".".join(sorted({w for words in tokens for w in words}))
         path = f"{above.path}/{name}" + (f".{mark}" if mark else "")
-        good = name in ("article", "main") or any(w in GOOD for w in words)
-        node = Node(name, path, skip, above, good)
+        noise = [_is_noise(words) for words in tokens]
+        good = name in ("article", "main") or any(
+            not bad and any(w in GOOD for w in words) for words, bad in zip(tokens, noise)
+        )
+        spared = good or name in HEADINGS or name in ("html", "body")
+        node = Node(name, path, above, good)
+        node.zone, node.hidden = above.zone, above.hidden or hidden
+        if hidden or name in SKIPPED or (any(noise) and not spared):
+            node.zone = node
+            zones.append(node)
         stack.append(node)
-        if name in CONTAINERS and not skip:
+        if name in CONTAINERS or (node.zone is node and name not in CONTROLS):
             nodes.append(node)
     flush()
+    for node in nodes:
+        if node.zone is not None:
+            most = node.zone.own * 2 > total
+            node.weight = 0.0 if not most else 1.0 if _wraps(node.zone) else NOISE_WEIGHT
     return nodes
 
 
+def _wraps(zone: Node) -> bool:
+    """A form around most of a page's text is a way to build pages and no noise."""
+    return zone.tag == "form" and not zone.hidden
+
+
 def score(node: Node) -> float:
     """The value of a container, less for many links; articles count more, the whole page less."""
     if node.chars == 0:
         return 0.0
-    value = node.value * (1.0 - node.links / node.chars)
+    value = node.value * (1.0 - node.links / node.chars) * node.weight
     if node.good:
         value *= 2.0
     elif node.tag in ("", "body"):
@@ -213,15 +271,18 @@ def best_path(page: str | None) -> tuple[str, float] | None:
 
 def extract(page: str | None, paths: list[str] | None) -> str:
     """Text of the containers on the first of ``paths`` that the page has text on; else of its own
-    best container. Blocks are joined by line feeds; what lies in two containers is taken once."""
+    best container. Blocks are joined by line feeds; what lies in two containers is taken once.
+
+    A path that its host agrees on is followed into zones, too, but not to what is hidden."""
     nodes = parse(page or "")
     chosen: list[Node] = []
     for path in paths or ():
-        chosen = [n for n in nodes if n.path == path and n.blocks]
+        there = [n for n in nodes if n.path == path and n.blocks]
+        chosen = [n for n in there if n.weight] or [n for n in there if not n.hidden]
         if chosen:
             break
     if not chosen:
-        ranked = [(score(n), -i, n) for i, n in enumerate(nodes) if n.blocks]
+        ranked = [(score(n), -i, n) for i, n in enumerate(nodes) if n.blocks and n.weight]
         chosen = [max(ranked, key=lambda x: x[:2])[2]] if ranked else []
     blocks = dict(block for node in chosen for block in node.blocks)
     return "\n".join(blocks[place] for place in sorted(blocks))

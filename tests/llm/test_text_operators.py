@@ -539,6 +539,53 @@ def test_extract_odd_pages(page, text):
     assert html_text.extract(page, None) == text
 
 
+LONG = "A sentence of the article that goes on for a while, as they do."
+NOISY = '<nav><a href="/">Home</a></nav><div class="sidebar"><p>Other things</p></div>'
+
+
+@pytest.mark.parametrize(
+    ("opened", "closed"),
+    [
+        ('<article class="prose overflow-hidden">', "</article>"),
+        ('<main class="content has-sidebar">', "</main>"), ('<div id="content" class="no-ads">', "</div>"),
+        ('<section class="with-sidebar">', "</section>"), ('<div title="the hidden life">', "</div>"),
+        ('<div data-hidden="false" data-class="ad">', "</div>"), ("<form action=x><div>", "</div></form>"),
+        ('<form action="x">', "</form>"), ('<div class="sidebar">', "</div>"), ("<div hidden>", "</div>"),
+        ('<article class="article share">', "</article>"), ("<div class=a/b id='x' id=ads>", "</div>"),
+    ],
+)
+def test_noise_words_drop_no_article(opened, closed):
+    page = f"<html><head><title>t</title></head><body>{NOISY}{opened}<p>{LONG}</p>{closed}</body>"
+    assert html_text.extract(page, None) == LONG
+
+
+@pytest.mark.parametrize("mark", ['class="ad-slot"', "id=ad-300x250", "CLASS='x site-footer'", "role=search",
+                                  "aria-hidden=true", "style='display: none'", "hidden"])
+def test_noise_is_dropped(mark):
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p><div {mark}><p>Noise of its own</p></div></div>"
+    assert html_text.extract(page, None) == f"{LONG}\n{LONG}"
+
+
+def test_headings_with_slugs_stay():
+    page = f'<article><h2 id="related-work">A</h2><h2 id="sharing">B</h2><h3 id="sharing-data">C</h3><p>{LONG}</p>'
+    assert html_text.extract(page, None) == f"A\nB\nC\n{LONG}"
+
+
+@pytest.mark.parametrize("first", ["<body>", "", "<body class='x'><main>", "<div>"])
+def test_a_head_without_end(first):
+    page = f"<html><head><meta charset=utf-8><title>t</title><style>p{{}}</style>{first}<p>{LONG}</p>"
+    assert html_text.extract(page, None) == LONG
+
+
+def test_a_host_of_forms(spark):
+    """Pages wrapped in a form agree on a path that a page with more outside of it follows."""
+    page = '<body><form><div class="text"><p>{0}</p></div></form><div class="x"><p>{1}</p></div></body>'
+    rows = [(i, "http://h/", page.format(LONG, "x")) for i in range(9)]
+    rows.append((9, "http://h/", page.format("short", LONG)))
+    found = html_text.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {9: "short"} | dict.fromkeys(range(9), LONG)
+
+
 def test_extract_is_linear():
     import time
 
