@@ -16,7 +16,7 @@ from rolloom.llm.language_id import drop_undetermined
 from rolloom.llm.mixing import draw_mix
 from rolloom.llm.queries import PIECE_MODEL
 from rolloom.llm.sentencepiece_codec import encode_texts
-from rolloom.llm.simhash import drop_near_copies
+from rolloom.llm.simhash import keep_one_of_each_group
 from rolloom.session import materialize
 
 
@@ -31,8 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id stays."""
-    return drop_near_copies(docs)
+    """Of each SimHash group one document stays, that with the smallest id."""
+    return keep_one_of_each_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloom.llm.row_numbers import with_row_number
 from rolloom.session import materialize
 
 BLANKS = " \t\n\x0b\f\r"
@@ -48,21 +49,11 @@ def _bit(bits: Column, position: Column) -> Column:
     return F.bit_get(byte.cast("bigint"), (position % 8).cast("int")) == 1
 
 
-def exact_dedup(
-    df: DataFrame, key: str = "doc_id", text: str = "text", digest_all: bool = False
-) -> DataFrame:
-    """One row per input row: ``(key, keep_id, group_size, kept, n_chars, text_sha256)``.
-
-    Texts are equal when they are identical without blanks (``[\\x20\\x09-\\x0D]``). Of equal texts
-    the row with the most code points stays, then the smallest key. ``text_sha256`` (of the text
-    without blanks) is NULL where the refinement never needed it, unless ``digest_all``.
-
-    NULL text is an empty text and groups with other blank ones. A NULL key loses every tie. Rows
-    that repeat a key with an equal text of the same length are one document: they share the
-    decision, and all of them count in ``group_size``. No rows give no rows. Other columns of the
-    input are not looked at.
-    """
+def _digests(df: DataFrame, key: str, text: str, digest_all: bool, *carried: str) -> DataFrame:
+    """``(*carried, _key, _chars, _survives, _digest)`` per row; no row that has a copy fails to
+    survive."""
     rows = df.select(
+        *carried,
         F.col(key).alias("_key"),
         F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("_chars"),
         without_blanks(F.col(text)).alias("_body"),
@@ -78,13 +69,30 @@ def exact_dedup(
     survives = F.coalesce(_bit(F.col("_bits"), F.bitmap_bit_position("_s")), F.lit(False))
     full = F.sha2("_body", 256)
     rows = rows.select(
+        *carried,
         "_key",
         "_chars",
         survives.alias("_survives"),
         (full if digest_all else F.when(survives, full)).alias("_digest"),
     )
-    rows = materialize(rows, "dedup-digests")
+    return materialize(rows, "dedup-digests")
+
+
+def exact_dedup(
+    df: DataFrame, key: str = "doc_id", text: str = "text", digest_all: bool = False
+) -> DataFrame:
+    """One row per input row: ``(key, keep_id, group_size, kept, n_chars, text_sha256)``.
+
+    Texts are equal when they are identical without blanks (``[\\x20\\x09-\\x0D]``). Of equal texts
+    the row with the most code points stays, then the smallest key. ``text_sha256`` (of the text
+    without blanks) is NULL where the refinement never needed it, unless ``digest_all``.
 
+    NULL text is an empty text and groups with other blank ones. A NULL key loses every tie. Rows
+    that repeat a key with an equal text of the same length are one document: they share the
+    decision, and all of them count in ``group_size``. No rows give no rows. Other columns of the
+    input are not looked at.
+    """
+    rows = _digests(df, key, text, digest_all)
     best = F.min(F.struct(-F.col("_chars"), F.col("_key").isNull(), F.col("_key").alias("_key")))
     groups = (
         rows.filter("_survives")
@@ -110,25 +118,18 @@ def exact_dedup(
 
 
 def drop_exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns.
+    """The rows of ``df`` that stay, with their columns: exactly one of each group of equal texts.
 
-    The rows to drop are looked up by key and length, so that a key that occurs with several texts
-    loses only the dropped one; texts of one key and one length that differ are told apart by hash.
+    As in :func:`exact_dedup` the most code points win, then the smallest key; rows that repeat a key,
+    or have none, are decided one by one, the last tie by row number. The rows are written once with
+    their number.
     """
-    marked = exact_dedup(df, key, text)
-    gone = marked.filter(~F.col("kept")).select(
-        F.col(key).alias("_gone_key"),
-        F.col("n_chars").alias("_gone_chars"),
-        F.col("text_sha256").alias("_gone_digest"),
-    )
-    gone = materialize(gone.distinct(), "dedup-gone")
-    keyed = df.withColumn(
-        "_gone_n", F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")
-    )
-    same = (
-        F.col(key).eqNullSafe(F.col("_gone_key"))
-        & (F.col("_gone_n") == F.col("_gone_chars"))
-        & (F.sha2(without_blanks(F.col(text)), 256) == F.col("_gone_digest"))
-    )
+    numbered, row = with_row_number(df, "dedup-rows")
+    rows = _digests(numbered, key, text, False, row).filter("_survives")
+    best = F.min(F.struct(-F.col("_chars"), F.col("_key").isNull(), "_key", F.col(row).alias("_row")))
+    stays = rows.groupBy("_digest").agg(best.alias("_best")).select(F.col("_best._row").alias("_stays"))
+    gone = rows.select(F.col(row).alias("_gone"))
+    gone = materialize(gone.join(stays, F.col("_gone") == F.col("_stays"), "left_anti"), "dedup-gone")
     # by sort-merge at every size: what is dropped grows with the table and is nothing to broadcast
-    return keyed.join(gone.hint("merge"), same, "left_anti").drop("_gone_n")
+    kept = numbered.join(gone.hint("merge"), F.col(row) == F.col("_gone"), "left_anti")
+    return kept.drop(row)

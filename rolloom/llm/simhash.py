@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolloom.llm.components import component_minimum
+from rolloom.llm.row_numbers import with_row_number
 from rolloom.session import materialize
 
 SHINGLE_WORDS = 3
@@ -193,10 +194,10 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of each group the one with the smallest key.
+    """The rows of ``df`` that stay: of each group the one with the smallest key, for unique keys.
 
     Rows are looked up by key. Where a key stands on several texts, a row that stays in its group
-    keeps all of them, so that no group is lost whole.
+    keeps all of them, so that no group is lost whole; :func:`keep_one_of_each_group` decides per row.
     """
     groups = simhash_groups(df, key, text)
     stays = F.col(key).eqNullSafe(F.col("component_id"))
@@ -205,3 +206,24 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = F.col(key).eqNullSafe(F.col("_gone_key"))
     # by sort-merge at every size: what is dropped grows with the table and is nothing to broadcast
     return df.join(gone.hint("merge"), same, "left_anti")
+
+
+def keep_one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of each group of near copies: the smallest key, then the smallest row number.
+
+    Rows are decided one by one, whatever their keys: NULL keys lose to others, and rows that repeat
+    a key stay or go by their own text. The rows are written once with their number.
+    """
+    numbered, row = with_row_number(df, "near-rows")
+    prints = numbered.select(
+        F.col(row).alias("_row"), F.col(key).alias("_key"), simhash_column(F.col(text)).alias("fp")
+    )
+    prints = materialize(prints, "prints")
+    first = F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_row"))
+    nodes = materialize(prints.groupBy("fp").agg(first.alias("min_id")), "print-nodes")
+    found = component_minimum(nodes.withColumnRenamed("fp", "node"), near_links(nodes.select("fp")))
+    stays = found.select(F.col("component_id._row").alias("_stays")).distinct()
+    stays = materialize(stays, "near-stays")
+    # by sort-merge at every size: what stays grows with the table and is nothing to broadcast
+    kept = numbered.join(stays.hint("merge"), F.col(row) == F.col("_stays"), "left_semi")
+    return kept.drop(row)

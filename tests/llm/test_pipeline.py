@@ -123,3 +123,27 @@ def test_copies_with_other_blanks_are_dropped(spark):
     frame = spark.createDataFrame(rows, DOCUMENTS)
     kept = corpus_pipeline.exact_dedup(spark, frame, SF_SMALL)
     assert kept.filter(F.col("text").startswith("a b")).count() == 1
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_one_row_of_each_group_whatever_its_key(spark, key):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, one), (2, one), (2, two), (3, two), (None, one), (key, "alone at last here")]
+    rows += [(key, "the same words again and again"), (key, "the same words again and again")] * 20
+    rows += [(key, "the same words  again and again"), (key, "THE same words again and again")] * 20
+    rows += [(None, "no id at all for these"), (None, "no  id at all for these")] * 3
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCUMENTS)
+    exact = corpus_pipeline.exact_dedup(spark, frame, SF_SMALL)
+    assert exact.columns == frame.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in exact.collect()), key=repr)
+    assert left == sorted(
+        [(1, one), (2, two), (key, "alone at last here"), (key, "the same words  again and again"),
+         (key, "THE same words again and again"), (None, "no  id at all for these")], key=repr)
+    for docs in (frame, exact):
+        near = corpus_pipeline.near_dedup(spark, docs, SF_SMALL)
+        assert near.columns == frame.columns
+        kept = [(r["doc_id"], r["text"].lower().split()) for r in near.collect()]
+        assert sorted(kept, key=repr) == sorted(
+            [(1, one.split()), (2, two.split()), (key, "alone at last here".split()),
+             (key, "the same words again and again".split()), (None, "no id at all for these".split())],
+            key=repr)
