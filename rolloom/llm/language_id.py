@@ -29,6 +29,8 @@ _HELD_BACK = 8  # every so many sampled rows are kept out of the automaton to me
 _SLICE = 256
 _FIELD = 48  # bits of a phrase count where the counts of all languages share one integer
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LETTER = r"\p{L}"  # in Spark's regular expressions
+_TO_LETTER = r"^[^\p{L}]+"
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -124,7 +126,10 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score: the winner's share of the inverse normalised phrase counts."""
-        parsed = [letter_words(x) for x in texts]
+        return self.predict_words([letter_words(x) for x in texts])
+
+    def predict_words(self, parsed: list[list[str]]) -> list[tuple[str, float]]:
+        """The same of texts as :func:`letter_words` gives them."""
         known = self._words.covering({w for words in parsed for w in words})
         out = []
         for words in parsed:
@@ -144,21 +149,22 @@ class LanguageModel:
 def language_samples(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang"
 ) -> dict[str, list[str]]:
-    """A bounded sample of labelled rows: per language those with the smallest hash of their key.
+    """A bounded sample of labelled rows: per language those with the smallest hash of key and text.
 
     At most SAMPLE_ROWS rows of SAMPLE_CHARS characters per language and TOTAL_CHARS in all reach the
-    driver. The rows are chosen from keys and labels alone; texts are read for the chosen ones.
+    driver. Texts without a letter are no samples, and equal rows are one: so a language has a sample
+    if any of its rows has a letter, however its rows share keys.
     """
-    rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    # a cut per language below which a few times SAMPLE_ROWS keys lie, from counts alone
-    counts = rows.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+    rows = labelled.filter(F.col(label).isNotNull() & F.col(text).rlike(_LETTER))
+    mark = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    # a cut per language below which a few times SAMPLE_ROWS different rows lie
+    counts = rows.groupBy(F.col(label).alias("_l")).agg(F.approx_count_distinct(mark).alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_ROWS) / F.col("n"))
     cuts = materialize(counts.select("_l", share.alias("_share")), "language-cuts")
-    mark = F.xxhash64(F.col(key).cast("string"))
     place = F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.join(cuts, F.col(label) == F.col("_l")).filter(place <= F.col("_share"))
     few = few.groupBy(F.col(label).alias("l"), place.alias("p")).agg(
-        F.min(F.left(F.col(text), F.lit(SAMPLE_CHARS))).alias("t")
+        F.min(F.left(F.regexp_replace(F.col(text), _TO_LETTER, ""), F.lit(SAMPLE_CHARS))).alias("t")
     )
     chosen = few.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("all"))
     chosen = chosen.select("l", F.slice("all", 1, SAMPLE_ROWS)["t"].alias("texts")).orderBy("l")
@@ -188,14 +194,16 @@ def _predictor(raw: bytes, text: int) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 rows = batch.slice(at, _SLICE)
-                found = model.predict(rows.column(text).to_pylist())
+                parsed = [letter_words(x) for x in rows.column(text).to_pylist()]
+                found = model.predict_words(parsed)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *rows.columns,
                         pa.array([x for x, _ in found], pa.string()),
                         pa.array([x for _, x in found], pa.float64()),
+                        pa.array([bool(words) for words in parsed], pa.bool_()),
                     ],
-                    [*rows.schema.names, "_lang", "_score"],
+                    [*rows.schema.names, "_lang", "_score", "_letters"],
                 )
 
     return predict
@@ -207,11 +215,13 @@ def identify(
     text: str = "text",
     out: str = "lang_pred",
     score: str = "score",
+    only_letters: bool = False,
 ) -> DataFrame:
     """Adds the predicted language and its score in [0, 1], from the text alone.
 
+    With ``only_letters`` the rows whose text is NULL or has no letter go, whatever was learned.
     NULL texts and texts without a letter are ``und`` with score 0, and so is everything without
-    samples. Ties go to the language that sorts last. Every row stays; columns of the input that are
+    samples. Ties go to the language that sorts last. Every other row stays; columns of the input that are
     named like the new ones are replaced.
     """
     raw = pickle.dumps(samples)
@@ -221,8 +231,10 @@ def identify(
     # the text is told by its place: as a column of its own it would be sent and held twice
     found = rows.mapInArrow(
         _predictor(raw, df.columns.index(text)),
-        ", ".join([*fields, "_lang string", "_score double"]),
+        ", ".join([*fields, "_lang string", "_score double", "_letters boolean"]),
     )
+    if only_letters:
+        found = found.filter("_letters")
     kept = [F.col(n).alias(c) for n, c in zip(names, df.columns) if c not in (out, score)]
     return found.select(*kept, F.col("_lang").alias(out), F.col("_score").alias(score))
 
@@ -247,9 +259,10 @@ def identify_documents(
 def drop_undetermined(
     df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang"
 ) -> DataFrame:
-    """The rows whose text has a language, with their columns as they are."""
+    """The rows whose text has a letter, with their columns as they are.
+
+    Nothing else is rejected: without labelled rows no language is known, and every text stays.
+    """
     samples = language_samples(df.filter(~held_out(key)), key, text, label)
-    found = identify(df, samples, text, "_language", "_language_score")
-    return found.filter(F.col("_language") != UNDETERMINED).select(
-        *[F.col(f"`{c}`") for c in df.columns]
-    )
+    found = identify(df, samples, text, "_language", "_language_score", only_letters=True)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -344,6 +344,31 @@ def test_language_rows(spark):
     assert language_id.identify_documents(frame.limit(0)).count() == 0
 
 
+def test_without_samples_only_texts_without_letters_go(spark):
+    held = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows = [(10, "some words"), (11, None), (12, "12 ½ !"), (13, "é"), (None, "x"), (held, "der hund")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = F.when(F.col("doc_id").isin(held, 12), "de")
+    for label in (F.lit(None).cast("string"), labels, F.when(F.col("doc_id") == 10, "und")):
+        kept = language_id.drop_undetermined(frame.withColumn("lang", label))
+        assert {r["doc_id"] for r in kept.collect()} == {10, 13, None, held}
+
+
+def test_every_language_has_its_sample(spark):
+    """Rows that share keys or texts, or have no letters, take no language's sample away."""
+    texts = {"en": "the cat and dog", "de": "der hund und katze", "fr": "le chien et la", "es": "12 el perro"}
+    frame = spark.range(12_000).selectExpr(
+        "id % 4 AS l", "id", "CASE id % 4 WHEN 0 THEN 17 WHEN 1 THEN id % 8 WHEN 3 THEN id END AS doc_id"
+    )
+    text = F.expr("CASE l WHEN 0 THEN concat('the cat and dog ', id) WHEN 1 THEN 'der hund und katze' "
+                  "WHEN 2 THEN concat('le chien et la ', id) ELSE if(id = 4003, '12 el perro', string(id)) END")
+    frame = frame.withColumns({"text": text, "lang": F.expr("element_at(array('en', 'de', 'fr', 'es'), int(l) + 1)")})
+    samples = language_id.language_samples(frame)
+    assert sorted(samples) == sorted(texts)
+    assert len(samples["en"]) == len(samples["fr"]) == language_id.SAMPLE_ROWS
+    assert samples["es"] == ["el perro"] and set(samples["de"]) == {texts["de"]}
+
+
 def test_held_out_accuracy(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify_documents(documents).filter("held_out").join(documents, "doc_id")
