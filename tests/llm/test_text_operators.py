@@ -440,6 +440,20 @@ def test_threshold_is_the_nearest(spark):
         assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 3.5
 
 
+@pytest.mark.parametrize("key", ["7", "nullif(1, 1)"])
+def test_a_repeated_key_is_split(spark, key):
+    """A third of a source's words, or all of them, under one key: a target is missed by half a row."""
+    rows = spark.range(3000).selectExpr(
+        f"if(id % 3 = 0 OR id >= 1500, {key}, id) AS doc_id", "concat('w v ', id) AS text",
+        "if(id < 1500, 'a', if(id < 1800, 'b', 'c')) AS source",
+    )
+    found = mixing.mix(rows).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(found) == 3
+    assert all(abs(r["taken"] - r["target"]) <= 1.5 for r in found)
+    drawn = mixing.draw_mix(rows).groupBy("source").count().collect()
+    assert sorted(3 * r["count"] for r in drawn) == sorted(r["taken"] for r in found)
+
+
 def test_draw_mix_repeats_rows(spark):
     frame = spark.createDataFrame(mix_rows(3), "doc_id bigint, text string, source string")
     frame = frame.withColumns({"target": F.lit(1), "_whole2": F.lit(2)})
