@@ -26,7 +26,7 @@ from rolloom.session import materialize
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 3
-HOT_CELL = 8192  # a cell with more fingerprints of its own is compared in tiles of this size
+HOT_CELL = 8192  # a cell with more fingerprints is compared in tiles of this size
 _BLOCK = 1 << 16
 _EVEN_BITS = 0x5555555555555555
 
@@ -81,15 +81,17 @@ def _cells(nodes: DataFrame) -> DataFrame:
 
 
 def _tiled(cells: DataFrame) -> DataFrame:
-    """Adds ``tile``. Cells with more than HOT_CELL fingerprints of their own are cut into blocks by
-    hash, and a block meets every other one in a tile of its own."""
-    own = cells.filter("NOT up").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    hot = own.filter(F.col("n") > HOT_CELL).select(
-        "cell", F.ceil(F.col("n") / HOT_CELL).cast("int").alias("parts")
+    """Adds ``tile``. Cells with more than HOT_CELL fingerprints, whether their own or from cells
+    below, are cut into blocks by hash, and a block meets every other one in a tile of its own. Such a
+    cell without any of its own has nothing to compare and is left out."""
+    sizes = cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("up")).alias("own")
     )
-    hot = materialize(hot, "hot-cells")  # at most 2 * fingerprints / HOT_CELL rows
+    parts = F.when(F.col("own"), F.ceil(F.col("n") / HOT_CELL)).otherwise(0).cast("int")
+    hot = sizes.filter(F.col("n") > HOT_CELL).select("cell", parts.alias("parts"))
+    hot = materialize(hot, "hot-cells")  # at most 34 * fingerprints / HOT_CELL rows
     rows = cells.join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("block", F.expr("int(pmod(xxhash64(fp), parts))"))
+    rows = rows.filter("parts > 0").withColumn("block", F.expr("int(pmod(xxhash64(fp), parts))"))
     tiles = "transform(sequence(0, parts - 1), k -> least(k, block) * parts + greatest(k, block))"
     return rows.selectExpr("cell", f"explode({tiles}) AS tile", "up", "fp")
 

@@ -185,6 +185,17 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, hot_cell):
     assert len(near) > 50 and groups_by(links, signed) == groups_by(near, signed)
 
 
+def test_no_tile_is_larger_than_its_blocks(spark, monkeypatch):
+    """A cell with one fingerprint of its own beside many from a cell below is cut as well."""
+    monkeypatch.setattr(simhash, "HOT_CELL", 50)
+    rows = [(1, True, fp) for fp in range(2000)] + [(1, False, 5000)]
+    rows += [(2, True, fp) for fp in range(2000)] + [(3, fp == 1, fp) for fp in range(40)]
+    cells = spark.createDataFrame(rows, "cell bigint, up boolean, fp bigint")
+    tiles = simhash._tiled(cells).groupBy("cell", "tile").count().collect()
+    assert max(r["count"] for r in tiles) <= 4 * 50
+    assert {r["cell"] for r in tiles} == {1, 3}
+
+
 def test_groups_against_brute_force(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
