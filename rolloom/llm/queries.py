@@ -11,11 +11,14 @@ from rolloom.llm.embedding_dedup import embedding_groups
 from rolloom.llm.exact_dedup import exact_dedup
 from rolloom.llm.html_text import extract_text
 from rolloom.llm.language_id import identify_documents
+from rolloom.llm.merkle import merkle_manifest, without_line_feeds
 from rolloom.llm.mixing import mix
+from rolloom.llm.resampling import resample
 from rolloom.llm.sentencepiece_codec import round_trip
 from rolloom.llm.simhash import simhash_groups
 from rolloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from rolloom.llm.token_counts import count_tokens
+from rolloom.llm.topk_search import top_k
 from rolloom.llm.warc import read_warc, write_warc
 from rolloom.session import scratch_path
 
@@ -74,6 +77,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return merkle_manifest(documents, presented=without_line_feeds()).drop("steps")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,5 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_token_blocks,
         op10_sentencepiece,
+        op11_merkle,
+        op12_resampling,
+        op13_topk_search,
     )
 }
