@@ -95,14 +95,16 @@ class Trees:
     """The levels of many trees at once, written from the leaves up.
 
     ``nodes`` has (tree, at, n, digest): the tree's number, the leaf's place in it and the tree's
-    number of leaves; ``largest`` is the greatest of those. Other columns stay with the leaves.
+    number of leaves. Other columns stay with the leaves.
     """
 
-    def __init__(self, nodes: DataFrame, largest: int, arity: int, name: str):
+    def __init__(self, nodes: DataFrame, arity: int, name: str):
         self._arity = arity
+        nodes = materialize(nodes, f"{name}-leaves")
         self._leaves = nodes
         self._levels: list[DataFrame] = []
         self._done = [nodes.filter("n = 1")]  # trees that end at each level
+        largest = nodes.agg(F.max("n")).first()[0] or 0
         for level in range(_height(largest, arity)):
             table = _with_siblings(nodes.filter("n > 1"), arity)
             table = materialize(table, f"{name}-{level}")
@@ -196,8 +198,7 @@ def merkle_manifest(
         F.col("_start").alias("tree"), F.col("_at").alias("at"), F.col("_n").alias("n"),
         "digest", "key", "claimed",
     )
-    largest = nodes.agg(F.max("n")).first()[0] or 0
-    trees = Trees(nodes, largest, arity, "merkle-rows")
+    trees = Trees(nodes, arity, "merkle-rows")
 
     # trees are numbered by their first row, so they ascend as their groups do
     roots = trees.roots().withColumnRenamed("tree", "of")
@@ -206,8 +207,7 @@ def merkle_manifest(
         F.lit(0).cast("bigint").alias("tree"), F.col("_at").alias("at"), F.col("_n").alias("n"),
         "digest", "of",
     )
-    groups = tops.agg(F.max("n")).first()[0] or 0
-    top = Trees(tops, groups, arity, "merkle-groups")
+    top = Trees(tops, arity, "merkle-groups")
     root = top.roots()
     ends = root.select("tree", F.expr(f"CAST(array() AS {_STEPS})").alias("steps"),
                        F.col("digest").alias("root"))
