@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloom.constants import ADVANTAGE_EPS, HICRA_ALPHA
@@ -49,22 +49,43 @@ def group_advantage(
     )
 
 
+def one_per_rollout(rollouts: DataFrame, keys: Sequence[str] = ROLLOUT) -> DataFrame:
+    """``(keys, advantage)`` once per rollout, NULL keys included.
+
+    Rows that repeat a rollout's keys are taken for copies of it; where their advantages differ, the
+    smallest counts.
+    """
+    return rollouts.groupBy(*keys).agg(F.min("advantage").alias("advantage"))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL meets NULL; the keys are there once."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def token_advantage(
     tokens: DataFrame, rollouts: DataFrame, keys: Sequence[str] = ROLLOUT
 ) -> DataFrame:
     """Spread the advantage of a rollout to all of its tokens, for tables that arrive as tokens.
 
     Where the texts are at hand, :func:`with_advantage` first and tokens after it is the way: then
-    the join moves rollouts, not tokens.
+    the join moves rollouts, not tokens. Keys as there.
     """
-    return tokens.join(rollouts.select(*keys, "advantage"), list(keys))
+    return join_on(tokens, one_per_rollout(rollouts, keys), keys)
 
 
 def with_advantage(
     texts: DataFrame, rollouts: DataFrame, keys: Sequence[str] = ROLLOUT
 ) -> DataFrame:
-    """Add a rollout's ``advantage`` to its text row, before it is cut into tokens."""
-    return texts.join(rollouts.select(*keys, "advantage"), list(keys))
+    """Add a rollout's ``advantage`` to its text row, before it is cut into tokens.
+
+    NULL keys are keys like any other. Every text stays one row, also where rollouts repeat
+    (:func:`one_per_rollout`); a text without a rollout drops. The texts are shuffled for this; in the
+    layout of :mod:`rolloom.operators.layout` they stay where they are.
+    """
+    return join_on(texts, one_per_rollout(rollouts, keys), keys)
 
 
 def hicra_advantage(advantage: Column, planning: Column, alpha: float = HICRA_ALPHA) -> Column:
@@ -80,6 +101,49 @@ def token_logprob(logits: Column, label: Column) -> Column:
     return F.get(values, label) - top - F.ln(mass)
 
 
+LOGIT_BAND = 300.0  # exp of twice this is still a double
+
+
+def token_logprob_rows(
+    logits: DataFrame,
+    keys: Sequence[str],
+    token: str = "token_id",
+    logit: str = "logit",
+    label: str = "label",
+) -> DataFrame:
+    """:func:`token_logprob` of logits that come as rows, e.g. in shards of the vocabulary.
+
+    One row per position (``keys``) and token, with the position's label in each. A log-sum-exp is
+    merged from pairs of a maximum and a sum scaled by it: logits are summed in bands of LOGIT_BAND,
+    each scaled by the band's lower end, map-side, so a shuffle carries a row or two per position and
+    task, however large the vocabulary. Of a position's bands the two highest decide; what lies below
+    is smaller than a double can tell.
+
+    ``(keys, logp)``: NULL where the label is NULL or has no row. NULL logits are left out; minus
+    infinity adds nothing. NULL keys are keys like any other.
+    """
+    band = F.floor(F.col(logit).cast("double") / F.lit(LOGIT_BAND)).cast("double")
+    never = F.col(logit) == F.lit(float("-inf"))
+    rows = logits.filter(F.col(logit).isNotNull()).withColumn(
+        "_band", F.when(never, F.lit(float("-inf"))).otherwise(band)
+    )
+    scaled = F.exp(F.col(logit).cast("double") - F.col("_band") * F.lit(LOGIT_BAND))
+    bands = rows.groupBy(*keys, "_band").agg(
+        F.sum(F.when(never, F.lit(0.0)).otherwise(scaled)).alias("_mass"),
+        F.max(F.when(F.col(token) == F.col(label), F.col(logit).cast("double"))).alias("_own"),
+    )
+    # a few rows per position from here on
+    top = F.max("_band").over(Window.partitionBy(*keys))
+    bands = bands.withColumn("_top", top)
+    down = F.exp((F.col("_band") - F.col("_top")) * F.lit(LOGIT_BAND))
+    share = F.when(F.col("_band") == F.col("_top"), F.col("_mass")).otherwise(F.col("_mass") * down)
+    return bands.groupBy(*keys).agg(
+        (
+            F.max("_own") - F.max("_top") * F.lit(LOGIT_BAND) - F.ln(F.sum(share))
+        ).alias("logp")
+    )
+
+
 def shift_labels(tokens: DataFrame) -> DataFrame:
     """Position j predicts token j + 1: ``shifted_idx`` = token index - 1, the first token drops.
 
@@ -105,9 +169,14 @@ def align_min_len(
 ) -> DataFrame:
     """Cut two position-wise tables to their common positions, for tables that arrive as tokens.
 
-    Lists in one row are cut by :func:`align_lists`, without a join of tokens.
+    Lists in one row are cut by :func:`align_lists`, without a join of tokens. NULL keys are keys like
+    any other. Every row of ``advantages`` stays one row: of rows in ``logprobs`` that repeat a
+    position the smallest counts, by its columns from left to right.
     """
-    return advantages.join(logprobs, [*keys, "shifted_idx"])
+    place = [*keys, "shifted_idx"]
+    rest = [c for c in logprobs.columns if c not in place]
+    single = logprobs.groupBy(*place).agg(F.min(F.struct(*rest)).alias("_rest"))
+    return join_on(advantages, single.select(*place, "_rest.*"), place)
 
 
 def align_lists(rows: DataFrame, keys: Sequence[str], **lists: Column) -> DataFrame:

@@ -140,8 +140,10 @@ def batch_counts(batches: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def explode_items(batches: DataFrame, batch_col: str = "batch_no") -> DataFrame:
-    """One row per item, in batch order: ``(batch, pos, prompt, answer, is_object)``.
+def explode_items(
+    batches: DataFrame, batch_col: str = "batch_no", carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per item, in batch order: ``(batch, *carry, pos, prompt, answer, is_object)``.
 
     Answers are text: a JSON number is rendered in its shortest decimal form. Items that are no
     objects are kept with NULL fields and ``is_object`` false.
@@ -149,7 +151,7 @@ def explode_items(batches: DataFrame, batch_col: str = "batch_no") -> DataFrame:
     The outer form of explode, filtered behind it, drops failed and empty batches without a filter
     on ``items`` itself: such a filter would be pushed below and parse every text twice.
     """
-    items = batches.select(batch_col, F.posexplode_outer("items").alias("pos", "_item"))
+    items = batches.select(batch_col, *carry, F.posexplode_outer("items").alias("pos", "_item"))
     items = items.filter(F.col("pos").isNotNull())
     fields = F.from_json("_item", "prompt string, answer string", _JSON)
     number = F.from_json("_item", "answer double", _JSON)["answer"]
@@ -160,6 +162,7 @@ def explode_items(batches: DataFrame, batch_col: str = "batch_no") -> DataFrame:
     is_object = F.startswith("_item", F.lit("{"))
     return items.withColumn("_f", fields).select(
         batch_col,
+        *carry,
         F.col("pos").cast("bigint").alias("pos"),
         F.when(is_object, F.col("_f.prompt")).alias("prompt"),
         F.when(is_object, answer).alias("answer"),
@@ -191,9 +194,14 @@ def collect_progress(items: DataFrame, batch_col: str = "batch_no") -> DataFrame
 
 
 def batch_progress(batches: DataFrame, batch_col: str = "batch_no") -> DataFrame:
-    """:func:`collect_progress` from parsed batches, whose items are counted and not exploded."""
-    sizes = drop_empty_batches(batches).groupBy(batch_col)
-    return _progress(sizes.agg(F.sum(F.size("items")).alias("n_items")), batch_col)
+    """:func:`collect_progress` from parsed batches, whose items are counted and not exploded.
+
+    Empty batches are dropped by their sum: a filter on ``items`` would be pushed below the
+    aggregation and parse every text twice.
+    """
+    size = F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0))
+    sizes = batches.groupBy(batch_col).agg(F.sum(size).alias("n_items")).filter("n_items > 0")
+    return _progress(sizes, batch_col)
 
 
 def _kept_prefix(
@@ -214,12 +222,52 @@ def collect_until(
     return prefix.join(kept, batch_col)
 
 
+def batch_range(batches: DataFrame, batch_col: str = "batch_no") -> tuple[int, int, int] | None:
+    """First and last batch number and the number of batches; None where there is none.
+
+    Only the column of numbers is read. A NULL number has no place in the order and is an error.
+    """
+    found = batches.agg(
+        F.min(batch_col), F.max(batch_col), F.count(batch_col), F.count(F.lit(1))
+    ).first()
+    if found[2] < found[3]:
+        raise ValueError(f"NULL in {batch_col}, which gives the order")
+    return tuple(found[:3]) if found[2] else None
+
+
 def collect_batches(
-    batches: DataFrame, target: int = TARGET_SAMPLES, batch_col: str = "batch_no"
+    batches: DataFrame,
+    target: int = TARGET_SAMPLES,
+    batch_col: str = "batch_no",
+    bounds: tuple[int, int, int] | None = None,
 ) -> DataFrame:
-    """:func:`collect_until` from parsed batches; only those that are kept are parsed again."""
-    prefix, kept = _kept_prefix(batches, batch_progress(batches, batch_col), target, batch_col)
-    return explode_items(prefix, batch_col).join(kept, batch_col)
+    """:func:`collect_until` from parsed batches, by a prefix of batch numbers that doubles.
+
+    The first round takes the range in which half as many batches as ``target`` lie on average, each
+    further round as much again as all before it, until the items of all rounds reach the target. So
+    the texts read are within a small factor of those kept, however many follow; a round's filter on
+    the batch number reaches the scan. Each text is parsed once: a round's items are written, counted,
+    and cut behind the last round. ``bounds`` are those of :func:`batch_range`, for callers that know
+    them; otherwise the column of numbers is read once.
+
+    Numbers may be negative and have gaps; gaps cost rounds, at most one per bit of their width.
+    """
+    found = bounds or batch_range(batches, batch_col)
+    rounds: list[DataFrame] = []
+    if found is not None:
+        low, high, n = found
+        width = max(1, (high - low + 1) * (target // 2) // n)
+        begin, total = low, 0
+        while begin <= high and total < target:
+            end = min(begin + width - 1, high)
+            part = batches.filter(F.col(batch_col).between(begin, end))
+            part = materialize(explode_items(part, batch_col), "batch-prefix")
+            total += part.count()
+            rounds.append(part)
+            begin, width = end + 1, end - low + 1
+    if not rounds:
+        rounds = [explode_items(batches, batch_col).filter(F.lit(False))]
+    return collect_until(union_batches(*rounds), target, batch_col)
 
 
 # --- chat datasets and rollout groups -----------------------------------------------------------

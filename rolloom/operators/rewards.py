@@ -227,6 +227,44 @@ def python_reward(
     return lambda c: udf(c["prompt"], c["completion"], *[c[n] for n in names])
 
 
+MAX_GROUP = 10_000  # rollouts of one prompt that a group reward holds at once
+
+
+def add_group_reward(
+    df: DataFrame,
+    name: str,
+    fn: Callable[..., list[float]],
+    columns: Sequence[str] = (),
+    key: str = "prompt_id",
+    max_group: int = MAX_GROUP,
+) -> DataFrame:
+    """Add ``r_<name>`` from ``fn(prompts, completions, **columns) -> list[float]``, one call per group.
+
+    For rewards that compare the rollouts of a prompt: ``fn`` gets all of them, in no stated order, and
+    returns a value for each. NULL keys are one group. A group is held in one Python worker, so its
+    size is bounded: groups are counted first, and one above ``max_group`` is an error. Rewards that judge a rollout by itself need no group: see :func:`python_reward`.
+    """
+    df = plain_completions(df)
+    over = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_group)
+    if not over.isEmpty():
+        raise ValueError(f"a group of {key} has more than {max_group} rollouts")
+    used = list(dict.fromkeys([key, "prompt", "completion", *columns]))
+    others = [c for c in df.columns if c not in used]
+    names, out = list(columns), f"r_{name}"
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        extra = {n: group[n].tolist() for n in names}
+        prompts, completions = group["prompt"].tolist(), group["completion"].tolist()
+        scores = list(fn(prompts=prompts, completions=completions, **extra))
+        if len(scores) != len(group):
+            raise ValueError("a reward gives one value per rollout")
+        return group.assign(**{out: pd.Series(scores, index=group.index, dtype="float64")})
+
+    schema = df.select(*used, *others).schema.add(out, "double")
+    scored = df.select(*used, *others).groupBy(key).applyInPandas(score, schema)
+    return scored.select(*[c for c in df.columns if c != out], out)
+
+
 def plain_completions(df: DataFrame, column: str = "completion") -> DataFrame:
     """Conversational completions (message lists) to text; plain text passes through."""
     if df.schema[column].dataType.typeName() == "array":

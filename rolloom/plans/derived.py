@@ -166,10 +166,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events_as_rollouts(events: DataFrame) -> DataFrame:
+def events_as_rollouts(events: DataFrame, *carry: str) -> DataFrame:
     """Events as logged rollouts: eight in a row make a training step."""
     k = F.get_json_object("props", "$.k").cast("double")
     return events.select(
+        *carry,
         F.floor(F.col("event_id") / 8).alias("step"),
         (k / 100).alias("loss"),
         F.col("value").alias("reward"),

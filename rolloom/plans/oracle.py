@@ -663,3 +663,63 @@ SELECT {REWARDS['correct_contains2']} > 0 AS contains_answer,
        {REWARDS['correct_pm1']} > 0 AS contains_sequence, count(*) AS n
 FROM rollouts GROUP BY ALL""",
 }
+
+# rows of the layout: some prompts without a key, repeated rollouts
+_LAID_OUT = """
+laid AS (
+  SELECT prompt_id AS p, gen_idx AS g, prompt_id * 4 + gen_idx AS origin, prompt_len,
+         CASE WHEN c % 7 <> 0 THEN prompt_id END AS prompt_id, gen_idx % 3 AS gen_idx, {pm1} AS reward
+  FROM sequences
+),
+laid_stats AS (
+  SELECT prompt_id, avg(reward) AS m, stddev_samp(reward) AS s FROM laid GROUP BY prompt_id
+),
+laid_adv AS (
+  SELECT l.prompt_id, l.gen_idx, min((reward - m) / (s + 1e-8)) AS a
+  FROM laid AS l JOIN laid_stats AS t ON l.prompt_id IS NOT DISTINCT FROM t.prompt_id
+  GROUP BY l.prompt_id, l.gen_idx
+),
+credited AS (
+  SELECT l.p, l.g, l.origin, l.prompt_len, l.prompt_id, l.gen_idx, a
+  FROM laid AS l JOIN laid_adv AS d
+  ON l.prompt_id IS NOT DISTINCT FROM d.prompt_id AND l.gen_idx = d.gen_idx
+)""".format(pm1=REWARDS["correct_pm1"])
+
+ORACLE |= {
+    "token_advantage_layout": f"""WITH {SEQUENCES},{_LAID_OUT},
+{_tokens('rollouts', 'completion', _KEYS)}
+SELECT c.prompt_id, c.gen_idx, origin, token_idx, {_r6('a')} AS advantage
+FROM tokens AS t JOIN credited AS c ON c.p = t.prompt_id AND c.g = t.gen_idx""",
+    "hicra_advantage_layout": f"""WITH {SEQUENCES},{_LAID_OUT},
+{_mask('rollouts', 'completion')}
+SELECT c.prompt_id, c.gen_idx, origin, token_idx,
+       {_r6('a + 0.2::DOUBLE * abs(a) * CAST(planning AS INTEGER)')} AS advantage
+FROM mask AS t JOIN credited AS c ON c.p = t.prompt_id AND c.g = t.gen_idx""",
+    "masked_pg_loss_layout": f"""WITH {SEQUENCES},{_LAID_OUT},
+{_mask('sequences', 'sequence')},
+terms AS (
+  SELECT c.prompt_id, a + 0.2::DOUBLE * abs(a) * CAST(planning AS INTEGER) AS a, {LOGP} AS logp,
+         CASE WHEN token_idx - 1 >= prompt_len THEN 1 ELSE 0 END AS m
+  FROM mask AS t JOIN credited AS c ON c.p = t.prompt_id AND c.g = t.gen_idx WHERE token_idx >= 1
+)
+SELECT prompt_id, {_r6('-sum(a * logp * m) / nullif(sum(m), 0)')} AS loss,
+       CAST(sum(m) AS BIGINT) AS n_tokens FROM terms GROUP BY prompt_id""",
+    "token_logprob_rows": ORACLE["token_logprob"],
+    "reward_group": f"""WITH {ROLLOUTS},
+sizes AS (
+  SELECT prompt_id, gen_idx, length(completion) AS n,
+         min(length(completion)) OVER (PARTITION BY prompt_id) AS low,
+         max(length(completion)) OVER (PARTITION BY prompt_id) AS high FROM rollouts
+)
+SELECT prompt_id, gen_idx,
+       {_r6('CASE WHEN high > low THEN CAST(high - n AS DOUBLE) / (high - low) ELSE 1.0 END')}
+         AS r_brief FROM sizes""",
+    "stream_split": f"""WITH {RESPONSES}
+SELECT batch_no, pos, prompt, answer FROM items
+UNION ALL SELECT batch_no, NULL, NULL, CAST(status AS VARCHAR) FROM raws WHERE status >= 400""",
+    "stream_step_log_compacted": f"""WITH logged AS (
+  SELECT CASE WHEN event_id % 13 <> 0 THEN event_id // 8 END AS step,
+         CAST(props ->> '$.k' AS DOUBLE) AS k, value, length(event_type) AS l FROM events
+)
+SELECT step, {_STEP_COLUMNS}, {_r6('avg(-value / 7 + k / 11)')} AS kl FROM logged GROUP BY step""",
+}

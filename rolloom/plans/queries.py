@@ -24,10 +24,11 @@ from rolloom.functions.text import (
     xml_answer,
     xml_cot,
 )
-from rolloom.operators import audits, credit, dataset, reports, tokens
+from rolloom.operators import audits, credit, dataset, layout, reports, tokens
 from rolloom.operators.rewards import (
     REWARD_SETS,
     REWARDS,
+    add_group_reward,
     add_rewards,
     correct_pm1,
     python_reward,
@@ -457,6 +458,20 @@ def reward_registry(spark, sf_dir):
     )
 
 
+def _briefest(prompts, completions, **_):
+    """1 for the shortest completions of a prompt, 0 for the longest, and what lies between."""
+    sizes = [len(c or "") for c in completions]
+    low, high = min(sizes), max(sizes)
+    return [(high - n) / (high - low) if high > low else 1.0 for n in sizes]
+
+
+@query
+def reward_group(spark, sf_dir):
+    """An own reward that compares the rollouts of a prompt."""
+    scored = add_group_reward(derived.rollouts(spark, sf_dir), "brief", _briefest)
+    return scored.select(*KEYS, r6(F.col("r_brief")).alias("r_brief"))
+
+
 # --- group and token credit ----------------------------------------------------------------------
 
 
@@ -549,6 +564,16 @@ def token_logprob(spark, sf_dir):
     return logits.select("vec_id", r6(value).alias("logp"))
 
 
+@query
+def token_logprob_rows(spark, sf_dir):
+    """The same from logits as rows, one per vector and token."""
+    logits = derived.table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.posexplode("embedding").alias("token_id", "logit")
+    )
+    found = credit.token_logprob_rows(logits, ["vec_id"])
+    return found.select("vec_id", r6(F.col("logp")).alias("logp"))
+
+
 def _completion_tokens(spark, sf_dir):
     return tokens.token_offsets(derived.rollouts(spark, sf_dir), "completion", KEYS)
 
@@ -620,6 +645,51 @@ def budget_flags(spark, sf_dir):
     )
 
 
+def _laid_out(spark, sf_dir):
+    """Sequences in a layout with their advantages. Some prompts have no key, and gen_idx repeats in a
+    group; ``origin`` tells the rows apart."""
+    rows = derived.sequences(spark, sf_dir).withColumns(
+        {
+            "origin": F.col("prompt_id") * 4 + F.col("gen_idx"),
+            "prompt_id": F.when(F.col("c") % 7 != 0, F.col("prompt_id")),
+            "gen_idx": F.col("gen_idx") % 3,
+            "reward": correct_pm1({x: F.col(x) for x in ("prompt", "completion", "answer")}),
+        }
+    )
+    scored = materialize(rows.select(*KEYS, "reward"), "pm1")
+    path = scratch_path(spark, "layout")
+    name = "layout_" + path.rsplit("-", 1)[-1]
+    texts = rows.select(*KEYS, "origin", "prompt", "completion", "sequence")
+    layout.write_layout(texts, credit.group_advantage(scored), name, path)
+    return layout.read_layout(spark, name)
+
+
+@query
+def token_advantage_layout(spark, sf_dir):
+    keys = [*KEYS, "origin", "advantage"]
+    rows = tokens.token_offsets(_laid_out(spark, sf_dir), "completion", keys)
+    return rows.select(*KEYS, "origin", "token_idx", r6(F.col("advantage")).alias("advantage"))
+
+
+@query
+def hicra_advantage_layout(spark, sf_dir):
+    value = credit.hicra_advantage(F.col("advantage"), F.col("planning"))
+    keys = [*KEYS, "origin", "advantage"]
+    rows = tokens.planning_mask(_laid_out(spark, sf_dir), "completion", keys)
+    return rows.select(*KEYS, "origin", "token_idx", r6(value).alias("advantage"))
+
+
+@query
+def masked_pg_loss_layout(spark, sf_dir):
+    table = training.sequence_tokens(
+        _laid_out(spark, sf_dir), derived.token_logp, carry=["advantage"]
+    )
+    table = table.withColumn(
+        "advantage", credit.hicra_advantage(F.col("advantage"), F.col("planning"))
+    )
+    return _loss_columns(credit.masked_pg_loss(table, "prompt_id"))
+
+
 def _budget(max_prompt: int, max_completion: int) -> Query:
     def run(spark, sf_dir):
         flagged = tokens.budget_flags(
@@ -771,29 +841,60 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).drop("is_object")
 
 
+def _split(spark, sf_dir):
+    landing, out, mark = (scratch_path(spark, name) for name in ("landing", "split", "split-mark"))
+    derived.responses(spark, sf_dir).write.json(landing)
+    ingest.stream_split(spark, landing, out, mark, files_per_batch=1)
+    return ingest.read_split(spark, out)
+
+
 @query
 def stream_quarantine(spark, sf_dir):
     """Rejected responses of a stream, kept with their status."""
-    landing, out, mark, bad = (
-        scratch_path(spark, name) for name in ("landing", "ingested", "ingest-mark", "rejected")
-    )
-    derived.responses(spark, sf_dir).write.json(landing)
-    ingest.stream_ingest(spark, landing, out, mark, files_per_batch=1, rejected=bad)
-    rejected = spark.read.parquet(bad)
+    _, rejected = _split(spark, sf_dir)
     return rejected.select("batch_no", F.col("status").cast("bigint").alias("status"))
 
 
-@register("stream_step_log")
-def stream_step(spark, sf_dir):
-    """The events arrive in three files, one micro-batch each, over which every step is spread."""
+@query
+def stream_split(spark, sf_dir):
+    """Items and rejected responses of one scan of the landed files."""
+    items, rejected = _split(spark, sf_dir)
+    return items.select("batch_no", "pos", "prompt", "answer").unionByName(
+        rejected.select("batch_no", F.col("status").cast("string").alias("answer")),
+        allowMissingColumns=True,
+    )
+
+
+def _log(spark, sf_dir, parts: int, events: DataFrame, prepare, **more):
+    """A stream over the events, dealt out so that every step is spread over ``parts`` batches."""
     landing, out, mark = (
         scratch_path(spark, name) for name in ("events", "moments", "moments-mark")
     )
-    events = derived.table(spark, sf_dir, "events")
-    for part in range(3):
-        some = events.filter(F.col("event_id") % 3 == part)
-        some.coalesce(1).write.mode("append").parquet(landing)
+    part = F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(parts)).cast("int")
+    events.withColumn("part", part).write.partitionBy("part").parquet(landing)
+    landed = spark.read.parquet(landing)
+    files = len(landed.inputFiles())
     log = stream_step_log(
-        spark, landing, events.schema, out, mark, derived.events_as_rollouts, files_per_batch=1
-    )
+        spark, landing, landed.schema, out, mark, prepare,
+        files_per_batch=max(1, -(-files // parts)), **more,
+    )
     return log.select("step", *[r6(F.col(x)).alias(x) for x in [*LOG_COLUMNS, "kl"]])
+
+
+@register("stream_step_log")
+def stream_step(spark, sf_dir):
+    """The events arrive in three micro-batches, over which every step is spread."""
+    events = derived.table(spark, sf_dir, "events")
+    return _log(spark, sf_dir, 3, events, derived.events_as_rollouts)
+
+
+@query
+def stream_step_log_compacted(spark, sf_dir):
+    """Seven micro-batches, folded in pairs and pairs of pairs; some events have no step."""
+
+    def prepare(events):
+        known = F.when(F.col("event_id") % 13 != 0, F.col("step"))
+        return derived.events_as_rollouts(events, "event_id").withColumn("step", known)
+
+    events = derived.table(spark, sf_dir, "events")
+    return _log(spark, sf_dir, 7, events, prepare, fan_in=2)

@@ -50,7 +50,12 @@ def unwrap_response(
     return responses.withColumns({"provider": name, out: text})
 
 
+def is_accepted() -> Column:
+    """No HTTP error; a missing status is one."""
+    return F.coalesce(F.col("status") < 400, F.lit(False))
+
+
 def split_by_status(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Responses without an HTTP error, and the quarantine of all others."""
-    accepted = F.coalesce(F.col("status") < 400, F.lit(False))
+    accepted = is_accepted()
     return responses.filter(accepted), responses.filter(~accepted)

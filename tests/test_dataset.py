@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,75 @@ def test_profile(spark):
     )
     rows = [tuple(r) for r in dataset.dataset_profile(df, "id").collect()]
     assert rows == [("text", "string", 2, 0, "a" * 100), ("n", "int", 2, 1, "5")]
+
+
+def _landed(spark, tmp_path, numbers, per_batch):
+    """Responses as files in batch order, and a parser that counts the texts it is given."""
+    path = str(tmp_path / "landed")
+    rows = [
+        (n, "[" + ",".join(f'{{"prompt":"{n}-{i}","answer":"{i}"}}' for i in range(per_batch(n))) + "]")
+        for n in numbers
+    ]
+    frame = spark.createDataFrame(rows, "batch_no bigint, text string").repartitionByRange(8, "batch_no")
+    frame.write.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(text: pd.Series) -> pd.Series:
+        seen.add(len(text))
+        return text
+
+    frame = spark.read.parquet(path).withColumn("text", counted("text"))
+    return dataset.parse_batches(frame), seen
+
+
+@pytest.mark.parametrize("step,offset", [(1, 0), (1, -60_000), (1 << 40, -5)])
+def test_a_prefix_of_a_long_input_is_read(spark, tmp_path, step, offset):
+    """A thousand times the target follows; few more texts are parsed than kept, each of them once."""
+    numbers = [offset + i * step for i in range(100_000)]
+    batches, seen = _landed(spark, tmp_path, numbers, lambda n: 1)
+    kept = dataset.collect_batches(batches, 100)
+    assert sorted(r.batch_no for r in kept.collect()) == numbers[:100]
+    assert kept.agg(F.max("progress")).first()[0] == 100
+    assert 100 <= seen.value <= 300
+
+
+def test_the_prefix_equals_the_whole(spark, tmp_path):
+    """Empty batches, gaps and overshoot at every target, against counting everything."""
+    rng = random.Random(4)
+    numbers = sorted(rng.sample(range(-3000, 3000), 150)) + [10**9]
+    sizes = {n: rng.choice([0, 0, 1, 2, 7]) for n in numbers}
+    batches, seen = _landed(spark, tmp_path, numbers, sizes.get)
+    for target in (1, 5, 60, 100_000):
+        want, total = [], 0
+        for n in numbers:
+            if total < target and sizes[n]:
+                total += sizes[n]
+                want.append((n, sizes[n], total))
+        before = seen.value
+        got = dataset.collect_batches(batches, target).groupBy("batch_no").agg(
+            F.count("*"), F.max("progress")
+        )
+        assert sorted(map(tuple, got.collect())) == want
+        assert seen.value - before <= len(numbers)  # no text twice
+    bounds = dataset.batch_range(batches)
+    assert bounds == (numbers[0], 10**9, len(numbers))
+    assert dataset.collect_batches(batches, 5, bounds=bounds).count() >= 5
+
+
+def test_prefix_of_nothing_and_of_a_missing_number(spark):
+    frame = spark.createDataFrame([(None, "[]"), (1, "[]")], "batch_no bigint, text string")
+    parsed = dataset.parse_batches(frame)
+    with pytest.raises(ValueError, match="NULL in batch_no"):
+        dataset.collect_batches(parsed)
+    assert dataset.collect_batches(parsed.filter("false")).count() == 0
+    assert dataset.collect_batches(parsed.filter("batch_no = 1")).count() == 0
+
+
+def test_progress_parses_texts_once(spark):
+    frame = spark.createDataFrame([(1, "[1]")], "batch_no bigint, text string")
+    batches = dataset.parse_batches(frame)
+    size = F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0))
+    sizes = batches.groupBy("batch_no").agg(F.sum(size).alias("n_items")).filter("n_items > 0")
+    text = sizes._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrayType(ArrayType(StringType") == 1

@@ -1,0 +1,153 @@
+"""Advantages meet texts: NULL keys, repeated rollouts, and the layout in which no text moves."""
+
+from __future__ import annotations
+
+import random
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from rolloom.operators import credit, layout, tokens
+
+KEYS = ["prompt_id", "gen_idx"]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows(n=400, seed=2):
+    rng = random.Random(seed)
+    texts, rollouts = [], []
+    for i in range(n):
+        key = (rng.choice([None, None, 1, 2, 3, rng.randrange(40)]), rng.choice([None, 0, 1, 2]))
+        texts.append((*key, i, f"wait a {i} " * rng.randrange(4)))
+        rollouts.append((*key, rng.choice([0.5, -1.0, 2.25, None])))
+    return texts, rollouts
+
+
+def frames(spark, texts, rollouts):
+    return (
+        spark.createDataFrame(texts, "prompt_id bigint, gen_idx int, origin int, completion string"),
+        spark.createDataFrame(rollouts, "prompt_id bigint, gen_idx int, advantage double"),
+    )
+
+
+def brute(texts, rollouts):
+    least: dict = {}
+    for *key, a in rollouts:
+        key = tuple(key)
+        least.setdefault(key, None)
+        if a is not None:
+            least[key] = a if least[key] is None else min(a, least[key])
+    return sorted(((o, t, least[p, g]) for p, g, o, t in texts if (p, g) in least), key=repr)
+
+
+def got(df):
+    return sorted(map(tuple, df.select("origin", "completion", "advantage").collect()), key=repr)
+
+
+def test_null_keys_stay_and_repeats_do_not_multiply(spark):
+    texts, rollouts = rows()
+    dropped = {(3, 0), (None, None)}
+    rollouts = [r for r in rollouts if r[:2] not in dropped]  # texts without a rollout drop
+    joined = credit.with_advantage(*frames(spark, texts, rollouts))
+    assert got(joined) == brute(texts, rollouts)
+    assert joined.columns.count("prompt_id") == 1
+    table, adv = frames(spark, texts, rollouts)
+    some = tokens.token_offsets(table, "completion", [*KEYS, "origin"])
+    spread = credit.token_advantage(some, adv)
+    assert spread.count() == tokens.token_offsets(joined, "completion", ["origin"]).count()
+
+
+@pytest.mark.parametrize("rows_per_task", [3, 1_000_000])
+def test_layout_equals_the_join(spark, tmp_path, rows_per_task):
+    texts, rollouts = rows()
+    name, path = f"t{uuid.uuid4().hex}", str(tmp_path / "layout")
+    layout.write_layout(
+        *frames(spark, texts, rollouts), name, path, buckets=4, rows_per_task=rows_per_task
+    )
+    read = layout.read_layout(spark, name)
+    assert read.columns == [*KEYS, "origin", "completion", "advantage"]
+    assert got(read) == brute(texts, rollouts)
+    if rows_per_task == 3:  # the texts of a repeated rollout lie in several parts
+        per_part = spark.table(f"{name}_texts").filter("_nulls = 1 AND _k1 = 0")
+        assert per_part.select("_part").distinct().count() > 1
+    layout.drop_layout(spark, name, path)
+    assert not (tmp_path / "layout").exists()
+
+
+def test_layout_of_text_keys_and_of_nothing(spark, tmp_path):
+    texts = spark.createDataFrame([("", "x"), (None, "y"), ("a", "z")], "k string, text string")
+    adv = spark.createDataFrame([("", 1.0), (None, 2.0)], "k string, advantage double")
+    for n, (t, want) in enumerate(((texts, {("x", 1.0), ("y", 2.0)}), (texts.limit(0), set()))):
+        name, path = f"t{uuid.uuid4().hex}", str(tmp_path / str(n))
+        layout.write_layout(t, adv, name, path, keys=["k"], buckets=2)
+        read = layout.read_layout(spark, name)
+        assert {(r.text, r.advantage) for r in read.collect()} == want
+        layout.drop_layout(spark, name, path)
+
+
+def test_no_exchange_below_the_tokens(spark, tmp_path):
+    name, path = f"t{uuid.uuid4().hex}", str(tmp_path / "layout")
+    layout.write_layout(*frames(spark, *rows()), name, path, buckets=4)
+    keys = [*KEYS, "origin", "advantage"]
+    spread = tokens.token_offsets(layout.read_layout(spark, name), "completion", keys)
+    masked = tokens.planning_mask(layout.read_layout(spark, name), "completion", keys)
+    for df in (spread, masked):
+        text = plan(df)
+        assert "Exchange" not in text and "Sort" not in text and "ShuffledHashJoin" in text
+    value = credit.hicra_advantage(F.col("advantage"), F.col("planning"))
+    terms = masked.withColumns({"advantage": value, "logp": F.lit(-1.0), "mask": F.lit(1.0)})
+    text = plan(credit.masked_pg_loss(terms, "prompt_id"))
+    # printed from the result down: partial sums lie below the only exchange
+    assert text.count("Exchange") == 1 and text.index("Exchange") < text.index("partial_sum")
+    assert text.index("partial_sum") < text.index("Generate") < text.index("ShuffledHashJoin")
+    layout.drop_layout(spark, name, path)
+
+
+def test_align_keeps_null_keys_and_single_rows(spark):
+    left = spark.createDataFrame(
+        [(None, 0, 0, 1.0), (1, None, 0, 2.0), (1, None, 1, 3.0)],
+        "prompt_id int, gen_idx int, shifted_idx int, advantage double",
+    )
+    right = spark.createDataFrame(
+        [(None, 0, 0, -1.0), (None, 0, 0, -2.0), (1, None, 0, -3.0), (2, 0, 0, -4.0)],
+        "prompt_id int, gen_idx int, shifted_idx int, logp double",
+    )
+    found = credit.align_min_len(left, right).collect()
+    assert sorted((r.advantage, r.logp) for r in found) == [(1.0, -2.0), (2.0, -3.0)]
+
+
+# --- logits as rows ----------------------------------------------------------------------------------
+
+
+def test_logprob_rows_equal_the_array_form(spark):
+    rng = random.Random(7)
+    cases = [[rng.gauss(0, s) for _ in range(50)] for s in (1, 30, 400, 5000)]
+    cases += [[299.9, 300.1, 0.0], [-700.0, -701.0], [1e6, 1e6 - 1], [float("-inf"), 2.0, 1.0], [5.0]]
+    logits = spark.createDataFrame(
+        [(i if i else None, x, len(x) // 2) for i, x in enumerate(cases)],
+        "id int, logits array<double>, label int",
+    )
+    want = logits.select("id", credit.token_logprob(F.col("logits"), F.col("label")).alias("w"))
+    long = logits.select("id", "label", F.posexplode("logits").alias("token_id", "logit"))
+    found = credit.token_logprob_rows(long.repartition(7), ["id"])
+    both = found.join(want.withColumnRenamed("id", "j"), F.col("id").eqNullSafe(F.col("j")))
+    pairs = [(r.logp, r.w) for r in both.collect()]
+    assert len(pairs) == len(cases)
+    for logp, w in pairs:
+        assert logp == pytest.approx(w, rel=1e-12, abs=1e-9)
+    text = plan(found)
+    assert "partial_sum" in text
+
+
+def test_logprob_rows_without_a_label(spark):
+    long = spark.createDataFrame(
+        [(1, None, 0, 1.0), (2, 9, 0, 1.0), (3, 0, 0, None), (3, 0, 1, 2.0)],
+        "id int, label int, token_id int, logit double",
+    )
+    found = {r.id: r.logp for r in credit.token_logprob_rows(long, ["id"]).collect()}
+    assert found == {1: None, 2: None, 3: None}
+    assert credit.token_logprob_rows(long.limit(0), ["id"]).count() == 0
