@@ -17,13 +17,13 @@ File layout, little-endian (fixed values of the format):
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +40,27 @@ FOOTER = "<QQQQ8s"
 BLOCK_IDS = 4096
 PERCENTILE = 90
 SHARD_IDS = 1 << 22  # a shard is closed at the first document end behind so many ids
-_SLICE = 512  # documents tokenised at once
-_STOPS = ".,"
+_SLICE_BYTES = 1 << 22  # of texts tokenised at once
+_STOPS = [".", ","]
+_STOPPED = r"^[\x00\n]?\p{L}+[.,]\z"
+_FIRST = "\0"  # put before the first word of a text
+# a text that is not taken apart: other blanks, two in a row, one at the end, or the sign above
+_ODD = (
+    r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+    r"\x{3000}]|[ \n][ \n]|[ \n]\z"
+)
 _MARK = "Ġ"  # how byte-level pieces write a leading space
 
 
 class ByteLevelEncoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian u32.
 
-    Where the tokenizer splits as byte-level BPE does, a text falls apart before each space behind a
-    non-blank, and each word is encoded by the library once. Texts with a blank before a space, or
-    with a special token's string, go through the library as a whole, as does any other tokenizer.
+    Where the tokenizer splits as byte-level BPE does, a text falls apart before each space and line
+    feed behind a non-blank. That is done on Arrow columns: texts are split, the words of many texts
+    become one dictionary, only its entries are looked up in a bounded memo, and one gather lays their
+    ids out again. A word that is not known is encoded by the library. Texts with other blanks, two
+    blanks in a row or one at the end, a zero character or a special token's string go through the
+    library as a whole, as does any other tokenizer.
     """
 
     def __init__(self, path: str):
@@ -68,18 +78,18 @@ class ByteLevelEncoder:
         vocabulary = self._tokenizer.get_vocab()
         self._starts_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._starts_word[[i for piece, i in vocabulary.items() if piece.startswith(_MARK)]] = True
-        self._stops = dict(zip(_STOPS, self._encode(list(_STOPS))))
-        self._behind_space: WordMemo[bytes] = WordMemo(self._encode_behind_space)
-        self._plain: WordMemo[bytes] = WordMemo(self._encode_plain, 100_000)
+        self._stops = [*self._encode(_STOPS), b""]
+        self._feed = self._encode(["\n"])[0]
+        self._words: WordMemo[bytes] = WordMemo(self._encode_words, 400_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in encoded]
 
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
+    def _encode_lines(self, words: list[str]) -> list[bytes]:
         """Words that begin a line: in a few texts, a line each, parted at the line feeds again."""
-        feed = np.frombuffer(self._encode(["\n"])[0], "<u4")
-        single = [w for w in words if w and not re.search(r"\s", w)]
+        feed = np.frombuffer(self._feed, "<u4")
+        single = [w for w in words if w]
         parts = [single[at : at + 1000] for at in range(0, len(single), 1000)]
         joined = self._tokenizer.encode_batch_fast(
             ["\n".join(part) for part in parts], add_special_tokens=False
@@ -113,51 +123,67 @@ class ByteLevelEncoder:
                 out += self._encode([" " + w for w in part])
         return out
 
-    def _encode_behind_space(self, words: list[str]) -> list[bytes]:
-        """A letters-only word and the full stop or comma behind it are encoded apart, as the split
-        pattern does, so that the word is made once for all of them."""
-        memo, found = self._behind_space, {}
-        stems = {w: w[:-1] for w in words if w[-1:] in _STOPS and w[:-1].isalpha()}
-        made = {x: ids for x in set(stems.values()) if (ids := memo.known(x)) is not None}
-        todo = {x for x in stems.values() if x not in made}
-        todo.update(w for w in words if w and w not in stems and not re.search(r"\s", w))
-        fresh = list(todo)
-        for word, ids in zip(fresh, self._join(fresh)):
-            found[word] = ids
-            memo.add(word, ids)
-        for word, stem in stems.items():
-            found[word] = (made.get(stem) or found[stem]) + self._stops[word[-1]]
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._encode([" " + w for w in rest])))
-        return [found[w] for w in words]
-
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """Words of the lines of a text; None where it must not be taken apart."""
-        if re.search(r"\s[ \n]|\s\Z|[^\S \n]", text) or any(s in text for s in self._special):
-            return None
-        return [line.split(" ") for line in text.split("\n")]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self._by_word:
-            return self._encode(texts)
-        taken = [self._lines(x) for x in texts]
-        behind: set[str] = set()
-        plain = {"\n"}
-        for lines in taken:
-            for words in lines or ():
-                plain.add(words[0])
-                behind.update(words[1:])
-        first, later = self._plain.covering(plain), self._behind_space.covering(behind)
-        newline = first["\n"]
-        whole = iter(self._encode([x for x, lines in zip(texts, taken) if lines is None]))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words as :meth:`__call__` cuts them: the sign in front tells what a word follows."""
+        lines = list({w[1:] for w in words if w[:1] in (_FIRST, "\n")})
+        behind = [w for w in words if w[:1] not in (_FIRST, "\n")]
+        first = dict(zip(lines, self._encode_lines(lines)))
+        later = dict(zip(behind, self._join(behind)))
         return [
-            next(whole)
-            if lines is None
-            else newline.join(
-                first[words[0]] + b"".join(map(later.__getitem__, words[1:])) for words in lines
-            )
-            for lines in taken
+            first[w[1:]] if w[:1] == _FIRST
+            else self._feed + first[w[1:]] if w[:1] == "\n"
+            else later[w]
+            for w in words
+        ]
+
+    def __call__(self, texts: pa.StringArray | Sequence[str | None]) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        if not self._by_word:
+            return self._encode(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, _ODD)
+        for special in self._special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        whole = iter(self._encode(texts.filter(odd).to_pylist()))
+        marked = pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise(_FIRST, marked, ""), " ")
+        words = cut.flatten().dictionary_encode()
+        # the split pattern cuts a full stop or comma off letters: the word is made once for all of them
+        stopped = pc.match_substring_regex(words.dictionary, _STOPPED)
+        stems = pc.utf8_slice_codeunits(words.dictionary, 0, stop=-1)
+        stems = pc.if_else(stopped, stems, words.dictionary).dictionary_encode()
+        last = pc.utf8_slice_codeunits(words.dictionary, -1)
+        tail = pc.if_else(stopped, pc.index_in(last, pa.array(_STOPS)), len(_STOPS))
+        names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self._words.covering(set(names)).__getitem__, names))
+        made = [
+            known[stem] + self._stops[end]
+            for stem, end in zip(stems.indices.to_numpy().tolist(), tail.to_numpy().tolist())
         ]
+        # lay out the ids of all words, one text behind the other
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        word = words.indices.to_numpy()
+        taken = sizes[word]
+        ends = np.cumsum(taken)
+        place = np.repeat(starts[word] - (ends - taken), taken) + np.arange(taken.sum())
+        laid = np.frombuffer(b"".join(made), "<u4")[place].tobytes()
+        edges = np.append(0, ends)[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * 4
+        each = iter([laid[i:j] for i, j in zip(edges.tolist(), edges[1:].tolist())])
+        return [next(whole) if is_odd else next(each) for is_odd in odd.to_pylist()]
+
+
+def text_slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with a bounded number of bytes; a row above the bound is a run of its own."""
+    total, begin = 0, 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if total and total + size > _SLICE_BYTES:
+            yield begin, at
+            begin, total = at, 0
+        total += size
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -300,7 +326,7 @@ _WRITTEN = pa.schema(
 
 
 def _writer(tokenizer: str, end_id: int | None, folder: str) -> Callable:
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    end_mark = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(("byte level", tokenizer), lambda: ByteLevelEncoder(tokenizer))
@@ -313,17 +339,16 @@ def _writer(tokenizer: str, end_id: int | None, folder: str) -> Callable:
             made[-1] |= {"n_docs": docs, "n_ids": ids, "n_bytes": size}
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                rows = batch.slice(at, _SLICE)
-                texts = [x or "" for x in rows.column(1).to_pylist()]
-                for key, ids in zip(rows.column(0).to_pylist(), encode(texts)):
+            for at, end in text_slices(batch.column(1)):
+                rows = batch.slice(at, end - at)
+                for key, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1))):
                     if shard is None:
                         number = part << 20 | len(made)
                         name = f"ids-{part:06d}-{len(made):06d}.pfor"
                         temporary = temporary_name(folder, name)
                         made.append({"shard_no": number, "name": name, "temporary": temporary})
                         shard = ShardWriter(temporary)
-                    shard.add(key, ids + end)
+                    shard.add(key, ids + end_mark)
                     if shard.n_ids >= SHARD_IDS:
                         close()
                         shard = None
