@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,9 @@ _SLICE = 256
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset(
+    "script style textarea title noscript template iframe svg object annotation annotation-xml".split()
+)  # no math: its text is read; annotations say it once more in another notation
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
@@ -60,15 +64,16 @@ PARTS = NOISE | GOOD | frozenset(
     "panel placeholder posts primary results right row secondary section site slot space stories "
     "thread title top trail unit visually widgets wrap wrapper zone".split()
 )
+LEVELS = 64  # a block adds to the value of so many containers around it, the innermost first
 NOISE_WEIGHT = 0.25  # of a zone that holds most of the text, against containers outside of zones
+# a quotation mark opens a value directly behind the equals sign alone; nothing is matched twice
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+)"""
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|"
-    r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))",
+    rf"(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{_VALUE})?|=)*+)(?:>|\Z))",
     re.S,
 )
-_ATTRIBUTE = re.compile(
-    r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?"""
-)
+_ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:\s*+=\s*+({_VALUE}))?")
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z]+")
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
@@ -78,23 +83,69 @@ class Node:
     """An element that holds blocks: its path, its text, how much of it is link text, and its value:
     characters that are no links, whole from blocks in it, a half, a third ... from further below.
 
+    ``path`` is the number of the page's path; ``first`` and ``last`` bound the blocks in it.
     ``zone`` is the innermost element around it, or itself, that is set apart; None outside of all.
     ``weight`` is 0 in zones that are no candidates. ``own`` counts what is no link in a zone itself.
     """
 
     __slots__ = (
-        "tag", "path", "zone", "parent", "chars", "links", "value", "good", "blocks", "weight",
+        "tag", "path", "zone", "parent", "chars", "links", "value", "good", "first", "last", "weight",
         "own", "hidden",
     )
 
-    def __init__(self, tag: str, path: str, parent: "Node | None", good: bool):
+    def __init__(self, tag: str, path: int, parent: "Node | None", good: bool, first: int):
         self.tag, self.path, self.parent, self.good = tag, path, parent, good
         self.zone: Node | None = None
         self.chars = self.links = self.own = 0
         self.value = 0.0
         self.weight = 1.0
         self.hidden = False
-        self.blocks: list[tuple[int, str]] = []
+        self.first = self.last = first
+
+
+class Page:
+    """The containers of a page in order, its blocks of text, and its paths, each kept once.
+
+    A path is a pair of the path above and a step, so that deep pages take no more than their length.
+    """
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.blocks: list[tuple[str, Node | None]] = []  # text and its zone
+        self._steps: list[tuple[int, str]] = [(-1, "")]
+        self._numbers: dict[tuple[int, str], int] = {}
+
+    def path_below(self, above: int, step: str) -> int:
+        number = self._numbers.setdefault((above, step), len(self._steps))
+        if number == len(self._steps):
+            self._steps.append((above, step))
+        return number
+
+    def path_text(self, number: int) -> str:
+        steps: list[str] = []
+        while number >= 0:
+            number, step = self._steps[number]
+            steps.append(step)
+        return "/".join(reversed(steps))
+
+    def path_number(self, text: str) -> int | None:
+        """The number of a path of this page; None of any other."""
+        number: int | None = 0
+        for step in text.split("/")[1:]:
+            number = self._numbers.get((number, step))
+            if number is None:
+                return None
+        return number
+
+    def text(self, nodes: list[Node]) -> str:
+        """Blocks of containers, those of other zones left out, each block once, in page order."""
+        places = {
+            place
+            for node in nodes
+            for place in range(node.first, node.last)
+            if self.blocks[place][1] is node.zone
+        }
+        return "\n".join(self.blocks[place][0] for place in sorted(places))
 
 
 def _attributes(raw: str) -> tuple[list[list[str]], bool]:
@@ -123,53 +174,59 @@ def _is_noise(words: list[str]) -> bool:
     return any(w in NOISE for w in words) and all(w in PARTS or len(w) == 1 for w in words)
 
 
-def parse(page: str) -> list[Node]:
-    """Containers of a page in order, each with the blocks of text that lie in it or below.
+def parse(page: str) -> Page:
+    """Containers and blocks of a page.
 
-    A block is (place, text): white space inside is one blank, references are decoded. Elements that
-    are not closed end with what they lie in; the page may break off anywhere. Containers of zones
-    hold the text of their zone alone.
+    A block's white space is one blank each, its references are decoded. Elements that are not closed
+    end with what they lie in; the page may break off anywhere. Containers of zones hold the text of
+    their zone alone. The time is linear in the page, however deep it is: a block counts in at most
+    LEVELS containers around it, and characters are added up once, when an element ends.
     """
-    root = Node("", "", None, False)
-    nodes = [root]
+    out = Page()
+    nodes, blocks = out.nodes, out.blocks
+    root = Node("", 0, None, False, 0)
+    nodes.append(root)
     zones: list[Node] = []
     total = 0
     stack: list[Node] = [root]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
-    place = 0
     in_link = 0
     linked = 0
 
     def flush() -> None:
-        nonlocal pieces, place, linked, total
+        nonlocal pieces, linked, total
         if pieces:
             text = _BLANKS.sub(" ", html.unescape("".join(pieces))).strip()
             pieces = []
             if text:
-                place += 1
                 share = min(linked, len(text))
                 node, level = stack[-1], 0
                 zone = node.zone
+                blocks.append((text, zone))
+                node.chars += len(text)
+                node.links += share
                 if zone is not None:
                     zone.own += len(text) - share
                 if zone is None or zone.tag not in CONTROLS:
                     total += len(text) - share
-                while node is not None and node.zone is zone:
+                while node is not None and node.zone is zone and level < LEVELS:
                     if node.tag in CONTAINERS or node is root or node is zone:
-                        node.blocks.append((place, text))
-                        node.chars += len(text)
-                        node.links += share
                         level += 1
                         node.value += (len(text) - share) / level
                     node = node.parent
         linked = 0
 
-    def close(upto: int) -> None:
-        flush()
-        del stack[upto:]
+    def pop() -> None:
+        node = stack.pop()
+        opened[node.tag] -= 1
+        node.last = len(blocks)
+        above = node.parent
+        if above is not None and above.zone is node.zone:
+            above.chars += node.chars
+            above.links += node.links
 
     at = 0
-    raw_until: re.Pattern | None = None
     size = len(page)
     while at < size:
         found = _TAG.search(page, at)
@@ -190,17 +247,16 @@ def parse(page: str) -> list[Node]:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in BLOCKS or name in SKIPPED:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == name:
-                        close(depth)
-                        break
-                else:
-                    flush()
+                flush()
+                if opened[name] > 0:
+                    while stack[-1].tag != name:
+                        pop()
+                    pop()
             continue
         attributes = found[3] or ""
-        if name in RAW and not attributes.endswith("/"):
-            raw_until = re.compile(rf"</{name}\s*>|\Z", re.I)
-            at = raw_until.search(page, at).end()
+        if name in RAW:
+            if not attributes.endswith("/"):
+                at = _raw_end(name).search(page, at).end()
             continue
         if name == "br" or name == "wbr":
             pieces.append(" " if name == "br" else "")
@@ -216,30 +272,38 @@ def parse(page: str) -> list[Node]:
         flush()
         in_link = 0 if name in CONTAINERS else in_link
         while stack[-1].tag in CLOSED_BY_BLOCK or (name == "li" and stack[-1].tag == "li"):
-            stack.pop()
+            pop()
         tokens, hidden = _attributes(attributes) if attributes else ([], False)
         above = stack[-1]
         mark = ".".join(sorted({w for words in tokens for w in words}))
-        path = f"{above.path}/{name}" + (f".{mark}" if mark else "")
+        path = out.path_below(above.path, name + (f".{mark}" if mark else ""))
         noise = [_is_noise(words) for words in tokens]
         good = name in ("article", "main") or any(
             not bad and any(w in GOOD for w in words) for words, bad in zip(tokens, noise)
         )
         spared = good or name in HEADINGS or name in ("html", "body")
-        node = Node(name, path, above, good)
+        node = Node(name, path, above, good, len(blocks))
         node.zone, node.hidden = above.zone, above.hidden or hidden
         if hidden or name in SKIPPED or (any(noise) and not spared):
             node.zone = node
             zones.append(node)
         stack.append(node)
+        opened[name] += 1
         if name in CONTAINERS or (node.zone is node and name not in CONTROLS):
             nodes.append(node)
     flush()
+    while stack:
+        pop()
     for node in nodes:
         if node.zone is not None:
             most = node.zone.own * 2 > total
             node.weight = 0.0 if not most else 1.0 if _wraps(node.zone) else NOISE_WEIGHT
-    return nodes
+    return out
+
+
+@lru_cache(maxsize=None)  # one per name in RAW
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>|\Z", re.I)
 
 
 def _wraps(zone: Node) -> bool:
@@ -261,12 +325,13 @@ def score(node: Node) -> float:
 
 def best_path(page: str | None) -> tuple[str, float] | None:
     """The path with the highest score; of equals the outermost, which comes first."""
-    best: tuple[str, float] | None = None
-    for node in parse(page or ""):
+    best: tuple[int, float] | None = None
+    parsed = parse(page or "")
+    for node in parsed.nodes:
         value = score(node)
         if value > 0 and (best is None or value > best[1]):
             best = node.path, value
-    return best
+    return None if best is None else (parsed.path_text(best[0]), best[1])
 
 
 def extract(page: str | None, paths: list[str] | None) -> str:
@@ -274,18 +339,19 @@ def extract(page: str | None, paths: list[str] | None) -> str:
     best container. Blocks are joined by line feeds; what lies in two containers is taken once.
 
     A path that its host agrees on is followed into zones, too, but not to what is hidden."""
-    nodes = parse(page or "")
+    parsed = parse(page or "")
+    full = [n for n in parsed.nodes if n.chars]
     chosen: list[Node] = []
     for path in paths or ():
-        there = [n for n in nodes if n.path == path and n.blocks]
+        number = parsed.path_number(path)
+        there = [n for n in full if n.path == number]
         chosen = [n for n in there if n.weight] or [n for n in there if not n.hidden]
         if chosen:
             break
     if not chosen:
-        ranked = [(score(n), -i, n) for i, n in enumerate(nodes) if n.blocks and n.weight]
+        ranked = [(score(n), -i, n) for i, n in enumerate(full) if n.weight]
         chosen = [max(ranked, key=lambda x: x[:2])[2]] if ranked else []
-    blocks = dict(block for node in chosen for block in node.blocks)
-    return "\n".join(blocks[place] for place in sorted(blocks))
+    return parsed.text(chosen)
 
 
 def host_of(url: Column) -> Column:
