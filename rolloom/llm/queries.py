@@ -73,8 +73,7 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL)
-    return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+    return round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,18 +15,22 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from rolloom.llm.arrow_words import lay_out, text_slices
 from rolloom.llm.word_memo import WordMemo
 from rolloom.llm.worker import kept
 
 BLANK = "▁"
 THREADS = 2
-_SLICE = 256  # texts encoded at once
+_SLICE = 256  # lists decoded at once
+# a text that does not fall apart at single blanks, or an empty one
+_ODD = r"\A\z|  |\A | \z|" + BLANK
 _NORMAL, _UNKNOWN, _USER, _UNUSED = 1, 2, 4, 5  # piece types of the protobuf
 
 
@@ -94,12 +98,16 @@ def build_tokenizer(proto: model_pb2.ModelProto) -> Tokenizer:
     return tokenizer
 
 
+class Differing(bytes):
+    """Ids of the rebuilt tokenizer that are not those of sentencepiece."""
+
+
 class SentencePieceCodec:
-    """Encodes and decodes batches; ``corrected`` counts what parity made it take from sentencepiece.
+    """Encodes and decodes batches with the rebuilt tokenizer; sentencepiece confirms its ids.
 
     No piece of a common model holds a blank behind another character. Such a text falls apart before
-    each run of blanks, and each segment is encoded and checked once. For other models whole texts
-    are.
+    each run of blanks, and each segment is encoded by both libraries once. For other models whole
+    texts are.
     """
 
     def __init__(self, path: str, threads: int = THREADS):
@@ -126,102 +134,105 @@ class SentencePieceCodec:
             )
         # marks that no piece joins to a letter before them: a word and such a mark are apart
         normal = [p.piece for p in proto.pieces if p.type == _NORMAL]
-        self._stops = {
-            mark: np.array(self._library.encode("a" + mark)[1:], "<i4").tobytes()
-            for mark in ".,"
-            if not any(re.search(rf"[^\W\d_]\{mark}", piece) for piece in normal)
-        }
         self._stem = self._library.encode("a")
+        self._stops: list[str] = []
+        self._tails: list[bytes] = []
+        for mark in ".,":
+            apart = not any(re.search(rf"[^\W\d_]\{mark}", piece) for piece in normal)
+            ours = self._backend([BLANK + "a" + mark])[0]
+            if apart and ours == self._library.encode("a" + mark):
+                self._stops.append(mark)
+                self._tails.append(np.array(ours[len(self._stem) :], "<i4").tobytes())
+        self._stopped = rf"^\p{{L}}+[{''.join(self._stops)}]\z" if self._stops else r"^\b$"
         self._memo: WordMemo[bytes] = WordMemo(self._segments, 50_000)
-        self._words: WordMemo[bytes] = WordMemo(self._word_ids, 200_000)
-        self.corrected = 0  # segments on which sentencepiece's ids were taken
-        self.broken: set[str] = set()  # segments that do not decode to themselves
+        self._words: WordMemo[bytes] = WordMemo(
+            lambda words: self._segments([BLANK + w for w in words]), 400_000
+        )
 
     def _backend(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _agreed(self, ours: list[int], theirs: list[int]) -> bytes:
-        if ours != theirs:
-            self.corrected += 1
-        return np.array(theirs, "<i4").tobytes()
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        memo = self._words
-        stems = {w: w[:-1] for w in words if w[-1:] in self._stops and w[:-1].isalpha()}
-        found = {x: ids for x in set(stems.values()) if (ids := memo.known(x)) is not None}
-        fresh = list({w for w in words if w not in stems} | {x for x in stems.values()} - set(found))
-        for word, ids in zip(fresh, self._segments([BLANK + w for w in fresh])):
-            found[word] = ids
-            if word:
-                memo.add(word, ids)
-        found.update((w, found[x] + self._stops[w[-1]]) for w, x in stems.items())
-        return [found[w] for w in words]
-
-    def _joined(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of segments with one leading blank by both libraries, a thousand in one text: each
-        begins at a piece with a leading blank. None where that does not hold."""
+    @staticmethod
+    def _confirmed(ours: list[int], theirs: list[int]) -> bytes:
+        raw = np.array(ours, "<i4").tobytes()
+        return raw if ours == theirs else Differing(raw)
+
+    def _joined(self, segments: list[str]) -> Iterator[bytes | None]:
+        """Ids of segments with one leading blank, a thousand in one text: each begins at a piece with
+        a leading blank. None where that does not hold. Both libraries are compared text by text, and
+        word by word only where they differ."""
         for at in range(0, len(segments), 1000):
             part = segments[at : at + 1000]
             text = "".join(part)
-            sides = []
-            for ids in (
-                self._backend([text])[0],
-                self._library.encode(text[1:], num_threads=self._threads),
-            ):
-                edge = np.append(np.flatnonzero(self._starts[ids]), len(ids)).tolist()
-                if len(edge) == len(part) + 1:
-                    sides.append([ids[a:b] for a, b in zip(edge, edge[1:])])
-            yield from zip(*sides) if len(sides) == 2 else [None] * len(part)
+            ours = np.array(self._backend([text])[0], "<i4")
+            theirs = np.array(self._library.encode(text[1:], num_threads=self._threads), "<i4")
+            edges = [np.append(np.flatnonzero(self._starts[x]), len(x)).tolist() for x in (ours, theirs)]
+            if any(len(edge) != len(part) + 1 for edge in edges):
+                yield from [None] * len(part)
+                continue
+            raw = ours.tobytes()
+            ids = [raw[4 * i : 4 * j] for i, j in zip(edges[0], edges[0][1:])]
+            if not np.array_equal(ours, theirs):
+                raw = theirs.tobytes()
+                other = [raw[4 * i : 4 * j] for i, j in zip(edges[1], edges[1][1:])]
+                ids = [a if a == b else Differing(a) for a, b in zip(ids, other)]
+            yield from ids
 
     def _segments(self, segments: list[str]) -> list[bytes]:
-        """Segments, each a run of blanks with what follows: encoded, checked and decoded again."""
+        """Segments, each a run of blanks with what follows, encoded by both libraries."""
         single = [s for s in segments if len(s) > 1 and BLANK not in s[1:]]
-        both = dict(zip(single, self._joined(single)))
-        rest = [s for s in segments if both.get(s) is None]
+        found = dict(zip(single, self._joined(single)))
+        rest = [s for s in segments if found.get(s) is None]
         theirs = self._library.encode(["a" + s for s in rest], num_threads=self._threads)
         for segment, ours, ids in zip(rest, self._backend(rest), theirs):
-            both[segment] = ours, ids[len(self._stem) :]
-        raws = [self._agreed(*both[s]) for s in segments]
-        decoded = self.decode([both[s][1] for s in segments])
-        self.broken.update(
-            s for s, text in zip(segments, decoded) if text != s[1:].replace(BLANK, " ")
-        )
-        return raws
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian i32, exactly those of sentencepiece."""
+            found[segment] = self._confirmed(ours, ids[len(self._stem) :])
+        return [found[s] for s in segments]
+
+    def encode_checked(
+        self, texts: pa.StringArray | Sequence[str]
+    ) -> tuple[list[bytes], list[int]]:
+        """Ids of each text as little-endian i32, and how many of its words (of the whole text, for
+        models whose texts do not fall apart) sentencepiece encodes in another way."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
         if not self._by_segment:
-            normal = [self._normalizer.normalize_str(x) if x else "" for x in texts]
-            theirs = self._library.encode(texts, num_threads=self._threads)
-            return [self._agreed(a, b) for a, b in zip(self._backend(normal), theirs)]
-        words = [self._split(x) for x in texts]
-        single = self._words.covering({w for found, _ in words for w in found})
-        segments = self._memo.covering({s for _, found in words for s in found})
-        return [
-            b"".join(map(single.__getitem__, found))
-            if not runs
-            else b"".join(map(segments.__getitem__, runs))
-            for found, runs in words
+            plain = texts.to_pylist()
+            normal = [self._normalizer.normalize_str(x) if x else "" for x in plain]
+            theirs = self._library.encode(plain, num_threads=self._threads)
+            raws = list(map(self._confirmed, self._backend(normal), theirs))
+            return raws, [int(type(x) is Differing) for x in raws]
+        odd = pc.match_substring_regex(texts, _ODD)
+        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        found = lay_out(cut, self._words, self._stopped, self._stops, [*self._tails, b""])
+        differs = np.array([type(x) is Differing for x in found.values], np.int64)
+        counts = np.append(0, np.cumsum(differs[found.word]))[found.word_edges]
+        laid, edges = found.ids.tobytes(), (found.edges * 4).tolist()
+        each = zip([laid[i:j] for i, j in zip(edges, edges[1:])], np.diff(counts).tolist())
+        # blanks in runs, at an end, or written as the model's own sign
+        runs = [
+            re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + x.replace(" ", BLANK)) if x else []
+            for x in texts.filter(odd).to_pylist()
         ]
+        segments = self._memo.covering({s for run in runs for s in run})
+        whole = iter(
+            [
+                (b"".join(parts), sum(type(x) is Differing for x in parts))
+                for run in runs
+                for parts in [[segments[s] for s in run]]
+            ]
+        )
+        rows = [next(whole) if is_odd else next(each) for is_odd in odd.to_pylist()]
+        return [raw for raw, _ in rows], [n for _, n in rows]
 
-    @staticmethod
-    def _split(text: str) -> tuple[list[str], list[str]]:
-        """Words with one blank before each, or segments where blanks come in runs."""
-        if not text:
-            return [], []
-        if BLANK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" "), []
-        return [], re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + text.replace(" ", BLANK))
-
-    def returns(self, texts: list[str], raws: list[bytes]) -> list[bool]:
-        """Whether the ids of each text decode to it; U+2581 in a text is a blank to the model.
-
-        Segments are decoded apart, as each begins with a blank, once for all texts that have them.
-        """
-        if self._by_segment and not self.broken:
-            return [True] * len(texts)
+    def encode(self, texts: pa.StringArray | Sequence[str]) -> list[bytes]:
+        return self.encode_checked(texts)[0]
+
+    def returns(self, texts: Sequence[str], raws: list[bytes]) -> list[bool]:
+        """Whether the ids of each text, decoded as one list, are the text. A text with U+2581 is not:
+        the sign is a blank to the model."""
         decoded = self.decode([np.frombuffer(x, "<i4").tolist() for x in raws])
-        return [a == b.replace(BLANK, " ") for a, b in zip(decoded, texts)]
+        return [a == b for a, b in zip(decoded, texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self._tokenizer.decode_batch(ids, skip_special_tokens=True)
@@ -231,17 +242,16 @@ def _encoder(model: str, threads: int, text: int, carried: list[int]) -> Callabl
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(("codec", model, threads), lambda: SentencePieceCodec(model, threads))
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                rows = batch.slice(at, _SLICE)
-                before = codec.corrected
-                raws = codec.encode([x or "" for x in rows.column(text).to_pylist()])
+            for at, end in text_slices(batch.column(text)):
+                rows = batch.slice(at, end - at)
+                raws, differing = codec.encode_checked(rows.column(text))
                 edges = np.cumsum([0, *(len(x) // 4 for x in raws)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(raws), "<i4"))
                 listed = pa.ListArray.from_arrays(pa.array(edges), flat)
-                corrected = pa.array([codec.corrected - before] + [0] * (len(raws) - 1), pa.int64())
                 rows = rows.select(carried)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, listed, corrected], [*rows.schema.names, "_ids", "_corrected"]
+                    [*rows.columns, listed, pa.array(differing, pa.int64())],
+                    [*rows.schema.names, "_ids", "_differing"],
                 )
 
     return encode
@@ -252,16 +262,15 @@ def encode_texts(
     model: str,
     text: str = "text",
     out: str = "ids",
-    corrected: str | None = None,
+    differing: str | None = None,
     threads: int = THREADS,
     keep_text: bool = True,
 ) -> DataFrame:
-    """Adds ``out``, the ids of each text as sentencepiece gives them without special pieces.
+    """Adds ``out``, the ids of each text by the rebuilt tokenizer, without special pieces.
 
     NULL and empty texts have no ids. Every row stays, other columns as they are; without
-    ``keep_text`` the text does not come back from the workers. ``corrected`` names
-    a column for the number of segments, counted at the first row of a slice that meets them, on
-    which the rebuilt tokenizer differed and sentencepiece's ids were taken.
+    ``keep_text`` the text does not come back from the workers. ``differing`` names a column for the
+    number of words of the text that sentencepiece encodes in another way.
     """
     names = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
@@ -269,16 +278,16 @@ def encode_texts(
     place = df.columns.index(text)
     carried = [i for i in range(len(names)) if keep_text or i != place]
     fields = [f"{names[i]} {df.schema.fields[i].dataType.simpleString()}" for i in carried]
-    schema = ", ".join([*fields, "_ids array<int>", "_corrected bigint"])
+    schema = ", ".join([*fields, "_ids array<int>", "_differing bigint"])
     found = rows.mapInArrow(_encoder(model, threads, place, carried), schema)
     columns = [
         F.col(names[i]).alias(df.columns[i])
         for i in carried
-        if df.columns[i] not in (out, corrected)
+        if df.columns[i] not in (out, differing)
     ]
     columns.append(F.col("_ids").alias(out))
-    if corrected is not None:
-        columns.append(F.col("_corrected").alias(corrected))
+    if differing is not None:
+        columns.append(F.col("_differing").alias(differing))
     return found.select(*columns)
 
 
@@ -305,21 +314,20 @@ def _round_trip(model: str, threads: int) -> Callable:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(("codec", model, threads), lambda: SentencePieceCodec(model, threads))
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                rows = batch.slice(at, _SLICE)
-                texts = [x or "" for x in rows.column(1).to_pylist()]
-                before = codec.corrected
-                raws = codec.encode(texts)
-                same = codec.returns(texts, raws)
+            for at, end in text_slices(batch.column(1)):
+                rows = batch.slice(at, end - at)
+                texts = pc.fill_null(rows.column(1), "")
+                raws, differing = codec.encode_checked(texts)
+                same = codec.returns(texts.to_numpy(zero_copy_only=False), raws)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
                         pa.array([len(x) // 4 for x in raws], pa.int64()),
                         pa.array([zlib.crc32(x) for x in raws], pa.int64()),
                         pa.array(same),
-                        pa.array([codec.corrected - before] + [0] * (len(raws) - 1), pa.int64()),
+                        pa.array(differing, pa.int64()),
                     ],
-                    ["key", "n_tokens", "ids_crc32", "round_trip", "corrected"],
+                    ["key", "n_tokens", "ids_crc32", "round_trip", "differing"],
                 )
 
     return check
@@ -328,16 +336,17 @@ def _round_trip(model: str, threads: int) -> Callable:
 def round_trip(
     df: DataFrame, model: str, key: str = "doc_id", text: str = "text", threads: int = THREADS
 ) -> DataFrame:
-    """``(key, n_tokens, ids_crc32, round_trip, corrected)`` per row: texts encoded and decoded again.
+    """``(key, n_tokens, ids_crc32, round_trip, differing)`` per row: texts encoded and decoded again.
 
     ``ids_crc32`` is taken over the ids as little-endian 32-bit integers, ``round_trip`` tells whether
-    the decoded ids are the text. NULL is an empty text: no ids, and round_trip true. Every row is
-    there once, whatever its key. Other columns are not looked at.
+    the decoded ids are the text (false for texts with U+2581, which is a blank to the model), and
+    ``differing`` counts the words that sentencepiece encodes in another way. NULL is an empty text: no
+    ids, and round_trip true. Every row is there once, whatever its key. Other columns are not looked at.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = rows.mapInArrow(
         _round_trip(model, threads),
-        f"key {kind}, n_tokens bigint, ids_crc32 bigint, round_trip boolean, corrected bigint",
+        f"key {kind}, n_tokens bigint, ids_crc32 bigint, round_trip boolean, differing bigint",
     )
     return found.withColumnRenamed("key", key)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from rolloom.llm.arrow_words import lay_out, text_slices
 from rolloom.llm.shared_files import commit, open_new, open_old, temporary_name
 from rolloom.llm.word_memo import WordMemo
 from rolloom.llm.worker import kept
@@ -40,8 +41,8 @@ FOOTER = "<QQQQ8s"
 BLOCK_IDS = 4096
 PERCENTILE = 90
 SHARD_IDS = 1 << 22  # a shard is closed at the first document end behind so many ids
-_SLICE_BYTES = 1 << 22  # of texts tokenised at once
 _STOPS = [".", ","]
+# the split pattern cuts a full stop or comma off letters
 _STOPPED = r"^[\x00\n]?\p{L}+[.,]\z"
 _FIRST = "\0"  # put before the first word of a text
 # a text that is not taken apart: other blanks, two in a row, one at the end, or the sign above
@@ -148,44 +149,12 @@ class ByteLevelEncoder:
         whole = iter(self._encode(texts.filter(odd).to_pylist()))
         marked = pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n")
         cut = pc.split_pattern(pc.binary_join_element_wise(_FIRST, marked, ""), " ")
-        words = cut.flatten().dictionary_encode()
-        # the split pattern cuts a full stop or comma off letters: the word is made once for all of them
-        stopped = pc.match_substring_regex(words.dictionary, _STOPPED)
-        stems = pc.utf8_slice_codeunits(words.dictionary, 0, stop=-1)
-        stems = pc.if_else(stopped, stems, words.dictionary).dictionary_encode()
-        last = pc.utf8_slice_codeunits(words.dictionary, -1)
-        tail = pc.if_else(stopped, pc.index_in(last, pa.array(_STOPS)), len(_STOPS))
-        names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = list(map(self._words.covering(set(names)).__getitem__, names))
-        made = [
-            known[stem] + self._stops[end]
-            for stem, end in zip(stems.indices.to_numpy().tolist(), tail.to_numpy().tolist())
-        ]
-        # lay out the ids of all words, one text behind the other
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
-        starts = np.cumsum(sizes) - sizes
-        word = words.indices.to_numpy()
-        taken = sizes[word]
-        ends = np.cumsum(taken)
-        place = np.repeat(starts[word] - (ends - taken), taken) + np.arange(taken.sum())
-        laid = np.frombuffer(b"".join(made), "<u4")[place].tobytes()
-        edges = np.append(0, ends)[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * 4
-        each = iter([laid[i:j] for i, j in zip(edges.tolist(), edges[1:].tolist())])
+        found = lay_out(cut, self._words, _STOPPED, _STOPS, self._stops)
+        laid, edges = found.ids.tobytes(), (found.edges * 4).tolist()
+        each = iter([laid[i:j] for i, j in zip(edges, edges[1:])])
         return [next(whole) if is_odd else next(each) for is_odd in odd.to_pylist()]
 
 
-def text_slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with a bounded number of bytes; a row above the bound is a run of its own."""
-    total, begin = 0, 0
-    for at, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if total and total + size > _SLICE_BYTES:
-            yield begin, at
-            begin, total = at, 0
-        total += size
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(ids.min()) if len(ids) else 0
     rest = ids.astype(np.uint32) - np.uint32(low)

@@ -42,9 +42,3 @@ class WordMemo(Generic[V]):
             young.update(zip(missing, self._make(missing), strict=True))
         self._long = [word for word in missing if len(word) > LONG]
         return young
-
-    def known(self, word: str) -> V | None:
-        return self._young.get(word) or self._old.get(word)
-
-    def add(self, word: str, value: V) -> None:
-        self._young[word] = value
