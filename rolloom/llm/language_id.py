@@ -1,9 +1,10 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed
-into the longest phrases that occur in that sample, one after another; the language whose sample
-needs the fewest phrases, normalised by what its own held-back sample needs, describes it best. A
-phrase lies within a word and the blank before it, so a word is parsed once for all its occurrences.
+For each language a suffix automaton is built over the words of a bounded number of labelled rows. A
+text is parsed into the longest phrases that occur in those words, one after another; the language
+that needs the fewest phrases, normalised by what its own held-back rows need, describes it best. A
+phrase lies within a word and the blank before it, so a word is parsed once for all its occurrences,
+and the automaton needs each different word of the sample once: whole texts are learned from.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,15 +24,13 @@ from rolloom.llm.worker import kept
 from rolloom.session import materialize
 
 UNDETERMINED = "und"
-SAMPLE_ROWS = 48  # labelled rows per language, those with the smallest hash
-SAMPLE_CHARS = 1_000  # of each sampled row
-TOTAL_CHARS = 160_000  # of all samples together; shared evenly among the languages
+SAMPLE_ROWS = 48  # labelled rows per language, those with the smallest hash; whole texts
 _HELD_BACK = 8  # every so many sampled rows are kept out of the automaton to measure it
 _SLICE = 256
 _FIELD = 48  # bits of a phrase count where the counts of all languages share one integer
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LETTER = r"\p{L}"  # in Spark's regular expressions
-_TO_LETTER = r"^[^\p{L}]+"
+Words = Mapping[str, int]  # how often each word of a text occurs
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -40,41 +40,51 @@ def letter_words(text: str | None) -> list[str]:
     return words if any(any(map(str.isalpha, word)) for word in words) else []
 
 
-def suffix_automaton(text: str) -> dict:
+def suffix_automaton(words: Iterable[str]) -> dict:
     """The start state; a state is a dict from characters to states.
 
-    Every string that leads from the start occurs in ``text``, and the other way round.
+    Every string that leads from the start occurs in one of ``words``, and the other way round.
     """
-    start: dict = {}
-    states, link, length = [start], [-1], [0]
-    last = 0
-    for char in text:
-        now = len(states)
-        states.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        at = last
-        while at >= 0 and char not in states[at]:
-            states[at][char] = now
+    states: list[dict] = [{}]
+    link, length = [-1], [0]
+
+    def copied(at: int, char: str, then: int) -> int:
+        """A copy of ``then`` for the shorter strings that lead there from ``at`` and above."""
+        copy = len(states)
+        states.append(states[then].copy())
+        link.append(link[then])
+        length.append(length[at] + 1)
+        while at >= 0 and states[at].get(char) == then:
+            states[at][char] = copy
             at = link[at]
-        if at >= 0:
-            then = states[at][char]
-            if length[at] + 1 == length[then]:
-                link[now] = then
-            else:
-                copy = len(states)
-                states.append(states[then].copy())
-                link.append(link[then])
-                length.append(length[at] + 1)
-                while at >= 0 and states[at].get(char) == then:
-                    states[at][char] = copy
-                    at = link[at]
-                link[now] = link[then] = copy
-        last = now
+        link[then] = copy
+        return copy
+
+    for word in words:
+        last = 0
+        for char in word:
+            then = states[last].get(char)
+            if then is not None:  # known from a word before
+                last = then if length[last] + 1 == length[then] else copied(last, char, then)
+                continue
+            now = len(states)
+            states.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            at = last
+            while at >= 0 and char not in states[at]:
+                states[at][char] = now
+                at = link[at]
+            if at >= 0:
+                then = states[at][char]
+                link[now] = then if length[at] + 1 == length[then] else copied(at, char, then)
+            last = now
+    end: dict = {}  # one for all states that lead nowhere
+    kept_states = [state or end for state in states]
     for state in states:
         for char, then in state.items():
-            state[char] = states[then]
-    return start
+            state[char] = kept_states[then]
+    return kept_states[0]
 
 
 def phrases(start: dict, text: str) -> int:
@@ -96,19 +106,23 @@ def phrases(start: dict, text: str) -> int:
 class LanguageModel:
     """One automaton per language, with the phrases per character that its held-back text needs."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: Mapping[str, Sequence[str | Words]]):
         self._automata: dict[str, dict] = {}
         self._usual: dict[str, float] = {}
         for language, texts in sorted(samples.items()):
-            clean = [words for words in map(letter_words, texts) if words]
+            counted = [x if isinstance(x, Mapping) else Counter(letter_words(x)) for x in texts]
+            clean = [words for words in counted if words]
             if not clean:
                 continue
             held = clean[::_HELD_BACK] if len(clean) >= _HELD_BACK else []
             learned = [x for i, x in enumerate(clean) if not held or i % _HELD_BACK]
-            start = suffix_automaton(" " + " ".join(w for words in learned for w in words))
+            start = suffix_automaton(sorted({" " + w for words in learned for w in words}))
             self._automata[language] = start
-            test = [w for words in held or clean for w in words]
-            self._usual[language] = sum(phrases(start, " " + w) for w in test) / len(test)
+            test: Counter[str] = Counter()
+            for words in held or clean:
+                test.update(words)
+            needed = sum(n * phrases(start, " " + w) for w, n in test.items())
+            self._usual[language] = needed / test.total()
         # languages are compared on one scale: a rich sample needs fewer phrases for its own text
         known = self._usual.values()
         middle = sum(known) / len(known) if known else 1.0
@@ -146,14 +160,30 @@ class LanguageModel:
         return out
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for language, place, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            words = Counter(letter_words(text))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([language]),
+                    pa.array([place]),
+                    pa.array([list(words)], pa.list_(pa.string())),
+                    pa.array([list(words.values())], pa.list_(pa.int64())),
+                ],
+                ["l", "p", "words", "counts"],
+            )
+
+
 def language_samples(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang"
-) -> dict[str, list[str]]:
-    """A bounded sample of labelled rows: per language those with the smallest hash of key and text.
+) -> dict[str, list[Words]]:
+    """A bounded sample of labelled rows: per language those with the smallest hash of key and text,
+    each as the counts of its words.
 
-    At most SAMPLE_ROWS rows of SAMPLE_CHARS characters per language and TOTAL_CHARS in all reach the
-    driver. Texts without a letter are no samples, and equal rows are one: so a language has a sample
-    if any of its rows has a letter, however its rows share keys.
+    At most SAMPLE_ROWS rows per language are learned from, each with its whole text; of each its
+    different words reach the driver. Texts without a letter are no samples, and equal rows are one: so
+    a language has a sample if any of its rows has a letter, however its rows share keys.
     """
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).rlike(_LETTER))
     mark = F.xxhash64(F.col(key).cast("string"), F.col(text))
@@ -163,23 +193,21 @@ def language_samples(
     cuts = materialize(counts.select("_l", share.alias("_share")), "language-cuts")
     place = F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.join(cuts, F.col(label) == F.col("_l")).filter(place <= F.col("_share"))
-    few = few.groupBy(F.col(label).alias("l"), place.alias("p")).agg(
-        F.min(F.left(F.regexp_replace(F.col(text), _TO_LETTER, ""), F.lit(SAMPLE_CHARS))).alias("t")
+    few = few.select(F.col(label).alias("l"), place.alias("p"), F.col(text).alias("t"))
+    # chosen by their places, without the texts
+    places = few.select("l", "p").distinct()
+    listed = places.groupBy("l").agg(F.array_sort(F.collect_set("p")).alias("all"))
+    chosen = listed.select(F.col("l").alias("_l"), F.explode(F.slice("all", 1, SAMPLE_ROWS)).alias("_p"))
+    chosen = materialize(chosen, "language-rows")
+    taken = few.join(chosen, (F.col("l") == F.col("_l")) & (F.col("p") == F.col("_p")))
+    taken = taken.groupBy("l", "p").agg(F.min("t").alias("t"))  # equal rows are one
+    words = taken.mapInArrow(
+        _count_words, "l string, p double, words array<string>, counts array<bigint>"
     )
-    chosen = few.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("all"))
-    chosen = chosen.select("l", F.slice("all", 1, SAMPLE_ROWS)["t"].alias("texts")).orderBy("l")
-    found = {row["l"]: row["texts"] for row in chosen.collect()}
-    each = TOTAL_CHARS // max(1, len(found))
-    samples: dict[str, list[str]] = {}
-    for language, texts in found.items():
-        room = each
-        samples[language] = []
-        for one in texts:
-            if room <= 0:
-                break
-            samples[language].append(one[:room])
-            room -= len(one)
-    return samples
+    found: dict[str, dict[float, Words]] = {}
+    for row in words.collect():
+        found.setdefault(row["l"], {})[row["p"]] = dict(zip(row["words"], row["counts"]))
+    return {language: [of[p] for p in sorted(of)] for language, of in sorted(found.items())}
 
 
 def _model(raw: bytes) -> LanguageModel:
@@ -211,7 +239,7 @@ def _predictor(raw: bytes, text: int) -> Callable:
 
 def identify(
     df: DataFrame,
-    samples: dict[str, list[str]],
+    samples: Mapping[str, Sequence[str | Words]],
     text: str = "text",
     out: str = "lang_pred",
     score: str = "score",
@@ -256,13 +284,20 @@ def identify_documents(
     return found.select(key, held_out(key).alias("held_out"), "lang_pred", "score")
 
 
-def drop_undetermined(
+def tag_language(
     df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang"
 ) -> DataFrame:
-    """The rows whose text has a letter, with their columns as they are.
+    """The rows whose text has a letter, with ``label`` set to the language identified.
 
-    Nothing else is rejected: without labelled rows no language is known, and every text stays.
+    Learned from the labelled rows that are not held out. Nothing but texts without a letter is
+    rejected: without labelled rows no language is known, every other text stays, and labels stay as
+    they are. The other columns are as before.
     """
     samples = language_samples(df.filter(~held_out(key)), key, text, label)
     found = identify(df, samples, text, "_language", "_language_score", only_letters=True)
-    return found.select(*[F.col(f"`{c}`") for c in df.columns])
+    said = F.when(F.col("_language") != UNDETERMINED, F.col("_language"))
+    columns = [
+        F.coalesce(said, F.col(f"`{c}`")).alias(c) if c == label else F.col(f"`{c}`")
+        for c in df.columns
+    ]
+    return found.select(*columns)

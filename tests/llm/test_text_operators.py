@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -327,13 +328,82 @@ def brute_phrases(sample, word):
 def test_automaton_against_substrings():
     rng = random.Random(7)
     for _ in range(60):
-        sample = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60)))
-        start = language_id.suffix_automaton(sample)
+        words = ["".join(rng.choice("abc ") for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 9))]
+        start = language_id.suffix_automaton(words)
+        sample = "\n".join(words)
         for _ in range(30):
             word = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 15)))
             assert language_id.phrases(start, word) == brute_phrases(sample, word)
 
 
+def brute_language(rows):
+    """Predictions of (key, text, label) rows, from substrings of the samples alone."""
+
+    def words(text):
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return found if any(c.isalpha() for w in found for c in w) else []
+
+    learned: dict = {}
+    for key, text, label in rows:
+        if label is not None and zlib.crc32(str(key).encode()) % 3 != 1 and words(text):
+            learned.setdefault(label, []).append(words(text))
+    samples, usual = {}, {}
+    for label, texts in learned.items():
+        # which rows are held back goes by a hash that is Spark's own: small samples hold back none
+        assert len(texts) < 8
+        samples[label] = "\n".join(" " + w for text in texts for w in text)
+        every = [w for text in texts for w in text]
+        usual[label] = sum(brute_phrases(samples[label], " " + w) for w in every) / len(every)
+    mean = sum(usual.values()) / len(usual)
+    out = []
+    for key, text, _ in rows:
+        if not words(text):
+            out.append((key, "und", 0.0))
+            continue
+        inverse = {
+            label: usual[label] / mean / sum(brute_phrases(sample, " " + w) for w in words(text))
+            for label, sample in samples.items()
+        }
+        best = max(inverse, key=lambda k: (inverse[k], k))
+        out.append((key, best, round(inverse[best] / sum(inverse.values()), 9)))
+    return sorted(out, key=repr)
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(12)
+    letters = {"aa": "abcdeé", "bb": "abfghi", "cc": "xyzabc"}
+    rows = []
+    for i in range(16):
+        label = ("aa", "bb", "cc")[i % 3]
+        text = " ".join("".join(rng.choices(letters[label], k=rng.randrange(1, 6))) for _ in range(40))
+        rows.append((i, text, label))
+    for i in range(16, 120):
+        pool = "".join(rng.sample(list(letters.values()), 2))
+        text = " ".join("".join(rng.choices(pool, k=rng.randrange(1, 7))) for _ in range(rng.randrange(12)))
+        rows.append((i, text + rng.choice(["", " 12", " ?", " Ä"]), None))
+    found = language_id.identify_documents(
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    )
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in found.collect()]
+    assert sorted(got, key=repr) == brute_language(rows)
+    assert len({label for _, label, _ in got}) == 4
+
+
+def test_whole_texts_are_learned_from(spark):
+    """What tells a language stands at the end of its one long text; fifty others have their rows."""
+    rows = [(i, f"{'same words here ' * 300} {chr(97 + i // 7)}{chr(97 + i % 7)}zq" * 2, f"l{i}") for i in range(50)]
+    keys = [k for k in range(500) if zlib.crc32(str(k).encode()) % 3 != 1][:50]
+    frame = spark.createDataFrame(
+        [(k, *r[1:]) for k, r in zip(keys, rows)], "doc_id bigint, text string, lang string"
+    )
+    samples = language_id.language_samples(frame)
+    assert len(samples) == 50 and all(sum(c.values()) > 1200 for s in samples.values() for c in s)
+    asked = [(1000 + i, f"{chr(97 + i // 7)}{chr(97 + i % 7)}zq", None) for i in range(50)]
+    frame = frame.unionByName(spark.createDataFrame(asked, frame.schema))
+    found = language_id.identify_documents(frame).filter("doc_id >= 1000").collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] - 1000}" for r in found)
+
+
 def test_language_rows(spark):
     texts = ["the cat and the dog sat on the mat", "der hund und die katze auf dem dach"]
     rows = [(i, f"{texts[i % 2]} {i}", ("en", "de")[i % 2], "s", "old") for i in range(60)]
@@ -356,8 +426,12 @@ def test_language_rows(spark):
     assert all(by_id[i] == [("en", "de")[i % 2]] for i in range(60))
     assert by_id[100] == by_id[101] == by_id[102] == ["und"]
     assert sorted(by_id[103]) == ["de", "en"] and by_id[None] == ["de"] and by_id[104] == ["en"]
-    kept = language_id.drop_undetermined(frame)
+    kept = language_id.tag_language(frame)
     assert kept.columns == frame.columns and kept.count() == len(rows) - 3
+    said = {}
+    for r in kept.collect():
+        said.setdefault(r["doc_id"], []).append(r["lang"])
+    assert all(sorted(said[i]) == sorted(by_id[i]) for i in said)
     unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify_documents(unlabelled).collect()} == {"und"}
     assert language_id.identify_documents(frame.limit(0)).count() == 0
@@ -369,7 +443,7 @@ def test_without_samples_only_texts_without_letters_go(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = F.when(F.col("doc_id").isin(held, 12), "de")
     for label in (F.lit(None).cast("string"), labels, F.when(F.col("doc_id") == 10, "und")):
-        kept = language_id.drop_undetermined(frame.withColumn("lang", label))
+        kept = language_id.tag_language(frame.withColumn("lang", label))
         assert {r["doc_id"] for r in kept.collect()} == {10, 13, None, held}
 
 
@@ -385,7 +459,8 @@ def test_every_language_has_its_sample(spark):
     samples = language_id.language_samples(frame)
     assert sorted(samples) == sorted(texts)
     assert len(samples["en"]) == len(samples["fr"]) == language_id.SAMPLE_ROWS
-    assert samples["es"] == ["el perro"] and set(samples["de"]) == {texts["de"]}
+    assert samples["es"] == [{"el": 1, "perro": 1}]
+    assert all(words == dict.fromkeys(texts["de"].split(), 1) for words in samples["de"])
 
 
 def test_held_out_accuracy(spark):
