@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm.exact_dedup import drop_exact_copies
-from rolloom.llm.language_id import drop_undetermined
+from rolloom.llm.language_id import tag_language
 from rolloom.llm.mixing import draw_mix
 from rolloom.llm.queries import PIECE_MODEL
 from rolloom.llm.sentencepiece_codec import encode_texts
@@ -21,8 +21,8 @@ from rolloom.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go."""
-    return drop_undetermined(docs)
+    """Documents without a letter go; ``lang`` becomes the language identified, up to the result."""
+    return tag_language(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, without its text."""
-    slim = docs.select("doc_id", "source", "text")
+    """Ids of each document, with its language and without its text."""
+    slim = docs.select("doc_id", "source", "lang", "text")
     return encode_texts(slim, PIECE_MODEL, keep_text=False).select(
-        "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids"
+        "doc_id", "source", "lang", F.size("ids").cast("bigint").alias("n_tokens"), "ids"
     )
 
 
