@@ -81,18 +81,34 @@ def _cells(nodes: DataFrame) -> DataFrame:
 
 
 def _tiled(cells: DataFrame) -> DataFrame:
-    """Adds ``tile``. Cells with more than HOT_CELL fingerprints, whether their own or from cells
-    below, are cut into blocks by hash, and a block meets every other one in a tile of its own. Such a
-    cell without any of its own has nothing to compare and is left out."""
+    """Adds ``tile``. A cell with more than HOT_CELL fingerprints is cut into blocks by hash: its own
+    fingerprints, and apart from them those that stand in it from cells below. Own blocks meet each
+    other in tiles, and every block from below meets the own ones; blocks from below never meet, as
+    only an own fingerprint makes a cell worth comparing. So what stands in a cell with one fingerprint
+    of its own is dealt out once, and a cell without any is left out."""
     sizes = cells.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("up")).alias("own")
+        F.count_if(~F.col("up")).alias("own"), F.count_if("up").alias("others")
+    )
+    hot = sizes.filter(F.col("own") + F.col("others") > HOT_CELL).selectExpr(
+        "cell",
+        f"int(ceil(own / {HOT_CELL})) AS own_parts",
+        f"int(ceil(others / {HOT_CELL})) AS other_parts",
     )
-    parts = F.when(F.col("own"), F.ceil(F.col("n") / HOT_CELL)).otherwise(0).cast("int")
-    hot = sizes.filter(F.col("n") > HOT_CELL).select("cell", parts.alias("parts"))
     hot = materialize(hot, "hot-cells")  # at most 34 * fingerprints / HOT_CELL rows
-    rows = cells.join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.filter("parts > 0").withColumn("block", F.expr("int(pmod(xxhash64(fp), parts))"))
-    tiles = "transform(sequence(0, parts - 1), k -> least(k, block) * parts + greatest(k, block))"
+    rows = cells.join(hot, "cell", "left").filter("own_parts IS NULL OR own_parts > 0")
+    parts = "IF(up, other_parts, own_parts)"
+    rows = rows.withColumn("block", F.expr(f"int(pmod(xxhash64(fp), {parts}))"))
+    among_own = "transform(sequence(0, own_parts - 1), k -> least(k, block) * own_parts + greatest(k, block))"
+    from_below = "own_parts * own_parts + block * own_parts"
+    with_own = f"transform(sequence(0, own_parts - 1), k -> {from_below} + k)"
+    to_others = (
+        "IF(other_parts > 0, transform(sequence(0, greatest(other_parts, 1) - 1), "
+        "u -> own_parts * own_parts + u * own_parts + block), CAST(array() AS array<int>))"
+    )
+    tiles = (
+        f"CASE WHEN own_parts IS NULL THEN array(0) WHEN up THEN {with_own} "
+        f"ELSE concat({among_own}, {to_others}) END"
+    )
     return rows.selectExpr("cell", f"explode({tiles}) AS tile", "up", "fp")
 
 

@@ -307,3 +307,28 @@ def test_a_repeated_key_loses_no_group(spark):
     kept = simhash.drop_near_copies(df).collect()
     # key 2 is a copy of key 1 on one text and the first of its group on the other
     assert {tuple(r) for r in kept} == {rows[0], rows[1], rows[2], rows[4], rows[5]}
+
+
+def test_rows_from_below_are_dealt_out_once(spark, monkeypatch):
+    """One fingerprint of its own in a cell where very many others stand: n rows, not n times tiles."""
+    monkeypatch.setattr(simhash, "HOT_CELL", 8)
+    rows = [(7, False, 1), *[(7, True, 100 + i) for i in range(1000)]]
+    rows += [(8, True, i) for i in range(50)]  # nothing of its own: nothing to compare
+    rows += [(9, False, i) for i in range(40)] + [(9, True, 100 + i) for i in range(30)]
+    rows += [(10, False, 1), (10, True, 2)]
+    cells = spark.createDataFrame(rows, "cell bigint, up boolean, fp bigint")
+    tiled = [tuple(r) for r in simhash._tiled(cells).collect()]
+    by_cell: dict = {}
+    for cell, tile, up, fp in tiled:
+        by_cell.setdefault(cell, {}).setdefault(tile, []).append((up, fp))
+    assert sorted(by_cell) == [7, 9, 10]
+    assert sum(up for c, _, up, _ in tiled if c == 7) == 1000
+    for cell, n_own, n_up in ((7, 1, 1000), (9, 40, 30), (10, 1, 1)):
+        met = set()
+        for members in by_cell[cell].values():
+            own = [fp for up, fp in members if not up]
+            assert own
+            met |= {(a, b) for a in own for b in own if a < b} | {
+                (a, fp) for a in own for up, fp in members if up
+            }
+        assert len(met) == n_own * (n_own - 1) // 2 + n_own * n_up
