@@ -6,10 +6,13 @@ state needs the characters that a longer token may still take in, and for each p
 last token there; reading a character moves to one next state and changes the number of tokens by a
 fixed amount, which is written on the transition. States are made when first reached.
 
-No token holds a blank behind another character, so the transducer is back in its start state before
-each such blank. A chunk of a text is a map from the state before it to the state behind it and the
-tokens between: the characters up to its first such place, a count, and the state at its end. Maps
-compose associatively; those of a text's chunks are combined pairwise, round by round.
+Where two neighbouring characters stand side by side in no piece, no token and no join crosses, so the
+transducer is back in its start state between them, whatever came before. Blanks behind other
+characters are such places, and so are most pairs of ideographs, of cases and of digits and letters. A
+chunk of a text is a map from the state before it to the state behind it and the tokens between: the
+characters up to its first such place, a count, and the state at its end. Maps compose associatively;
+those of a text's chunks are combined pairwise, round by round. Only a text that repeats pairs of the
+pieces without end, such as one letter over and over, has no such place and keeps its characters.
 """
 
 from __future__ import annotations
@@ -54,6 +57,7 @@ class CountingTransducer:
         self._score = usable
         self._bytes = sum(p.type == _BYTE for p in proto.pieces) == 256
         self._prefixes = {piece[:n] for piece in usable for n in range(1, len(piece) + 1)}
+        self._pairs = {piece[n : n + 2] for piece in usable for n in range(len(piece) - 1)}
         self._known: dict[tuple, State] = {}
         self._shared: dict[tuple, tuple] = {}  # places, one object for all states that have them
         self._alone = lru_cache(1 << 16)(lambda t: self.tokens(t) == [t])
@@ -210,23 +214,26 @@ class CountingTransducer:
         if the head is all; ``tokens``: of what follows the head.
         """
         chunk = chunk.replace(" ", BLANK)
+        at = 0
         if before is None:
             chunk = BLANK + chunk
-        runs = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", chunk)
-        head = ""
-        if before is not None and (chunk[0] != BLANK or before in (" ", BLANK)):
-            head = runs.pop(0)
-        if not runs:
+        else:
+            last = BLANK if before == " " else before
+            while at < len(chunk) and last + chunk[at] in self._pairs:
+                last = chunk[at]
+                at += 1
+        head, rest = chunk[:at], chunk[at:]
+        if not rest:
             return {"head": head, "tokens": 0, "state": None}
-        last = runs.pop()
+        first, *runs = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", rest)
+        last_run = runs.pop() if runs else None
         plain = [r[1:] for r in runs]
         known = self.words.covering(set(plain))
-        state, tail = self.run(self.start, last)
-        return {
-            "head": head,
-            "tokens": sum(map(known.__getitem__, plain)) + tail,
-            "state": self._saved(state),
-        }
+        state, tokens = self.run(self.start, first)
+        if last_run is not None:
+            state, tail = self.run(self.start, last_run)
+            tokens += sum(map(known.__getitem__, plain)) + tail
+        return {"head": head, "tokens": tokens, "state": self._saved(state)}
 
     def apply(self, state: State, chunk: dict) -> tuple[State, int]:
         state, tokens = self.run(state, chunk["head"])

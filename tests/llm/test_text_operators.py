@@ -755,3 +755,42 @@ def test_host_consensus(spark):
     assert texts[(53, "http://h.example/n")] == "" and texts[(53, "x")] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert html_text.extract_text(frame.limit(0)).count() == 0
+
+
+# --- token counts of texts without blanks ------------------------------------------------------------
+
+
+def blankless(rng, kind, n):
+    if kind == "ideographs":
+        return "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    if kind == "kana":
+        return "".join(rng.choice("あいうえおかきくけこのはがですをに") for _ in range(n))
+    if kind == "base64":
+        return "".join(rng.choices("ABCDEFGHabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    return "".join(rng.choices("etaoinshrdlucmfwypvbgkqjxz", k=n))
+
+
+@pytest.mark.parametrize("kind", ["ideographs", "kana", "base64", "letters"])
+def test_maps_of_texts_without_blanks_are_bounded(kind):
+    from rolloom.llm.token_counts import CountingTransducer
+
+    rng = random.Random(3)
+    transducer = CountingTransducer(PIECES)
+    text = blankless(rng, kind, 30_000)
+    chunks = [text[i : i + 500] for i in range(0, len(text), 500)]
+    maps = [
+        transducer.chunk_map(c, chunks[i - 1][-1] if i else None) for i, c in enumerate(chunks)
+    ]
+    assert max(len(m["head"]) for m in maps) < 100 and all(m["state"] for m in maps)
+    assert transducer.compose_all(maps)["tokens"] == len(LIBRARY.encode(text))
+
+
+def test_a_long_text_without_a_blank(spark):
+    from rolloom.llm.token_counts import count_tokens
+
+    rng = random.Random(5)
+    texts = [blankless(rng, "base64", 1_000_000), blankless(rng, "kana", 300_000), "a" * 70_000, "▁" * 9]
+    texts += [" ".join(blankless(rng, "ideographs", 9) for _ in range(9)), " a  b ", "▁a b▁"]
+    found = count_tokens(frame(spark, texts), PIECES, chunk_chars=4096).collect()
+    got = {r["doc_id"]: r["n_tokens"] for r in found}
+    assert got == {i: len(LIBRARY.encode(x)) for i, x in enumerate(texts)}
