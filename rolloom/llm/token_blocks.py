@@ -340,13 +340,14 @@ def write_token_blocks(
 
     Returns the manifest ``(shard_no, name, n_docs, n_ids, n_bytes, first_id)``. Texts are shuffled
     once, by key range, and encoded behind the shuffle. NULL texts are empty and hold the end id
-    alone; NULL keys come first; rows that repeat a key are ordered by their text and all written.
+    alone; NULL keys come first; rows that repeat a key are ordered by a hash of their text and all written.
     An empty table gives an empty manifest.
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(tasks, "key").sortWithinPartitions("key", "text")
+    place = ["key", F.xxhash64("text"), "text"]  # rows that share a key may go to several tasks
+    rows = rows.repartitionByRange(tasks, *place[:2]).sortWithinPartitions(*place)
     files = rows.mapInArrow(
         _writer(tokenizer, end_id, folder),
         "shard_no bigint, name string, temporary string, n_docs bigint, n_ids bigint, "
