@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,16 @@ def release() -> None:
 atexit.register(release)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What :func:`materialize` writes inside is deleted at the end; write results elsewhere before."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        remove(spark, *[path for path in _written if path not in before])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a narrow intermediate table once and read it back.
 

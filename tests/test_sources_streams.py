@@ -153,3 +153,19 @@ def test_partial_moments_merge(spark):
     rows = {r.step: r for r in merged.collect()}
     assert rows[1].reward == 8.0 and rows[1].reward_std == pytest.approx(13**0.5)
     assert rows[2].reward_std is None
+
+
+def test_temporary_tables_go_and_others_stay(spark):
+    from pathlib import Path
+    from urllib.parse import unquote, urlparse
+
+    from rolloom.session import temporary_tables
+
+    def folder(df):
+        return Path(unquote(urlparse(df.inputFiles()[0]).path)).parent
+
+    outer = folder(materialize(spark.range(3), "outer"))
+    with temporary_tables(spark):
+        inner = folder(materialize(spark.range(3), "inner"))
+        assert inner.exists()
+    assert outer.exists() and not inner.exists()
