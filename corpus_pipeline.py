@@ -17,7 +17,7 @@ from rolloom.llm.mixing import draw_mix
 from rolloom.llm.queries import PIECE_MODEL
 from rolloom.llm.sentencepiece_codec import encode_texts
 from rolloom.llm.simhash import keep_one_of_each_group
-from rolloom.session import materialize
+from rolloom.session import remove, scratch_path, temporary_tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage writes for itself, and its input, go when its result is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with temporary_tables(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        if written is not None:
+            remove(spark, written)
+        docs, written = spark.read.schema(rows.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
