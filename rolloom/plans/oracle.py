@@ -688,11 +688,11 @@ credited AS (
 ORACLE |= {
     "token_advantage_layout": f"""WITH {SEQUENCES},{_LAID_OUT},
 {_tokens('rollouts', 'completion', _KEYS)}
-SELECT c.prompt_id, c.gen_idx, origin, token_idx, {_r6('a')} AS advantage
+SELECT coalesce(c.prompt_id, -1) AS prompt_id, c.gen_idx, origin, token_idx, {_r6('a')} AS advantage
 FROM tokens AS t JOIN credited AS c ON c.p = t.prompt_id AND c.g = t.gen_idx""",
     "hicra_advantage_layout": f"""WITH {SEQUENCES},{_LAID_OUT},
 {_mask('rollouts', 'completion')}
-SELECT c.prompt_id, c.gen_idx, origin, token_idx,
+SELECT coalesce(c.prompt_id, -1) AS prompt_id, c.gen_idx, origin, token_idx,
        {_r6('a + 0.2::DOUBLE * abs(a) * CAST(planning AS INTEGER)')} AS advantage
 FROM mask AS t JOIN credited AS c ON c.p = t.prompt_id AND c.g = t.gen_idx""",
     "masked_pg_loss_layout": f"""WITH {SEQUENCES},{_LAID_OUT},
@@ -702,9 +702,18 @@ terms AS (
          CASE WHEN token_idx - 1 >= prompt_len THEN 1 ELSE 0 END AS m
   FROM mask AS t JOIN credited AS c ON c.p = t.prompt_id AND c.g = t.gen_idx WHERE token_idx >= 1
 )
-SELECT prompt_id, {_r6('-sum(a * logp * m) / nullif(sum(m), 0)')} AS loss,
+SELECT coalesce(prompt_id, -1) AS prompt_id, {_r6('-sum(a * logp * m) / nullif(sum(m), 0)')} AS loss,
        CAST(sum(m) AS BIGINT) AS n_tokens FROM terms GROUP BY prompt_id""",
     "token_logprob_rows": ORACLE["token_logprob"],
+    "gram_spans_lexicon": ORACLE["gram_spans"],
+    "lexicon_counts": f"""WITH {ROLLOUTS},
+hits AS (
+  SELECT prompt_id, gen_idx,
+         list_transform({_list([*LEXICON_V1, *LEXICON_V2])},
+                        lambda g: len(string_split(lower(completion), g)) - 1) AS n FROM rollouts
+)
+SELECT prompt_id, gen_idx, len(list_filter(n, lambda x: x > 0)) AS n_phrases,
+       CAST(list_sum(n) AS BIGINT) AS n_hits FROM hits""",
     "reward_group": f"""WITH {ROLLOUTS},
 sizes AS (
   SELECT prompt_id, gen_idx, length(completion) AS n,
@@ -716,10 +725,10 @@ SELECT prompt_id, gen_idx,
          AS r_brief FROM sizes""",
     "stream_split": f"""WITH {RESPONSES}
 SELECT batch_no, pos, prompt, answer FROM items
-UNION ALL SELECT batch_no, NULL, NULL, CAST(status AS VARCHAR) FROM raws WHERE status >= 400""",
+UNION ALL SELECT batch_no, -1, NULL, CAST(status AS VARCHAR) FROM raws WHERE status >= 400""",
     "stream_step_log_compacted": f"""WITH logged AS (
   SELECT CASE WHEN event_id % 13 <> 0 THEN event_id // 8 END AS step,
          CAST(props ->> '$.k' AS DOUBLE) AS k, value, length(event_type) AS l FROM events
 )
-SELECT step, {_STEP_COLUMNS}, {_r6('avg(-value / 7 + k / 11)')} AS kl FROM logged GROUP BY step""",
+SELECT coalesce(step, -1) AS step, {_STEP_COLUMNS}, {_r6('avg(-value / 7 + k / 11)')} AS kl FROM logged GROUP BY logged.step""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.constants import LEXICON_V1, REPORT_EVERY
+from rolloom.constants import LEXICON_V1, LEXICON_V2, REPORT_EVERY
 from rolloom.functions.chat import (
     ASSISTANT_HEADER,
     first_content,
@@ -24,7 +24,7 @@ from rolloom.functions.text import (
     xml_answer,
     xml_cot,
 )
-from rolloom.operators import audits, credit, dataset, layout, reports, tokens
+from rolloom.operators import audits, credit, dataset, layout, lexicon, reports, tokens
 from rolloom.operators.rewards import (
     REWARD_SETS,
     REWARDS,
@@ -520,6 +520,20 @@ def gram_spans(spark, sf_dir):
     return spans.select(*KEYS, "gram", "start", "end")
 
 
+@query
+def gram_spans_lexicon(spark, sf_dir):
+    """The same hits from one automaton over all phrases."""
+    rows = derived.rollouts(spark, sf_dir)
+    return lexicon.lexicon_spans(rows, "completion", KEYS, LEXICON_V1)
+
+
+@query
+def lexicon_counts(spark, sf_dir):
+    """Phrases of both lexicons, counted per rollout; those in both count twice."""
+    rows = derived.rollouts(spark, sf_dir)
+    return lexicon.lexicon_counts(rows, "completion", KEYS, [*LEXICON_V1, *LEXICON_V2])
+
+
 @query
 def planning_mask(spark, sf_dir):
     return _mask(spark, sf_dir).select(*KEYS, "token_idx", "start", "end", "planning")
@@ -645,6 +659,10 @@ def budget_flags(spark, sf_dir):
     )
 
 
+# a missing key is shown as -1
+_SHOWN = ["coalesce(prompt_id, -1) AS prompt_id", "gen_idx"]
+
+
 def _laid_out(spark, sf_dir):
     """Sequences in a layout with their advantages. Some prompts have no key, and gen_idx repeats in a
     group; ``origin`` tells the rows apart."""
@@ -668,7 +686,7 @@ def _laid_out(spark, sf_dir):
 def token_advantage_layout(spark, sf_dir):
     keys = [*KEYS, "origin", "advantage"]
     rows = tokens.token_offsets(_laid_out(spark, sf_dir), "completion", keys)
-    return rows.select(*KEYS, "origin", "token_idx", r6(F.col("advantage")).alias("advantage"))
+    return rows.select(*map(F.expr, _SHOWN), "origin", "token_idx", r6(F.col("advantage")).alias("advantage"))
 
 
 @query
@@ -676,7 +694,7 @@ def hicra_advantage_layout(spark, sf_dir):
     value = credit.hicra_advantage(F.col("advantage"), F.col("planning"))
     keys = [*KEYS, "origin", "advantage"]
     rows = tokens.planning_mask(_laid_out(spark, sf_dir), "completion", keys)
-    return rows.select(*KEYS, "origin", "token_idx", r6(value).alias("advantage"))
+    return rows.select(*map(F.expr, _SHOWN), "origin", "token_idx", r6(value).alias("advantage"))
 
 
 @query
@@ -687,7 +705,8 @@ def masked_pg_loss_layout(spark, sf_dir):
     table = table.withColumn(
         "advantage", credit.hicra_advantage(F.col("advantage"), F.col("planning"))
     )
-    return _loss_columns(credit.masked_pg_loss(table, "prompt_id"))
+    loss = _loss_columns(credit.masked_pg_loss(table, "prompt_id"))
+    return loss.withColumn("prompt_id", F.coalesce("prompt_id", F.lit(-1)))
 
 
 def _budget(max_prompt: int, max_completion: int) -> Query:
@@ -860,8 +879,12 @@ def stream_split(spark, sf_dir):
     """Items and rejected responses of one scan of the landed files."""
     items, rejected = _split(spark, sf_dir)
     return items.select("batch_no", "pos", "prompt", "answer").unionByName(
-        rejected.select("batch_no", F.col("status").cast("string").alias("answer")),
-        allowMissingColumns=True,
+        rejected.select(
+            "batch_no",
+            F.lit(-1).cast("bigint").alias("pos"),
+            F.lit(None).cast("string").alias("prompt"),
+            F.col("status").cast("string").alias("answer"),
+        )
     )
 
 
@@ -897,4 +920,5 @@ def stream_step_log_compacted(spark, sf_dir):
         return derived.events_as_rollouts(events, "event_id").withColumn("step", known)
 
     events = derived.table(spark, sf_dir, "events")
-    return _log(spark, sf_dir, 7, events, prepare, fan_in=2)
+    log = _log(spark, sf_dir, 7, events, prepare, fan_in=2)
+    return log.withColumn("step", F.coalesce("step", F.lit(-1)))  # the step NULL

@@ -77,6 +77,11 @@ def release() -> None:
 atexit.register(release)
 
 
+def remove_at_release(path: str) -> None:
+    """Treat a folder as if :func:`materialize` had written it."""
+    _written.append(path)
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """What :func:`materialize` writes inside is deleted at the end; write results elsewhere before."""

@@ -327,3 +327,36 @@ def test_eval_table_has_an_overall_row(spark):
         ("b", 1, "1.0000", None),
         ("all", 3, "0.6667", "± 0.3333"),
     ]
+
+
+def test_limit_with_ties_nulls_and_a_hot_task(spark):
+    """Against sorting: ties by a hash of the other columns, NULL orders first, the NULL task, repeats."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        task = rng.choice(["hot"] * 8 + ["a", None])
+        order = rng.choice([None, 5, 5, -7, 2**40, -(2**62), rng.randrange(-50, 50)])
+        rows.append((task, order, float(rng.randrange(40)), rng.randrange(3)))
+    rows += [("same", 1, 0.5, 0)] * 400 + [("few", 3, 1.0, 1)] * 2
+    samples = spark.createDataFrame(rows, "task string, at bigint, score double, k int").repartition(7)
+    marked = samples.withColumn("h", F.xxhash64("score", "k")).collect()
+    for limit in (1, 30, 333):
+        want = []
+        for task in {r.task for r in marked}:
+            mine = [r for r in marked if r.task == task]
+            mine.sort(key=lambda r: (r["at"] is not None, r["at"] or 0, r.h))
+            want += [tuple(r)[:4] for r in mine[:limit]]
+        got = [tuple(r) for r in reports.limit_per_task(samples, "at", limit).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert reports.limit_per_task(samples, "at", 0).count() == 0
+    assert reports.limit_per_task(samples.limit(0), "at", 5).count() == 0
+    by_score = reports.limit_per_task(samples, "at", 1, tie=["score"])
+    assert by_score.groupBy("task").count().filter("count <> 1").count() == 0
+
+
+def test_limit_ranks_no_samples(spark):
+    samples = spark.range(500).selectExpr("'t' AS task", "id", "1.0D AS score")
+    text = reports.limit_per_task(samples, "id", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "row_number" not in text
