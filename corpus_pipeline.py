@@ -17,7 +17,7 @@ from rolloom.llm.mixing import draw_mix
 from rolloom.llm.queries import PIECE_MODEL
 from rolloom.llm.sentencepiece_codec import encode_texts
 from rolloom.llm.simhash import keep_one_of_each_group
-from rolloom.session import remove, scratch_path, temporary_tables
+from rolloom.session import remove, remove_at_release, scratch_path, temporary_tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with temporary_tables(spark):
             rows = stage(spark, docs, sf_dir)
             rows.write.parquet(path)
+        remove_at_release(path)
         if written is not None:
             remove(spark, written)
         docs, written = spark.read.schema(rows.schema).parquet(path), path
