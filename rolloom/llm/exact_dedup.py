@@ -14,7 +14,8 @@ from rolloom.session import materialize
 
 BLANKS = " \t\n\x0b\f\r"
 PREFIX_CHARS = 256
-BITMAP_BITS = 1 << 23  # of the survivors' bitmap: 1 MB in all, whatever the input
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 29  # of the survivors' bitmap: 1 MB to 64 MB in all
+BITS_PER_GROUP = 16
 
 
 def without_blanks(text: Column) -> Column:
@@ -25,23 +26,33 @@ def without_blanks(text: Column) -> Column:
     return out
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITMAP_BITS))
+def bitmap_bits(groups: int) -> int:
+    """The least power of two with BITS_PER_GROUP bits a group, from LEAST_BITS to MOST_BITS."""
+    return min(max(1 << (BITS_PER_GROUP * groups).bit_length(), LEAST_BITS), MOST_BITS)
 
 
-def _survivors(slim: DataFrame) -> DataFrame:
-    """A bitmap over the (length, prefix hash) groups that have two rows or more.
+def _slot(hashed: Column, bits: int) -> Column:
+    return F.pmod(hashed, F.lit(bits))
 
-    Rows (bucket, bits): at most BITMAP_BITS / 32768 = 256 rows of 4 KB each, which bounds its
-    broadcast. A false positive only has its text hashed for nothing.
+
+def _survivors(slim: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap over the (length, prefix hash) groups that have two rows or more, and its bits.
+
+    It is sized by the number of those groups. Rows (bucket, bits): at most MOST_BITS / 32768 = 16,384
+    rows of 4 KB each, which bounds its broadcast. A false positive only has its text hashed for
+    nothing; with more groups than MOST_BITS serves, more and more texts are, which costs less than
+    moving them to a join.
     """
     sizes = slim.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     again = slim.join(sizes, "_len", "left_semi")
     groups = again.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    slots = groups.select(_slot(F.col("_len"), F.col("_prefix")).alias("_s"))
-    return slots.groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(
+    groups = materialize(groups.select(F.xxhash64("_len", "_prefix").alias("_h")), "dedup-groups")
+    bits = bitmap_bits(groups.count())
+    slots = groups.select(_slot(F.col("_h"), bits).alias("_s"))
+    bitmap = slots.groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")
     )
+    return materialize(bitmap, "dedup-bitmap"), bits
 
 
 def _bit(bits: Column, position: Column) -> Column:
@@ -60,10 +71,10 @@ def _digests(df: DataFrame, key: str, text: str, digest_all: bool, *carried: str
     )
     length, prefix = F.octet_length("_body"), F.xxhash64(F.left("_body", F.lit(PREFIX_CHARS)))
     slim = materialize(rows.select(length.alias("_len"), prefix.alias("_prefix")), "dedup-slim")
-    bitmap = materialize(_survivors(slim), "dedup-bitmap")
+    bitmap, bits = _survivors(slim)
 
     # second scan: the full hash, for rows whose bit is set
-    rows = rows.withColumn("_s", _slot(length, prefix))
+    rows = rows.withColumn("_s", _slot(F.xxhash64(length, prefix), bits))
     bucket = F.bitmap_bucket_number("_s") == F.col("_bucket")
     rows = rows.join(F.broadcast(bitmap), bucket, "left")
     survives = F.coalesce(_bit(F.col("_bits"), F.bitmap_bit_position("_s")), F.lit(False))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rolloom.llm import embedding_dedup, simhash
+from rolloom.llm import embedding_dedup, exact_dedup as exact_module, simhash
 from rolloom.llm.components import component_minimum, components
 from rolloom.llm.embedding_dedup import embedding_groups, tile_links
 from rolloom.llm.exact_dedup import drop_exact_copies, exact_dedup
@@ -69,6 +69,19 @@ def test_exact_against_brute_force(spark):
     assert sorted(map(tuple, found.select(columns).collect()), key=repr) == brute_exact(HARD)
 
 
+@pytest.mark.parametrize("groups, bits", [(0, 23), (1 << 19, 24), (1 << 22, 27), (10**9, 29)])
+def test_the_bitmap_grows_with_the_groups_up_to_a_bound(groups, bits):
+    assert exact_module.bitmap_bits(groups) == 1 << bits
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_module, "LEAST_BITS", 8)
+    monkeypatch.setattr(exact_module, "MOST_BITS", 8)
+    rows = [(i, f"text {i // 2}") for i in range(100)] + [(100 + i, f"one {i}") for i in range(50)]
+    found = exact_dedup(docs(spark, rows)).collect()
+    assert sorted(tuple(r)[:4] for r in found) == sorted(r[:4] for r in brute_exact(rows))
+
+
 def test_exact_hashes_survivors_only(spark):
     found = {r["doc_id"]: r["text_sha256"] for r in exact_dedup(docs(spark, HARD[:15])).collect()}
     assert found[1] is not None and found[11] is None
