@@ -18,6 +18,7 @@ from rolloom.llm.row_numbers import with_positions, with_row_number
 from rolloom.session import materialize
 
 ARITY = 3
+WRITTEN_LEVELS = 3  # one level of paths in so many is written down, which bounds the plan
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _STEPS = "array<struct<left:binary,right:binary>>"
 
@@ -100,6 +101,7 @@ class Trees:
 
     def __init__(self, nodes: DataFrame, arity: int, name: str):
         self._arity = arity
+        self._name = name
         nodes = materialize(nodes, f"{name}-leaves")
         self._leaves = nodes
         self._levels: list[DataFrame] = []
@@ -147,6 +149,8 @@ class Trees:
             path = here.select("tree", "at", *columns, "steps", *more).unionByName(
                 ended(level, columns)
             )
+            if level % WRITTEN_LEVELS == 1:  # the lowest one has a row per run of leaves
+                path = materialize(path, f"{self._name}-paths-{level}")
         return path
 
 
