@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.llm.word_memo import WordMemo
@@ -222,16 +222,14 @@ def _predictor(raw: bytes, text: int) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 rows = batch.slice(at, _SLICE)
-                parsed = [letter_words(x) for x in rows.column(text).to_pylist()]
-                found = model.predict_words(parsed)
+                found = model.predict(rows.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *rows.columns,
                         pa.array([x for x, _ in found], pa.string()),
                         pa.array([x for _, x in found], pa.float64()),
-                        pa.array([bool(words) for words in parsed], pa.bool_()),
                     ],
-                    [*rows.schema.names, "_lang", "_score", "_letters"],
+                    [*rows.schema.names, "_lang", "_score"],
                 )
 
     return predict
@@ -243,11 +241,9 @@ def identify(
     text: str = "text",
     out: str = "lang_pred",
     score: str = "score",
-    only_letters: bool = False,
 ) -> DataFrame:
     """Adds the predicted language and its score in [0, 1], from the text alone.
 
-    With ``only_letters`` the rows whose text is NULL or has no letter go, whatever was learned.
     NULL texts and texts without a letter are ``und`` with score 0, and so is everything without
     samples. Ties go to the language that sorts last. Every other row stays; columns of the input that are
     named like the new ones are replaced.
@@ -259,14 +255,32 @@ def identify(
     # the text is told by its place: as a column of its own it would be sent and held twice
     found = rows.mapInArrow(
         _predictor(raw, df.columns.index(text)),
-        ", ".join([*fields, "_lang string", "_score double", "_letters boolean"]),
+        ", ".join([*fields, "_lang string", "_score double"]),
     )
-    if only_letters:
-        found = found.filter("_letters")
     kept = [F.col(n).alias(c) for n, c in zip(names, df.columns) if c not in (out, score)]
     return found.select(*kept, F.col("_lang").alias(out), F.col("_score").alias(score))
 
 
+def language_column(samples: Mapping[str, Sequence[str | Words]], text: Column) -> Column:
+    """The predicted language as a column: ``und`` where nothing was learned, NULL where the text is
+    NULL or has no letter. Only the text goes to the Python workers, and it does not come back.
+    """
+    raw = pickle.dumps(samples)
+
+    def name(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _model(raw)
+        for column in columns:
+            out: list[str | None] = []
+            for at in range(0, len(column), _SLICE):
+                parsed = [letter_words(x) for x in column.slice(at, _SLICE).to_pylist()]
+                found = model.predict_words(parsed)
+                out += [x if words else None for (x, _), words in zip(found, parsed)]
+            yield pa.array(out, pa.string())
+
+    # not repeated where the column is used twice
+    return F.arrow_udf(name, "string").asNondeterministic()(text)
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """The third of all keys that is never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -294,10 +308,14 @@ def tag_language(
     they are. The other columns are as before.
     """
     samples = language_samples(df.filter(~held_out(key)), key, text, label)
-    found = identify(df, samples, text, "_language", "_language_score", only_letters=True)
-    said = F.when(F.col("_language") != UNDETERMINED, F.col("_language"))
+    taken = {c.lower() for c in df.columns}
+    named = "_language"
+    while named in taken:
+        named = "_" + named
+    found = df.withColumn(named, language_column(samples, F.col(f"`{text}`")))
+    said = F.when(F.col(named) != UNDETERMINED, F.col(named))
     columns = [
         F.coalesce(said, F.col(f"`{c}`")).alias(c) if c == label else F.col(f"`{c}`")
         for c in df.columns
     ]
-    return found.select(*columns)
+    return found.filter(F.col(named).isNotNull()).select(*columns)
