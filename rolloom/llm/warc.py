@@ -160,8 +160,7 @@ def _writer(folder: str, roll_bytes: int, level: int) -> Callable:
         part = TaskContext.get().partitionId()
         made: list[dict] = []
         file, size, records = None, 0, 0
-        revisits: dict[str, int] = {}  # of the page at hand: its decision rows come before it
-        of = None
+        of, target = None, None  # key and digest at hand; their decision comes before their pages
 
         def close() -> None:
             file.close()
@@ -172,9 +171,7 @@ def _writer(folder: str, roll_bytes: int, level: int) -> Callable:
             for key, url, html, digest, refers_to in zip(*columns):
                 key = key.as_py()
                 if refers_to.is_valid:
-                    if key != of:
-                        revisits, of = {}, key
-                    revisits[digest.as_py()] = refers_to.as_py()
+                    of, target = (key, digest.as_py()), refers_to.as_py()
                     continue
                 if file is None:
                     name = f"pages-{part:06d}-{len(made):06d}.warc.gz"
@@ -186,8 +183,8 @@ def _writer(folder: str, roll_bytes: int, level: int) -> Callable:
                     head = info_record(name, level)
                     file.write(head)
                     size, records = len(head), 0
-                target = revisits.get(digest.as_py()) if key == of else None
-                record = page_record(key, url.as_py(), html.as_py(), target, level)
+                response = target if (key, digest.as_py()) == of else None
+                record = page_record(key, url.as_py(), html.as_py(), response, level)
                 file.write(record)
                 size, records = size + len(record), records + 1
                 if size >= roll_bytes:
@@ -234,7 +231,8 @@ def write_warc(
     key with its payload are all responses. An empty table writes no file.
 
     The decisions about revisits come from a pass over keys and digests. They are sorted in among the
-    pages, so that html is shuffled once.
+    pages, so that html is shuffled once. Pages are dealt by key and digest: those that share a key, or
+    have none, go to several tasks, and a decision to the task of its pages.
     """
     spark = pages.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -247,8 +245,9 @@ def write_warc(
         F.sha1(body).alias("digest"),
     )
     rows = rows.unionByName(decided, allowMissingColumns=True)
-    rows = rows.repartitionByRange(tasks, "key").sortWithinPartitions(
-        "key", F.col("refers_to").isNull(), "digest", "url"
+    place = ["key", "digest"]
+    rows = rows.repartitionByRange(tasks, *place).sortWithinPartitions(
+        *place, F.col("refers_to").isNull(), "url"
     )
     files = rows.mapInArrow(_writer(folder, roll_bytes, level), _FILES)
     return commit(spark, files, folder)
