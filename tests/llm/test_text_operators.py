@@ -611,6 +611,20 @@ def test_warc(spark, roll):
         assert len(files[0]) == len(PAGES)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_pages_of_one_key_are_dealt_to_several_tasks(spark, key):
+    """Different pages under one key, each twice, and once more under a larger key."""
+    rows = [(key, f"u{i % 2}", f"{i % 200} " * 400) for i in range(400)]
+    rows += [(1000 + i, "v", f"{i} " * 400) for i in range(100)]
+    folder = scratch_path(spark, "warc")
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write_warc(pages, folder)
+    found = warc.read_warc(manifest, folder).collect()
+    assert sorted(map(tuple, found), key=repr) == brute_warc(rows)
+    most = max(r["n_records"] for r in manifest.collect())
+    assert most < len(rows) // 2
+
+
 def test_warc_of_no_pages(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     folder = scratch_path(spark, "warc")
