@@ -244,15 +244,17 @@ def collect_batches(
     """:func:`collect_until` from parsed batches, by a prefix of batch numbers that doubles.
 
     The first round takes the range in which half as many batches as ``target`` lie on average, each
-    further round as much again as all before it, until the items of all rounds reach the target. So
-    the texts read are within a small factor of those kept, however many follow; a round's filter on
-    the batch number reaches the scan. Each text is parsed once: a round's items are written, counted,
-    and cut behind the last round. ``bounds`` are those of :func:`batch_range`, for callers that know
-    them; otherwise the column of numbers is read once.
+    further round as much again as all before it, or what the items found so far let expect to be
+    enough, up to four times as much, until the items of all rounds reach the target. So the texts read
+    are within a small factor of those kept, however many follow; a round's filter on the batch number
+    reaches the scan. Each text is parsed once: a round's items are written, counted, and cut behind
+    the last round. ``bounds`` are those of :func:`batch_range`, for callers that know them; otherwise
+    the column of numbers is read once.
 
     Numbers may be negative and have gaps; gaps cost rounds, at most one per bit of their width.
     """
     found = bounds or batch_range(batches, batch_col)
+    items = explode_items(batches, batch_col)
     rounds: list[DataFrame] = []
     if found is not None:
         low, high, n = found
@@ -260,14 +262,19 @@ def collect_batches(
         begin, total = low, 0
         while begin <= high and total < target:
             end = min(begin + width - 1, high)
-            part = batches.filter(F.col(batch_col).between(begin, end))
-            part = materialize(explode_items(part, batch_col), "batch-prefix")
+            part = items.filter(F.col(batch_col).between(begin, end))
+            part = materialize(part, "batch-prefix")
             total += part.count()
             rounds.append(part)
-            begin, width = end + 1, end - low + 1
+            begin, so_far = end + 1, end - low + 1
+            enough = so_far * (target - total) * 5 // (4 * total) if total else so_far
+            width = max(so_far, min(enough, 4 * so_far))
     if not rounds:
-        rounds = [explode_items(batches, batch_col).filter(F.lit(False))]
-    return collect_until(union_batches(*rounds), target, batch_col)
+        rounds = [items.filter(F.lit(False))]
+    # the rounds hold little behind the last kept batch, so no filter is looked up first
+    read = union_batches(*rounds)
+    kept = collect_progress(read, batch_col).filter(F.col("before") < target)
+    return read.join(kept.select(batch_col, "progress"), batch_col)
 
 
 # --- chat datasets and rollout groups -----------------------------------------------------------
