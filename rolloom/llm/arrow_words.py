@@ -52,14 +52,19 @@ def lay_out(
     tail = pc.fill_null(pc.if_else(has_stop, last, len(stops)), len(stops))
     names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
     values = list(map(memo.covering(set(names)).__getitem__, names))
-    stem = stems.indices.to_numpy()
-    made = [values[i] + tails[k] for i, k in zip(stem.tolist(), tail.to_numpy().tolist())]
-    sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
-    starts = np.cumsum(sizes) - sizes
-    word = words.indices.to_numpy()
-    taken = sizes[word]
-    ends = np.cumsum(taken)
-    place = np.repeat(starts[word] - (ends - taken), taken) + np.arange(taken.sum())
+    made = pc.binary_join_element_wise(
+        pa.array(values, pa.large_binary()).take(stems.indices),
+        pa.array(tails, pa.large_binary()).take(tail),
+        pa.scalar(b"", pa.large_binary()),
+    )
+    # one copy of bytes per word lays out the ids; its offsets are where the words begin
+    laid = made.take(words.indices)
+    begin = np.zeros(1, np.int64)
+    if len(laid):
+        begin = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1, 8 * laid.offset)
+    raw = laid.buffers()[2] if begin[-1] > begin[0] else b""
+    ids = np.frombuffer(raw, "<u4", (begin[-1] - begin[0]) >> 2, begin[0])
+    edges = (begin - begin[0]) >> 2
+    word = stems.indices.to_numpy()[words.indices.to_numpy()]
     word_edges = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-    ids = np.frombuffer(b"".join(made), "<u4")[place]
-    return LaidOut(ids, np.append(0, ends)[word_edges], values, stem[word], word_edges)
+    return LaidOut(ids, edges[word_edges], values, word, word_edges)
