@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from rolloom.constants import LEXICON_V1, MAX_COMPLETION_TOKENS, MAX_PROMPT_TOKENS
 from rolloom.functions.arrays import let, quote, running_totals
 from rolloom.functions.text import regex_quote
+from rolloom.operators.skew import ROWS_PER_TASK
+from rolloom.session import materialize
 
 # --- fixed values: token pattern ---------------------------------------------------------------
 BLANK = "[ \\t\\n\\x0B\\f\\r]"
@@ -233,7 +235,11 @@ def planning_mask(
 
 
 def mask_by_spans(
-    token_table: DataFrame, spans: DataFrame, keys: Sequence[str], range_chars: int = RANGE_CHARS
+    token_table: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str],
+    range_chars: int = RANGE_CHARS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``planning`` for a given token table and a given span table.
 
@@ -242,7 +248,12 @@ def mask_by_spans(
     past its start. The axis of a text is cut into ranges of ``range_chars``, so that one long text
     is swept by many tasks; what spans reach from the ranges before is the maximum of their ends, one
     row per range. That needs the ranges in use: token positions are read twice.
+
+    The ranges are written down with their rows, and dealt to as many tasks as give each about
+    ``rows_per_task`` rows to sort. Left to itself, Spark would sweep the tokens where their texts lie
+    if those are dealt out by a key already: in few tasks, as it sizes them by the bytes of the texts.
     """
+    spark = token_table.sparkSession
 
     def place(position: str) -> Column:
         return F.expr(f"{position} div {range_chars}").alias("_range")
@@ -250,10 +261,19 @@ def mask_by_spans(
     nothing = F.lit(None).cast("bigint")
     used = token_table.select(*keys, place("greatest(`end` - 1, 0)"), nothing.alias("_until"))
     reached = spans.select(*keys, place("start"), F.col("end").cast("bigint").alias("_until"))
-    ranges = used.unionByName(reached).groupBy(*keys, "_range").agg(F.max("_until").alias("_until"))
+    ranges = used.unionByName(reached).groupBy(*keys, "_range").agg(
+        F.max("_until").alias("_until"), F.count(F.lit(1)).alias("_n")
+    )
+    ranges = materialize(ranges, "sweep-ranges")
+    n_ranges, n_rows = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+
+    def tasks(rows: int) -> int:
+        return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    ranges = ranges.repartition(tasks(n_ranges), *keys)
     carried = ranges.select(*keys, "_range", F.max("_until").over(earlier).alias("_until")).filter(
         F.col("_until").isNotNull()
     )
@@ -288,6 +308,7 @@ def mask_by_spans(
         .orderBy("_at", "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    axis = axis.repartition(tasks(n_rows + n_ranges), *keys, "_range")
     swept = axis.withColumn("_reach", F.max("_until").over(window)).filter(
         F.col("_tok").isNotNull()
     )

@@ -74,6 +74,25 @@ def test_sweep_equals_mask(spark):
     assert direct.exceptAll(swept.select(direct.columns)).isEmpty()
 
 
+def test_sweep_is_dealt_out_by_its_rows(spark):
+    """Texts that a join has dealt out by their key are few bytes and many tokens: not one task's."""
+    joined = spark.range(3_000).join(spark.range(3_000).hint("merge"), "id")
+    df = joined.selectExpr("id", "repeat('wait x ', 50) AS t")
+    table, spans = tokens.token_offsets(df, "t", ["id"]), tokens.gram_spans(df, "t", ["id"])
+
+    def per_task(**limit):
+        swept = tokens.mask_by_spans(table, spans, ["id"], **limit)
+        folded = swept.groupBy(F.spark_partition_id().alias("task")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("planning").alias("hits")
+        )
+        rows = folded.collect()
+        assert (sum(r.n for r in rows), sum(r.hits for r in rows)) == (300_000, 150_000)
+        return [r.n for r in rows]
+
+    assert max(per_task()) < 100_000
+    assert max(per_task(rows_per_task=20_000)) < 20_000  # spans are rows, too
+
+
 def test_sequence_limit_and_counts(spark):
     df = spark.createDataFrame([(1, " a b\nc "), (2, ""), (3, "  ")], "id int, t string")
     assert tokens.planning_mask(df, "t", ["id"], seq_len=2).count() == 2
